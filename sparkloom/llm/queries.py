@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .class_ngram import class_bigram_scores
 from .common import table
+from .line_crf import quality_rules
+from .rank_order import languages
+from .shrunk_qda import quality_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
 
@@ -24,6 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lambda s, d: class_bigram_scores(table(s, d, "documents")),
     "op2_token_counts": lambda s, d: token_counts(table(s, d, "documents"), vocabulary("byte_bpe_50k.json")),
     "op3_simhash": lambda s, d: simhash_groups(table(s, d, "documents")),
+    "op4_quality_rules": lambda s, d: quality_rules(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_language_id": lambda s, d: languages(table(s, d, "documents")),
+    "op6_quality_classifier": lambda s, d: quality_scores(table(s, d, "documents"), table(s, d, "labels")),
     "op10_bpe_codec": lambda s, d: bpe_round_trip(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),
 }
 
