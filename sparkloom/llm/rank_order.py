@@ -89,8 +89,8 @@ class Profiles:
         return self.langs[best], float(1 - out[best] / (len(top) * self.size))
 
 
-def identify_languages(docs: DataFrame, profiles: list[tuple[str, int, int]], keep: list[str], text: str = "text", size: int = 300) -> DataFrame:
-    """``docs`` (columns ``keep`` and ``text``) with lang_pred and score added; no shuffle. Profiles are a few hundred rows a language."""
+def identify_languages(docs: DataFrame, profiles: list[tuple[str, int, int]], keep: list[str], text: str = "text", size: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the language and its score added under ``names``; no shuffle. Profiles are a few hundred rows a language."""
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +98,11 @@ def identify_languages(docs: DataFrame, profiles: list[tuple[str, int, int]], ke
         for batch in batches:
             for part, data in pieces(batch, text):
                 found = [p.predict(x) for x in data]
-                yield pa.RecordBatch.from_arrays([*[column(part, c) for c in keep], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[column(part, c) for c in keep], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, *names])
 
     read = docs.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
-    return read.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return read.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held: int = 1, size: int = 300) -> DataFrame:
