@@ -12,6 +12,7 @@ from .common import table
 from .line_crf import quality_rules
 from .log_template import drop_recurring_lines
 from .rank_order import languages
+from .repeat_spans import remove_repeats
 from .shrunk_qda import quality_scores
 from .simhash import simhash_groups
 from .template_leaks import template_leaks
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": lambda s, d: quality_rules(table(s, d, "documents"), table(s, d, "labels")),
     "op5_language_id": lambda s, d: languages(table(s, d, "documents")),
     "op6_quality_classifier": lambda s, d: quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+    "op7_repeat_spans": lambda s, d: remove_repeats(table(s, d, "documents")),
     "op8_line_dedup": lambda s, d: drop_recurring_lines(table(s, d, "documents")).select("doc_id", "n_lines", "n_dropped", "text"),
     "op9_decontamination": lambda s, d: template_leaks(table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_bpe_codec": lambda s, d: bpe_round_trip(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),

@@ -1,7 +1,7 @@
 """Operator 9: benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Words become canonical: numbers, quantities, units and names turn into typed placeholders, others lose case and outer
-punctuation. Windows of canonical words of documents and benchmark items meet in a hash join; hits on one diagonal (document
+Words become canonical: numbers, quantities, units and names (capitals within a sentence) turn into typed placeholders, others lose
+case and outer punctuation. Windows of canonical words of documents and benchmark items meet in a hash join; hits on one diagonal (document
 position less item position) are one passage. Its slots, the words behind the placeholders, must be consistent: each value of
 the item answers to one value of the document throughout, so a question with other numbers is caught and a chance meeting of
 placeholders isn't. A passage that covers ``coverage`` of an item's windows is a leak.
@@ -15,41 +15,46 @@ from pyspark.sql import functions as F
 #: Units as whole words. Fixed values.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "usd", "eur", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "pounds", "meters", "metres", "liters", "litres", "degrees"]
 _SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
+#: Outer punctuation: no letter, digit, money or percent sign, and none of the two marks below.
+_PUNCT = r"[^\p{L}\p{N}\x20\x09-\x0D$%€£\x01\x02]"
+_NUMBER = r"[0-9]++(?:[.,:/-][0-9]++)*+"
+#: Placeholders: a mark and the type, then another mark and the word that stood there.
+_TYPES = [
+    ("name", rf"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D]){_PUNCT}*+(\p{{Lu}}\p{{Ll}}{_WORD}*+)"),
+    ("number", rf"(?<!{_WORD}){_PUNCT}*+({_NUMBER}){_PUNCT}*+(?!{_WORD})"),
+    ("quantity", rf"(?<!{_WORD}){_PUNCT}*+([$€£]?{_NUMBER}[\p{{L}}%$€£]{{0,4}}+){_PUNCT}*+(?!{_WORD})"),
+    ("unit", rf"(?<=[0-9][\x20\x09-\x0D])((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])"),
+]
+_OUTER = rf"(?<!{_WORD}){_PUNCT}++|(?<!{_PUNCT}){_PUNCT}++(?!{_WORD})"
 #: Most benchmark windows that are sent to every executor; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
-def _canonical(words: Column) -> Column:
-    """Array of struct(c: canonical word, v: the word behind a placeholder, else null)."""
-
-    def one(word: Column, i: Column) -> Column:
-        bare = F.regexp_replace(word, r"^[^\p{L}\p{N}$%€£]+|[^\p{L}\p{N}$%€£]+$", "")
-        low = F.lower(bare)
-        before = F.get(words, i - 1)
-        name = F.regexp_like(bare, F.lit(r"^\p{Lu}\p{Ll}")) & before.isNotNull() & ~F.regexp_like(before, F.lit(r"[.!?:;]$"))
-        kind = (
-            F.when(F.regexp_like(bare, F.lit(r"^[0-9]+(?:[.,:/-][0-9]+)*$")), "<number>")
-            .when(F.regexp_like(bare, F.lit(r"^[$€£]?[0-9]+(?:[.,:/-][0-9]+)*(?:[\p{L}%$€£]{1,4})?$")), "<quantity>")
-            .when(low.isin(UNITS) & F.regexp_like(F.coalesce(before, F.lit("")), F.lit("[0-9]")), "<unit>")
-            .when(name, "<name>")
-        )
-        return F.struct(F.coalesce(kind, F.when(bare == "", word).otherwise(low)).alias("c"), F.when(kind.isNotNull(), low).alias("v"))
-
-    return F.transform(words, one)
+def _canonical(text: Column) -> Column:
+    """The text in canonical words; a placeholder is followed by the word that stood there. All passes are over the whole text."""
+    kind, pattern = _TYPES[0]
+    out = F.regexp_replace(text, pattern, f"\u0002{kind}\u0001$1")
+    for kind, pattern in _TYPES[1:]:
+        out = F.regexp_replace(out, pattern, f"\u0002{kind}\u0001$1")
+    out = F.when(F.regexp_like(text, F.lit("[0-9]")), out).otherwise(F.regexp_replace(text, _TYPES[0][1], f"\u0002{_TYPES[0][0]}\u0001$1"))
+    return F.regexp_replace(F.lower(out), _OUTER, "")
 
 
 def _windows(rows: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
     """keys, at, h (hash of the window's canonical words), slots (the words behind its placeholders), of every window of the widths."""
-    canon = rows.select(*keys, _canonical(F.array_remove(F.split("text", _SPACE), "")).alias("w"))
-    parts = canon.select(*keys, F.col("w.c").alias("c"), F.col("w.v").alias("v"))
+    words = rows.select(*keys, F.array_remove(F.split(_canonical(F.col("text")), _SPACE), "").alias("w"))
+    # arrays that lambdas look into are columns of their own that are used at least twice: such columns the optimizer leaves
+    # apart, where it would put the array's expression into the lambda and work it out for every element
+    apart = words.select(*keys, F.transform("w", lambda x: F.xxhash64(F.substring_index(x, "\u0001", 1))).alias("c"), F.transform("w", lambda x: F.when(F.instr(x, "\u0001") > 0, F.substring_index(x, "\u0001", -1))).alias("v"), F.exists("w", lambda x: F.instr(x, "\u0001") > 0).alias("any"))
 
     def of(width: int) -> Column:
         last = F.size("c") - width
-        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("c", i + 1, width)).alias("h"), F.array_join(F.slice("v", i + 1, width), "\u0001").alias("slots")))
-        return F.when(last >= 0, each)
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("c", i + 1, width)).alias("h"), F.when(F.col("any"), F.array_join(F.slice("v", i + 1, width), "\u0001")).otherwise(F.lit("")).alias("slots")))
+        return F.when((last >= 0) & (F.size("v") == F.size("c")), each)
 
     every = F.flatten(F.array_compact(F.array(*[of(w) for w in widths]))) if len(widths) > 1 else of(widths[0])
-    return parts.select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")
+    return apart.select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")
 
 
 def template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", width: int = 6, coverage: float = 0.3, min_words: int = 4) -> DataFrame:
