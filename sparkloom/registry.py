@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import sales
+from .plans import sales, text
 
-_PARTS = [sales]
+_PARTS = [sales, text]
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
