@@ -25,7 +25,8 @@ def match_concepts(texts: DataFrame, lexicon: DataFrame, text: str = "text") ->
     names = F.broadcast(lexicon.agg(F.array_sort(F.collect_list(F.struct("lex", "concept"))).alias("_names")))
     low = F.lower(F.col(text))
     rows = texts.withColumn("_low", low).crossJoin(names)
-    return rows.withColumn("_c", F.explode(F.filter("_names", lambda c: F.contains(F.col("_low"), c["concept"])))).select(*texts.columns, "_c.lex", "_c.concept")
+    # _low is used twice, so that it stays a column of its own and isn't worked out anew for each name
+    return rows.withColumn("_c", F.explode(F.when(F.length("_low") > 0, F.filter("_names", lambda c: F.contains(F.col("_low"), c["concept"]))))).select(*texts.columns, "_c.lex", "_c.concept")
 
 
 def _section_key() -> object:
