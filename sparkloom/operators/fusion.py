@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import faithfulness, keyword_recall
 
@@ -49,7 +50,7 @@ def rerank(fused: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]
         for pdf in frames:
             yield pdf.assign(rerank=model(pdf["question"].tolist(), pdf["text"].tolist()))
 
-    scored = top.mapInPandas(run, top.schema.add("rerank", "double"))
+    scored = top.mapInPandas(run, StructType([*top.schema.fields, StructField("rerank", DoubleType())]))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "rank")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
