@@ -36,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(id_col: str, k: int) -> Column:
     """crc32 of the id as text (null: the empty text) modulo ``k``."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % k
