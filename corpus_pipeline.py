@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe_codec import bpe_round_trip
-from sparkloom.llm.common import fold, stored, table
+from sparkloom.llm.common import fold, fresh, stored, table
 from sparkloom.llm.log_template import drop_recurring_lines
 from sparkloom.llm.queries import vocabulary
 from sparkloom.llm.rank_order import UNKNOWN, identify_languages, language_profiles
@@ -28,22 +28,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the corpus; those without letters or like no profile go. All columns stay as they are."""
     ship(spark)
     rows = [tuple(r) for r in language_profiles(docs.filter(fold("doc_id", 3) != 1), "text", "lang").collect()]
-    found = identify_languages(docs, rows, docs.columns, names=("_lang", "_score"))
-    return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    found = identify_languages(docs, rows, docs.columns, names=(lang, score))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents rid of lines of recurring templates, n_chars set anew; those of which nothing is left go."""
-    cleaned = drop_recurring_lines(docs, names=("_lines", "_dropped"))
-    left = cleaned.filter((F.col("_dropped") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
-    return left.select(*[F.when(F.col("_dropped") == 0, F.col(c)).otherwise(F.length("text")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    size, gone = fresh(docs, "_lines"), fresh(docs, "_dropped")
+    cleaned = drop_recurring_lines(docs, names=(size, gone))
+    left = cleaned.filter((F.col(gone) == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return left.select(*[F.when(F.col(gone) == 0, F.col(c)).otherwise(F.length("text")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id. Rows without an id stay."""
     ship(spark)
-    keep = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    name = fresh(docs, "_keep")
+    keep = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))
 
 

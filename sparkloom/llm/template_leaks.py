@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Units as whole words. Fixed values.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "usd", "eur", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "pounds", "meters", "metres", "liters", "litres", "degrees"]
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -86,5 +88,6 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def drop_leaked(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those that hold a leak."""
-    gone = leaks.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("_id") == F.col(id_col).cast("long"), "left_anti")
+    i = fresh(docs, "_id")
+    gone = leaks.select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(gone, F.col(i) == F.col(id_col).cast("long"), "left_anti")
