@@ -87,31 +87,33 @@ _held: dict = {}
 
 
 def held(make):
-    """A table that many queries start from, persisted once in a session for each input."""
+    """A table, or several, that many queries start from: made once in a session for each input, and kept persisted."""
 
     def get(s, d):
         key = (make.__name__, s.sparkContext.applicationId, d)
-        if key not in _held:
-            _held[key] = make(s, d)
-        return _held[key]
+        made = _held.setdefault(key, None) or make(s, d)
+        _held[key] = made
+        for t in [made] if isinstance(made, DataFrame) else vars(made).values():
+            if not t.storageLevel.useMemory:
+                t.persist()
+        return made
 
     return get
 
 
 @held
 def blocks(s, d) -> DataFrame:
-    return K.parse_blocks(lines(s, d), page_tables(s, d)).persist()
+    return K.parse_blocks(lines(s, d), page_tables(s, d))
 
 
 @held
 def chunks(s, d) -> DataFrame:
-    return K.whole_sections(blocks(s, d)).persist()
+    return K.whole_sections(blocks(s, d))
 
 
 @held
 def index(s, d) -> L.KeywordIndex:
-    made = L.bm25_index(chunks(s, d))
-    return L.KeywordIndex(made.postings.persist(), made.terms.persist(), made.corpus.persist())
+    return L.bm25_index(chunks(s, d))
 
 
 def questions(s, d) -> DataFrame:
@@ -122,13 +124,12 @@ def questions(s, d) -> DataFrame:
 @held
 def lexicon(s, d) -> DataFrame:
     best = index(s, d).terms.filter(F.length("term") >= 5).orderBy(F.desc("df"), "term").limit(32)
-    return best.select(F.row_number().over(Window.orderBy(F.desc("df"), "term")).alias("lex"), F.col("term").alias("concept")).persist()
+    return best.select(F.row_number().over(Window.orderBy(F.desc("df"), "term")).alias("lex"), F.col("term").alias("concept"))
 
 
 @held
 def concept_graph(s, d) -> G.ConceptGraph:
-    made = G.build_graph(chunks(s, d), blocks(s, d), lexicon(s, d))
-    return G.ConceptGraph(made.nodes.persist(), made.edges.persist(), made.chunk_concepts.persist())
+    return G.build_graph(chunks(s, d), blocks(s, d), lexicon(s, d))
 
 
 def ranked(s, d) -> DataFrame:

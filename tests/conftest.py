@@ -8,7 +8,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from sparkloom.session import ship  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
