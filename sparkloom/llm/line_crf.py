@@ -24,6 +24,7 @@ _END = b".!?\"')"
 #: Words of notices, as whole lower-case words.
 _NOTICE = {b"license", b"licensed", b"copyright", b"rights", b"reserved", b"cookies", b"privacy", b"subscribe", b"login", b"terms"}
 FEATURES = 13
+_STRETCH, _PADDED = 64, 20_000
 
 
 def line_features(line: bytes, repeated: bool) -> list[float]:
@@ -65,6 +66,18 @@ def _pad(docs: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
     return x, length
 
 
+def _batches(order: list[int], docs: list[list[list[float]]]) -> Iterator[list[int]]:
+    """Documents, sorted by length, in batches of a bounded number of padded lines."""
+    pick: list[int] = []
+    for i in order:
+        if pick and (len(pick) + 1) * len(docs[i]) > _PADDED:
+            yield pick
+            pick = []
+        pick.append(i)
+    if pick:
+        yield pick
+
+
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis, keepdims=True)
     return (np.log(np.exp(a - m).sum(axis, keepdims=True)) + m).squeeze(axis)
@@ -79,11 +92,14 @@ class LineField:
     def fit(self, docs: list[list[list[float]]], labels: list[int], rounds: int = 120, rate: float = 0.1, penalty: float = 1e-3) -> LineField:
         """Documents are weighted so that both labels count alike; every line of a document has its label."""
         pick = [i for i, d in enumerate(docs) if d]
-        if not pick or len({labels[i] for i in pick}) < 2:
+        number = Counter(labels[i] for i in pick)
+        if len(number) < 2:
             return self
-        y = np.array([labels[i] for i in pick])
-        x, length = _pad([docs[i] for i in pick])
-        share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / length
+        # long documents in stretches of lines, so that little is padded
+        cut = [(i, s) for i in pick for s in range(0, len(docs[i]), _STRETCH)]
+        y = np.array([labels[i] for i, _ in cut])
+        x, length = _pad([docs[i][s : s + _STRETCH] for i, s in cut])
+        share = np.array([0.5 / number[labels[i]] / len(docs[i]) for i, _ in cut])
         here = np.arange(x.shape[1])[None, :] < length[:, None]
         w, t = self.weights, self.step
         mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
@@ -118,8 +134,7 @@ class LineField:
         """Viterbi labels of each document's lines; ties go to content."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(docs)
         order = sorted((i for i, d in enumerate(docs) if d), key=lambda i: len(docs[i]))
-        for s in range(0, len(order), 256):  # of like length, so little is padded
-            pick = order[s : s + 256]
+        for pick in _batches(order, docs):
             x, length = _pad([docs[i] for i in pick])
             e = x @ self.weights
             m, rows = x.shape[1], np.arange(len(pick))
