@@ -230,7 +230,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096) -> DataFrame:
     """(doc_id, th, spans: array of struct(begin, end), unmerged) of the documents with bytes covered by repeated ``length``-byte strings."""
     found = stored(find_anchors(docs, length))
-    again = found.groupBy("h").count().filter("count > 1").select("h")
+    # tables between two shuffles of their own: Spark can then deal out a join's hot key, as it can't below an aggregation
+    again = stored(found.groupBy("h").count().filter("count > 1").select("h"))
     shared = stored(found.join(again, "h", "left_semi"))
     kind = ["h", "g1", "g2"]
     kinds = stored(shared.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p", "lo", "hi")).alias("one")))
@@ -238,7 +239,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096) -> Dat
     copies = kinds.filter("n > 1").select(*kind)
     whole = shared.join(copies, kind, "left_semi").select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
     # different contexts of an anchor: one of each is built
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     one = kinds.join(several, "h").select("one.*", "h", "kinds")
     wanted = stored(one.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "lo", "hi", "h", "kinds")).alias("want")))
 
