@@ -45,7 +45,7 @@ postings AS (SELECT term, chunk_id, chunk_ord, dl, COUNT(*) AS tf FROM (SELECT c
 corpus AS (SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM tokens),
 raw_idf AS (SELECT term, df, LN(n - df + 0.5) - LN(df + 0.5) AS r FROM (SELECT term, COUNT(*) AS df FROM postings GROUP BY 1), corpus),
 terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT AVG(r) FROM raw_idf) ELSE r END AS idf FROM raw_idf),
-questions AS (SELECT item_id AS query_id, SUBSTRING(text, 1, 60) AS question, list_slice(list_distinct_in_order, 1, 5) AS expected_keywords, text AS answer FROM (SELECT *, list_filter({_tokens('text')}, lambda x, i: length(x) >= 5 AND list_position({_tokens('text')}, x) = i) AS list_distinct_in_order FROM benchmark)),
+questions AS (SELECT item_id AS query_id, text AS question, list_slice(list_distinct_in_order, 1, 5) AS expected_keywords, text AS answer FROM (SELECT *, list_filter({_tokens('text')}, lambda x, i: length(x) >= 5 AND list_position({_tokens('text')}, x) = i) AS list_distinct_in_order FROM benchmark)),
 asked AS (SELECT query_id, term, COUNT(*) AS qf FROM (SELECT query_id, unnest({_tokens('question')}) AS term FROM questions) GROUP BY ALL),
 scored AS (SELECT query_id, chunk_id, chunk_ord, ROUND(SUM(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN postings USING (term), corpus GROUP BY 1, 2, 3),
 keyword AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank, chunk_id, chunk_ord, score FROM scored) WHERE rank <= 5 AND score > 0),
@@ -118,7 +118,7 @@ def index(s, d) -> L.KeywordIndex:
 
 def questions(s, d) -> DataFrame:
     words = F.slice(F.array_distinct(F.filter(X.keyword_tokens(F.col("text")), lambda x: F.length(x) >= 5)), 1, 5)
-    return read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"), words.alias("expected_keywords"), F.col("text").alias("answer"))
+    return read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), words.alias("expected_keywords"), F.col("text").alias("answer"))
 
 
 @held
@@ -301,10 +301,10 @@ def _(s, d):
 
 def _vectors(s, d) -> tuple[DataFrame, DataFrame]:
     e = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return e, e.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return e, e.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
 
 
-_KNN = "SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / SQRT(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0"
+_KNN = "SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / SQRT(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
 _TOP5 = f"SELECT query_id, rank, id, ROUND(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, id) AS rank FROM ({_KNN})) WHERE rank <= 5"
 
 
@@ -324,7 +324,7 @@ def _(s, d):
 def _(s, d):
     e, q = _vectors(s, d)
     cells, centroids = V.ivf_build(e)
-    return V.knn_ivf(cells, centroids, q, nprobe=max(1, len(centroids) // 4))
+    return V.knn_ivf(cells, centroids, q, nprobe=-(-len(centroids) // 2))
 
 
 @query("l2_normalize", "SELECT vec_id, ROUND(embedding[1] / SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, ROUND(SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings", ctes=False)

@@ -121,3 +121,14 @@ def test_blocks_and_index_round_trip(spark, tmp_path):
     S.save_index({"postings": index.postings, "terms": index.terms}, str(tmp_path / "index"))
     back = S.load_index(spark, str(tmp_path / "index"), ["postings", "terms"])
     assert back["postings"].drop("bucket").count() == index.postings.count() and back["terms"].count() == index.terms.count()
+
+
+def test_recall_of_the_index(spark):
+    """Every row is in a cell; half of the cells find at least nine in ten of the true neighbours."""
+    from oracle import DATA
+
+    from sparkloom.plans.text import QUERIES
+
+    pairs = lambda name: {(r.query_id, r.id) for r in QUERIES[name](spark, DATA).collect()}
+    exact = pairs("knn_exact")
+    assert len(pairs("knn_ivf") & exact) >= 0.9 * len(exact)
