@@ -79,10 +79,16 @@ def match_query_concepts(graph: ConceptGraph, queries: DataFrame) -> DataFrame:
 
 def graph_search(graph: ConceptGraph, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, chunk_id, chunk_ord, score, matched): chunks of any concept within an edge of the question's, in corpus order."""
-    near = expand(match_query_concepts(graph, queries), graph.edges)
-    hits = near.join(graph.chunk_concepts, "node_id").groupBy("query_id", "chunk_id", "chunk_ord").agg(F.array_sort(F.collect_set(F.struct("lex", F.substring("node_id", 10, 1000).alias("name")))).alias("m"))
+    # chunks hang on concepts only, so the way leads along edges between concepts
+    near = expand(match_query_concepts(graph, queries), graph.edges.filter("relation = 'CO_OCCURS'"))
+    # of each concept the first k chunks: a chunk among a question's first k is among the first k of each of its concepts
+    by_concept = Window.partitionBy("node_id").orderBy("chunk_ord")
+    first = graph.chunk_concepts.withColumn("_r", F.row_number().over(by_concept)).filter(F.col("_r") <= k).select("node_id", "chunk_id", "chunk_ord")
     w = Window.partitionBy("query_id").orderBy("chunk_ord")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_ord", F.lit(1.0).alias("score"), F.col("m.name").alias("matched"))
+    best = near.join(first, "node_id").select("query_id", "chunk_id", "chunk_ord").distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    why = best.join(graph.chunk_concepts.select("chunk_id", "node_id", "lex"), "chunk_id").join(near, ["query_id", "node_id"], "left_semi")
+    names = F.array_sort(F.collect_set(F.struct("lex", F.substring("node_id", 10, 1000).alias("name"))))
+    return why.groupBy("query_id", "rank", "chunk_id", "chunk_ord").agg(names.alias("m")).select("query_id", "rank", "chunk_id", "chunk_ord", F.lit(1.0).alias("score"), F.col("m.name").alias("matched"))
 
 
 def related_concepts(graph: ConceptGraph, names: DataFrame) -> DataFrame:

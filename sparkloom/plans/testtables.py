@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.panel import SalesTables, build_master
+from ..session import stored
 
 SALES = "sales AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 10 AS INT) AS store_nbr, p_type AS family, CAST(SUM(l_quantity) AS DOUBLE) AS sales, CAST(SUM(CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END) AS INT) AS onpromotion FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"
 STORES = "stores AS (SELECT CAST(s_suppkey AS INT) AS store_nbr, n_name AS city, r_name AS state, SUBSTRING('ABCDE', CAST(s_suppkey % 5 AS INT) + 1, 1) AS type, CAST(s_suppkey % 4 AS INT) AS cluster FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey < 10)"
@@ -38,6 +39,22 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_held: dict = {}
+
+
+def held(make):
+    """A table, or a class of several, that many queries start from: made once in a session for each input, and kept as Parquet."""
+
+    def get(s, d):
+        key = (make.__name__, s.sparkContext.applicationId, d)
+        if key not in _held:
+            made = make(s, d)
+            _held[key] = stored(made) if isinstance(made, DataFrame) else type(made)(**{k: stored(t) for k, t in vars(made).items()})
+        return _held[key]
+
+    return get
+
+
 def sales(spark: SparkSession, d: str) -> DataFrame:
     joined = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.groupBy(F.col("l_shipdate").cast("date").alias("date"), (F.col("l_suppkey") % 10).cast("int").alias("store_nbr"), F.col("p_type").alias("family")).agg(F.sum("l_quantity").alias("sales"), F.count_if(F.col("l_discount") >= 0.08).cast("int").alias("onpromotion"))
@@ -74,6 +91,7 @@ def sales_tables(spark: SparkSession, d: str) -> SalesTables:
     return SalesTables(train, test.drop("sales"), stores(spark, d), oil(spark, d), holidays(spark, d), transactions(spark, d))
 
 
+@held
 def master(spark: SparkSession, d: str) -> DataFrame:
     """The whole panel, not split."""
     t = sales_tables(spark, d)

@@ -11,7 +11,7 @@ from ..operators import fusion as U
 from ..operators import graph as G
 from ..operators import lexical as L
 from ..operators import vectors as V
-from .testtables import read, round_all
+from .testtables import held, read, round_all
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,24 +83,6 @@ def page_tables(s, d) -> DataFrame:
     return lines(s, d).filter("doc_id % 7 = 0 and line_no % 4 = 3").select("doc_id", "page", F.lit(1).alias("table_no"), F.substring("text", 1, 200).alias("text"))
 
 
-_held: dict = {}
-
-
-def held(make):
-    """A table, or several, that many queries start from: made once in a session for each input, and kept persisted."""
-
-    def get(s, d):
-        key = (make.__name__, s.sparkContext.applicationId, d)
-        made = _held.setdefault(key, None) or make(s, d)
-        _held[key] = made
-        for t in [made] if isinstance(made, DataFrame) else vars(made).values():
-            if not t.storageLevel.useMemory:
-                t.persist()
-        return made
-
-    return get
-
-
 @held
 def blocks(s, d) -> DataFrame:
     return K.parse_blocks(lines(s, d), page_tables(s, d))
