@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents rid of lines of recurring templates, n_chars set anew; those of which nothing is left go."""
     size, gone = fresh(docs, "_lines"), fresh(docs, "_dropped")
-    cleaned = drop_recurring_lines(docs, names=(size, gone))
+    cleaned = drop_recurring_lines(docs, names=(size, gone), runs=True)
     left = cleaned.filter((F.col(gone) == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     return left.select(*[F.when(F.col(gone) == 0, F.col(c)).otherwise(F.length("text")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

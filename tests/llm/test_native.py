@@ -231,3 +231,26 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert P.run(spark, d).count() == 0
+
+
+def test_line_dedup_stage_drops_notices_of_several_lines(spark):
+    """A notice of three lines goes whole, at the end of texts too, however often its texts are copied; lines of near copies stay."""
+    import corpus_pipeline as P
+
+    rng = random.Random(16)
+    notice = ["This text is kept by the town archive", "Please ask before you print it", "Write to the keeper at the gate"]
+    vocab = [f"{a}{b}{c}" for a in "brt" for b in "aeiou" for c in "lmnst"]
+    own = [[prose(rng, rng.randint(8, 14), vocab) for _ in range(5)] for _ in range(12)]
+    rows = [(i, "\n".join([*lines, "", notice[0], "", *notice[1:]])) for i, lines in enumerate(own)]
+    rows += [(100 + i, rows[i % 12][1]) for i in range(48)]
+    base = [prose(rng, 10, vocab) for _ in range(8)]
+    for i in range(20):  # near copies: a changed word in the middle line, by turns with another number of words
+        words_of = base[3].split()
+        words_of[5 + i % 4] = f"word{'abcdefghijklmnopqrst'[i]}"
+        rows.append((200 + i, "\n".join([*base[:3], " ".join(words_of), *base[4:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.line_dedup(spark, docs, "").collect()}
+    assert not any(line in text for text in got.values() for line in notice)
+    assert all(x in got[i] for i in range(12) for x in own[i])
+    # beside the changed line the first rule, by single lines, drops lines
+    assert all(x in got[i] for i in range(200, 220) for x in [*base[:2], *base[5:]])
