@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.bpe_codec import bpe_round_trip
 from sparkloom.llm.common import fold, fresh, stored, table
 from sparkloom.llm.log_template import drop_recurring_lines
+from sparkloom.llm.near_copies import drop_near_copies
 from sparkloom.llm.queries import vocabulary
 from sparkloom.llm.rank_order import UNKNOWN, identify_languages, language_profiles
-from sparkloom.llm.simhash import simhash_groups
 from sparkloom.llm.template_leaks import drop_leaked, template_leaks
 from sparkloom.session import ship
 
@@ -42,12 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Rows without an id stay."""
+    """One document of each group of near-duplicates by five-word shingles: that of the smallest id. Rows without an id stay."""
     ship(spark)
-    name = fresh(docs, "_keep")
-    keep = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

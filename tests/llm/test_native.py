@@ -254,3 +254,22 @@ def test_line_dedup_stage_drops_notices_of_several_lines(spark):
     assert all(x in got[i] for i in range(12) for x in own[i])
     # beside the changed line the first rule, by single lines, drops lines
     assert all(x in got[i] for i in range(200, 220) for x in [*base[:2], *base[5:]])
+
+
+def test_near_dedup_stage_links_similar_texts(spark):
+    """Texts of five-word similarity 0.8 are linked, others not, and equal ids with different texts both stay."""
+    import corpus_pipeline as P
+
+    rng = random.Random(17)
+    vocab = [f"{a}{b}{c}" for a in "brt" for b in "aeiou" for c in "lmnst"]
+    rows = []
+    for i in range(40):
+        w = [rng.choice(vocab) for _ in range(100)]
+        near = list(w)
+        near[50] = "changed"  # 5 of 96 shingles
+        far = [*w[:60], *(rng.choice(vocab) for _ in range(40))]
+        rows += [(i, " ".join(w)), (100 + i, " ".join(near)), (200 + i, " ".join(far))]
+    rows += [(7, "quite another text of the same id"), (None, rows[0][1]), (300, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows if i is None or i < 100 or 200 <= i < 300)
