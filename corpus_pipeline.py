@@ -17,7 +17,7 @@ from sparkloom.llm.log_template import drop_recurring_lines
 from sparkloom.llm.near_copies import drop_near_copies
 from sparkloom.llm.queries import vocabulary
 from sparkloom.llm.rank_order import UNKNOWN, identify_languages, language_profiles
-from sparkloom.llm.template_leaks import drop_leaked, template_leaks
+from sparkloom.llm.template_leaks import drop_leaked, every_leak
 from sparkloom.session import ship
 
 #: Least similarity to the best profile; texts in none of the languages lie below.
@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    return drop_leaked(docs, template_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return drop_leaked(docs, every_leak(docs, table(spark, sf_dir, "benchmark")))
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

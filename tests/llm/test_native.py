@@ -273,3 +273,17 @@ def test_near_dedup_stage_links_similar_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = P.near_dedup(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows if i is None or i < 100 or 200 <= i < 300)
+
+
+def test_decontamination_stage_finds_values_of_other_lengths(spark, tmp_path):
+    import corpus_pipeline as P
+
+    item = "the slow train from Boston left with 4 crates of apples for Denver and came back with 6 boxes of tea after a week in Dallas where it rained"
+    other = item.replace("Boston", "New York").replace("4 crates", "3 1/2 crates").replace("Denver", "Salt Lake City").replace("6 boxes", "7 1/2 boxes").replace("Dallas", "San Jose")
+    put = " ".join(w + (" indeed" if i % 8 == 7 else "") for i, w in enumerate(item.split()))
+    odd = item + ". Thus from Boston left with 9 crates of apples for Denver"
+    rng = random.Random(18)
+    rows = [(1, item), (2, other), (3, put), (4, odd.replace("4", "5", 1)), (5, prose(rng, 60))]
+    spark.createDataFrame([(1, item), (2, "Mr Jones Miss Smith")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}") for i, t in rows], "doc_id long, text string")
+    assert [r.doc_id for r in P.decontamination(spark, docs, str(tmp_path)).collect()] == [5]
