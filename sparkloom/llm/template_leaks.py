@@ -80,13 +80,16 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     n_windows and coverage are of the pair's best passage; exact: all its slots have the item's own values. Items under ``width``
     words are looked for as one window; under ``min_words`` words not at all, as a bare phrase says nothing; words are canonical
-    ones, of ``shifts`` too. Null ids and null and
+    ones, of ``shifts`` too. An item of one window is also looked for with its first word as a name. Null ids and null and
     empty texts give no pair; rows of equal id are one document or item. Other columns are not read.
     """
     texts = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("item_id is not null and text is not null")
-    forms = texts.select("item_id", _words(F.col("text"), shifts).alias("w")).filter(F.size("w") >= min_words)
+    # the first word as within a sentence
+    inner = F.concat(F.lit("x "), F.regexp_replace("text", rf"^{_SPACE}", ""))
+    forms = texts.select("item_id", _words(F.col("text"), shifts).alias("w"), _words(inner, shifts).alias("v")).filter(F.size("w") >= min_words)
     plain = forms.select("item_id", "w")
-    items = plain.withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn("slack", SLACK + F.size(F.filter("w", lambda x: F.instr(x, "\u0001") > 0)))
+    named = forms.filter(F.size("w") <= width).select("item_id", F.slice("v", 2, F.size("v")).alias("w")).filter(F.size("w") >= min_words)
+    items = plain.unionByName(named).withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn("slack", SLACK + F.size(F.filter("w", lambda x: F.instr(x, "\u0001") > 0)))
     short = sorted(r[0] for r in items.filter(F.col("width") < width).select("width").distinct().collect())
     own = _windows(items, ["item_id", "width", "slack"], [F.col("width")])
     asked = own.groupBy("item_id", F.col("at").alias("q"), "h", F.col("slots").alias("theirs")).agg(F.max("slack").alias("slack"))

@@ -275,6 +275,13 @@ def test_near_dedup_stage_links_similar_texts(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows if i is None or i < 100 or 200 <= i < 300)
 
 
+def test_short_items_with_marks_and_names(spark):
+    """Lone marks are no words, and an item's first word may stand within a sentence."""
+    bench = spark.createDataFrame([(1, "What is 3 + 4 ?"), (2, "Only four words here"), (3, "Seldom do grey herons sleep")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before What is 3 + 4 ? after"), (2, "before Only four words here after"), (3, "then Seldom do grey herons sleep"), (4, "only four other words here")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.exact) for r in T.template_leaks(docs, bench).collect()} == {(1, 1, True), (2, 2, True), (3, 3, True)}
+
+
 def test_decontamination_stage_finds_values_of_other_lengths(spark, tmp_path):
     import corpus_pipeline as P
 
