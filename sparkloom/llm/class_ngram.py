@@ -1,11 +1,17 @@
 """Operator 1: language-model scoring by Brown's class-based bigrams.
 
-P(text) is the product over its tokens of P(class | class before) * P(word | class). The classes come from exchange
-clustering: each unit is moved to the class that raises the likelihood of the training bigrams most, until nothing moves.
-Units are the ``words`` most frequent words and, for all other words, ``forms`` pseudo-words made from the word's ending, so
-that every word of any corpus has a class that a worker can work out without a lookup. Word counts, bigram counts and class
-totals are taken over the whole training text; what is fitted on the driver is the units' bigram matrix, whose side is the
-fixed number of units.
+P(text) is the product over its tokens of P(class | class before) * P(word | class). Every training word has a class of its own:
+
+1. Exchange clustering, until nothing moves, of the ``seeds`` most frequent words on the driver: their bigram matrix is bounded.
+2. Exchange rounds in Spark over the ``words`` most frequent words and ``forms`` word endings: one row a unit holds the units beside
+   it with their counts; a task sums them by class and scores all moves of its units against the grid of class bigrams. The
+   moves of a round are made together; where that lowers the likelihood, only every second of them is made, and so on. Rounds end when
+   nothing moves, or when a round gains less than ``least_gain`` nats a token.
+3. All other training words are assigned by the classes beside their occurrences, where the grid makes these likeliest. Words that
+   training never saw have the class of their ending.
+
+Word counts, bigram counts and class totals are taken over the whole training text. The driver and the workers hold the classes of
+units, the class grid and the ``HEAD`` most frequent words; all other words are joined.
 
 Emission: a known word has (1 - u) * count / class total; u, the class's share for words never seen, is Good and Turing's
 estimate from its words seen once. Transition: interpolated with the class unigram.
@@ -20,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, fold, pieces, stored
 
 #: Most words whose counts every worker holds; the counts of all others are joined.
 HEAD = 131_072
+#: Classes whose gain is worked out in a round for each unit: the likeliest to first order.
+SHORTLIST = 8
 _FLUSH = 300_000
+_KEYS = 4_000_000
 
 
-def form_unit(word: bytes, words: int, forms: int) -> int:
-    """The pseudo-word of a word outside the ``words`` most frequent: its last three bytes, hashed."""
-    return words + 1 + zlib.crc32(word[-3:]) % forms
+def form_of(word: bytes, forms: int) -> int:
+    """The ending of a word outside the most frequent: its last three bytes, hashed."""
+    return zlib.crc32(word[-3:]) % forms
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
@@ -71,21 +80,20 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class Units:
-    """Word to unit: 0 is the text's border, then the frequent words, then the forms."""
+    """Word to unit: 0 is the text's border, then the frequent words, then the endings of all others."""
 
     def __init__(self, names: list[bytes], words: int, forms: int):
-        self.words, self.forms = words, forms
         self.known = {w: i + 1 for i, w in enumerate(names[:words])}
-        self.size = 1 + words + forms
+        self.words, self.forms = len(self.known), forms
+        self.size = 1 + self.words + forms
         self.cache: dict[bytes, int] = {}
 
     def of(self, tokens: list[bytes]) -> list[int]:
         if len(self.cache) > _FLUSH:
             self.cache = {}
-        cache, known = self.cache, self.known
-        new = set(tokens).difference(cache)
-        for w in new:
-            cache[w] = known.get(w) or form_unit(w, self.words, self.forms)
+        cache, known, first = self.cache, self.known, self.words + 1
+        for w in set(tokens).difference(cache):
+            cache[w] = known.get(w) or first + form_of(w, self.forms)
         return list(map(cache.__getitem__, tokens))
 
 
@@ -94,7 +102,20 @@ def unit_bigrams(texts: DataFrame, text: str, units) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: Units = units.value
-        total = np.zeros(u.size * u.size, np.int64)
+        held, number = [], 0
+
+        def summed():
+            keys = np.concatenate([k for k, _ in held])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(np.concatenate([n for _, n in held])[order], first)
+
+        def rows(keys, n):
+            for i in range(0, len(keys), 100_000):
+                k = keys[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array((k // u.size).astype(np.int32)), pa.array((k % u.size).astype(np.int32)), pa.array(n[i : i + 100_000])], ["a", "b", "n"])
+
         for batch in batches:
             for _, docs in pieces(batch, text):
                 line = [0]
@@ -102,39 +123,35 @@ def unit_bigrams(texts: DataFrame, text: str, units) -> DataFrame:
                     line += u.of(doc.lower().split())
                     line.append(0)
                 ids = np.array(line, np.int64)
-                keys, n = np.unique(ids[:-1] * u.size + ids[1:], return_counts=True)
-                total[keys] += n
-        keys = np.flatnonzero(total)
-        for i in range(0, len(keys), 100_000):
-            k = keys[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((k // u.size).astype(np.int32)), pa.array((k % u.size).astype(np.int32)), pa.array(total[k])], ["a", "b", "n"])
+                held.append(np.unique(ids[:-1] * u.size + ids[1:], return_counts=True))
+                number += len(held[-1][0])
+                if number > _KEYS:
+                    held = [summed()]
+                    number = len(held[0][0])
+                    if number > _KEYS // 2:
+                        yield from rows(*held[0])
+                        held, number = [], 0
+        if held:
+            yield from rows(*summed())
 
     return texts.select(text).mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def unit_totals(counts: DataFrame, units) -> DataFrame:
-    """(unit, once): how many of a unit's words were seen once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u: Units = units.value
-        once = np.zeros(u.size, np.int64)
-        for batch in batches:
-            once += np.bincount(np.array(u.of(column(batch, "word").to_pylist()), np.int64), minlength=u.size)
-        k = np.flatnonzero(once)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(once[k])], ["unit", "once"])
-
-    return counts.filter("n = 1").select("word").mapInArrow(count, "unit int, once long").groupBy("unit").agg(F.sum("once").alias("once"))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(n: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+def likelihood(grid: np.ndarray) -> float:
+    """What of the bigrams' log likelihood depends on the classes."""
+    return float(_xlogx(grid).sum() - _xlogx(grid.sum(0)).sum() - _xlogx(grid.sum(1)).sum())
+
+
+def exchange(n: np.ndarray, classes: int) -> np.ndarray:
     """Classes of the units by exchange clustering of their bigram counts ``n``. Unit 0, the border, stays alone in class 0.
 
     A sweep takes the units by falling count, lifts each out of its class and puts it where the bigram likelihood
-    sum N(c,d) log N(c,d) - sum N(c) log N(c) - sum N(d) log N(d) becomes largest. Ties go to the lower class.
+    sum N(c,d) log N(c,d) - sum N(c) log N(c) - sum N(d) log N(d) becomes largest, until a sweep moves nothing. Ties stay, then go to
+    the lower class. Every move raises the likelihood, so the sweeps end.
     """
     size = len(n)
     order = [int(u) for u in np.argsort(-(n.sum(0) + n.sum(1)), kind="stable") if u]
@@ -145,119 +162,346 @@ def exchange(n: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     member[np.arange(size), of] = 1
     right, left = n @ member, n.T @ member  # by unit: counts towards each class, and from it
     grid = member.T @ right
-    for _ in range(sweeps):
+    every, moved = np.arange(classes)[None], 1
+    while moved:
         moved = 0
         for u in order:
-            a, own = of[u], n[u, u]
-            r, c = right[u].copy(), left[u].copy()
-            if not (r.any() or c.any()):
+            a = of[u]
+            if not (right[u].any() or left[u].any()):
                 continue
+            gain = move_gains(grid, right[u : u + 1], left[u : u + 1], n[u : u + 1, u], of[u : u + 1], every)[0]
+            b = 1 + int(np.argmax(gain[1:]))
+            if gain[b] <= 1e-6:
+                continue
+            moved += 1
+            r, c, own = right[u].copy(), left[u].copy(), n[u, u]
             r[a] -= own
             c[a] -= own
             grid[a] -= r
             grid[:, a] -= c
             grid[a, a] -= own
-            base = _xlogx(grid)
-            rows, cols, diag = _xlogx(grid + r) - base, _xlogx(grid + c[:, None]) - base, np.diag(grid)
-            gain = rows.sum(1) - np.diag(rows) + cols.sum(0) - np.diag(cols) + _xlogx(diag + r + c + own) - np.diag(base)
-            out, into = grid.sum(1), grid.sum(0)
-            gain -= _xlogx(out + r.sum() + own) - _xlogx(out) + _xlogx(into + c.sum() + own) - _xlogx(into)
-            gain[0] = -np.inf
-            b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
             grid[b] += r
             grid[:, b] += c
             grid[b, b] += own
-            if b != a:
-                moved += 1
-                of[u] = b
-                right[:, a] -= n[:, u]
-                right[:, b] += n[:, u]
-                left[:, a] -= n[u]
-                left[:, b] += n[u]
-        if not moved:
-            break
+            of[u] = b
+            right[:, a] -= n[:, u]
+            right[:, b] += n[:, u]
+            left[:, a] -= n[u]
+            left[:, b] += n[u]
     return of
 
 
+def move_gains(grid: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, of: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """(units, k): by how much the likelihood rises if a unit alone moves to each of the classes ``to`` (units, k).
+
+    right, left: a unit's counts before and after each class, itself included; own: how often it follows itself.
+    """
+    k = np.arange(len(of))
+    r, c = right.copy(), left.copy()
+    r[k, of] -= own
+    c[k, of] -= own
+    home = to == of[:, None]
+
+    def rise(grid: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows of the classes without the unit: what they gain in cells and lose in sums, and their diagonal."""
+        g = grid[to]
+        g[k, :, of] -= c[k[:, None], to]
+        g -= home[:, :, None] * r[:, None, :]
+        g[k, :, of] -= home * own[:, None]
+        np.maximum(g, 0, out=g)
+        diag = np.take_along_axis(g, to[:, :, None], 2)[:, :, 0]
+        cells = _xlogx(g + r[:, None, :]) - _xlogx(g)
+        # what stands before the unit is in its class's sum wherever the unit goes
+        total, n = g.sum(2) + c[k[:, None], to], r.sum(1)[:, None] + own[:, None]
+        return cells.sum(2) - np.take_along_axis(cells, to[:, :, None], 2)[:, :, 0], _xlogx(total + n) - _xlogx(total), diag
+
+    (rows, out, diag), (cols, into, _) = rise(grid, r, c), rise(grid.T, c, r)
+    at = np.take_along_axis(r + c, to, 1) + own[:, None]
+    gain = rows + cols + _xlogx(diag + at) - _xlogx(diag) - out - into
+    stay = np.where(home, gain, 0).sum(1) / np.maximum(home.sum(1), 1)
+    return gain - stay[:, None]
+
+
+def _by_class(batch: pa.RecordBatch, side: str, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, classes): the counts of a row's neighbours on one side by their class, -1 being none; and how often a row is its own neighbour."""
+    lists = column(batch, side)
+    size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    v, n = flat.field("v").to_numpy(), flat.field("n").to_numpy()
+    row, c = np.repeat(np.arange(batch.num_rows), size), of[v]
+    total = np.bincount((row * classes + c)[c >= 0], n[c >= 0], batch.num_rows * classes).reshape(-1, classes)
+    itself = v == np.repeat(column(batch, "u").to_numpy(), size)
+    return total, np.bincount(row[itself], n[itself], batch.num_rows)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+class Rounds:
+    """Exchange rounds over the units, one row each: (u, right, left), arrays of (v, n). A row holds at most twice the units, whatever the corpus."""
+
+    def __init__(self, bigrams: DataFrame, classes: int):
+        self.spark, self.classes = bigrams.sparkSession, classes
+        side = lambda u, v, after: F.struct(F.col(u).alias("u"), F.lit(after).alias("after"), F.struct(F.col(v).alias("v"), "n").alias("x"))
+        beside = bigrams.select(F.explode(F.array(side("a", "b", True), side("b", "a", False))).alias("e")).select("e.*")
+        self.units = stored(beside.groupBy("u").agg(F.collect_list(F.when(F.col("after"), F.col("x"))).alias("right"), F.collect_list(F.when(~F.col("after"), F.col("x"))).alias("left")))
+
+    def _best(self, of: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, class) of the rows that ``choose`` picks, by falling gain; at most one row a unit reaches the driver."""
+        shared, classes = self.spark.sparkContext.broadcast(of), self.classes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = shared.value
+            for part in _slices(batches):
+                u = column(part, "u").to_numpy()
+                (right, own), (left, _) = _by_class(part, "right", of, classes), _by_class(part, "left", of, classes)
+                pick, best, gain = choose(u, of[u], right, left, own)
+                yield pa.RecordBatch.from_arrays([pa.array(u[pick]), pa.array(best[pick]), pa.array(gain[pick])], ["u", "best", "gain"])
+
+        found = self.units.mapInArrow(run, "u int, best long, gain double").toArrow()
+        shared.unpersist()
+        u, best = found["u"].to_numpy(), found["best"].to_numpy()
+        order = np.lexsort((u, -found["gain"].to_numpy()))
+        return u[order], best[order]
+
+    def placed(self, of: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """``of`` with the units without a class (-1) put where their neighbours that have one make them likeliest."""
+        after, before = assignment(grid)
+        u, best = self._best(of, lambda u, mine, right, left, own: (mine < 0, 1 + (right @ after.T + left @ before)[:, 1:].argmax(1), np.zeros(len(u))))
+        out = np.where(of < 0, 1 + np.arange(len(of)) % (self.classes - 1), of)
+        out[u] = best
+        return out
+
+    def moves(self, of: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        after, before = assignment(grid)
+        most = min(SHORTLIST, self.classes - 1)
+
+        def choose(u, mine, right, left, own):
+            fit = (right @ after.T + left @ before)[:, 1:]
+            to = np.hstack([mine[:, None], 1 + np.argpartition(-fit, most - 1, axis=1)[:, :most]])
+            gain = move_gains(grid, right, left, own, mine, to)
+            best, k = gain.argmax(1), np.arange(len(u))
+            return (gain[k, best] > 1e-6) & (u > 0), to[k, best], gain[k, best]
+
+        return self._best(of, choose)
+
+    def grid(self, of: np.ndarray) -> np.ndarray:
+        """Class bigrams of the units that have a class."""
+        shared, classes = self.spark.sparkContext.broadcast(of), self.classes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, total = shared.value, np.zeros((classes, classes))
+            for part in _slices(batches):
+                mine = of[column(part, "u").to_numpy()]
+                np.add.at(total, mine[mine >= 0], _by_class(part, "right", of, classes)[0][mine >= 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes)), pa.array(total.ravel())], ["cell", "n"])
+
+        found = self.units.select("u", "right").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        shared.unpersist()
+        out = np.zeros(classes * classes)
+        out[found["cell"].to_numpy()] = found["n"].to_numpy()
+        return out.reshape(classes, classes)
+
+    def settle(self, of: np.ndarray, least_gain: float) -> tuple[np.ndarray, int]:
+        """Classes when nothing moves or a round gains under ``least_gain`` nats a token, and how many units would still move alone."""
+        grid = self.grid(of)
+        now, tokens = likelihood(grid), max(1.0, grid.sum())
+        while True:
+            u, best = self.moves(of, grid)
+            if not len(u):
+                return of, 0
+            go = len(u)
+            while True:  # all moves, or the half, quarter and so on that gain most alone; a single one does raise the likelihood
+                trial = of.copy()
+                trial[u[:go]] = best[:go]
+                there = self.grid(trial)
+                gain = likelihood(there) - now
+                if gain > 0 or go == 1:
+                    break
+                go = -(-go // 2)
+            if gain <= 0:
+                return of, len(u)
+            of, grid, now = trial, there, now + gain
+            if gain < least_gain * tokens:
+                return of, len(self.moves(of, grid)[0])
+
+
+def assignment(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, classes) twice: what a neighbour of class d after, or of class c before, adds to the likelihood of a rare word's class.
+
+    right[c, d] = log P(d after c), left[c, d] = log P(d after c) - log P(d): the change of the bigram likelihood to first order.
+    """
+    g = grid + 0.1
+    right = np.log(g) - np.log(g.sum(1, keepdims=True))
+    return right, np.log(g) - np.log(g.sum(0, keepdims=True))
+
+
+def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """(word, n, cls) of the training words that are no units, by the classes beside them; a null word's rows are the class bigrams they are in, cls being the cell.
+
+    Beside two such words the other's ending stands for it, and either counts the pair half. Words are dealt out by hash; none is
+    more frequent than the units.
+    """
+    classes = len(grid)
+    spark = texts.sparkSession
+    shared, fit = spark.sparkContext.broadcast(of), spark.sparkContext.broadcast(assignment(grid))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u: Units = units.value
+        for batch in batches:
+            for _, docs in pieces(batch, text):
+                line: list[int] = [0]
+                flat: list[bytes] = [b""]
+                for doc in docs:
+                    words = doc.lower().split()
+                    flat += words
+                    flat.append(b"")
+                    line += u.of(words)
+                    line.append(0)
+                ids = np.array(line, np.int64)
+                rare = np.flatnonzero(ids > u.words)
+                side = (shared.value[ids] + classes * (ids > u.words)).astype(np.int16)  # others by their ending, marked
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i] for i in rare.tolist()], pa.binary()), pa.array(side[rare - 1]), pa.array(side[rare + 1])], ["word", "p", "q"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after, before = fit.value
+        # by the class beside: what it adds for each class
+        after, before = np.vstack([after.T, after.T]), np.vstack([before, before])
+        weight = np.repeat([1.0, 0.5], classes)
+        total = np.zeros((classes, classes))
+        held: tuple[bytes, np.ndarray, np.ndarray] | None = None  # the last word may go on: its neighbours' counts
+
+        def decide(word, p, q):
+            cls = 1 + int((p @ before + q @ after)[1:].argmax())
+            total[:, cls] += (p * weight).reshape(2, classes).sum(0)
+            total[cls] += (q * weight).reshape(2, classes).sum(0)
+            return word, int(p.sum()), cls
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 50_000):
+                part = batch.slice(begin, 50_000)
+                if not part.num_rows:
+                    continue
+                code = column(part, "word").dictionary_encode()
+                names, code = code.dictionary.to_pylist(), code.indices.to_numpy()
+                p, q = column(part, "p").to_numpy(), column(part, "q").to_numpy()
+                out: list[tuple[bytes, int, int]] = []
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                size = np.diff(np.append(first, len(code)))
+                last = slice(first[-1], None)
+                count = lambda x, s: np.bincount(x[s], minlength=2 * classes).astype(float)
+                if held and (len(first) > 1 or held[0] != names[-1]):
+                    if held[0] == names[0]:
+                        held = (held[0], held[1] + count(p, slice(0, size[0])), held[2] + count(q, slice(0, size[0])))
+                        first, size = first[1:], size[1:]
+                    out.append(decide(*held))
+                    held = None
+                if held:
+                    held = (held[0], held[1] + count(p, last), held[2] + count(q, last))
+                    continue
+                held = (names[-1], count(p, last), count(q, last))
+                if len(first) > 1:
+                    s = slice(first[0], first[-1])
+                    cls = 1 + np.add.reduceat(before[p[s]] + after[q[s]], first[:-1] - first[0])[:, 1:].argmax(1)
+                    each = np.repeat(cls, size[:-1])
+                    np.add.at(total, (p[s] % classes, each), weight[p[s]])
+                    np.add.at(total, (each, q[s] % classes), weight[q[s]])
+                    out += zip([names[i] for i in code[first[:-1]].tolist()], size[:-1].tolist(), cls.tolist(), strict=True)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([float(x[1]) for x in out]), pa.array([x[2] for x in out], pa.int32())], ["word", "n", "cls"])
+        if held:
+            word, n, cls = decide(*held)
+            yield pa.RecordBatch.from_arrays([pa.array([word], pa.binary()), pa.array([float(n)]), pa.array([cls], pa.int32())], ["word", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(classes * classes, pa.binary()), pa.array(total.ravel()), pa.array(np.arange(classes * classes).astype(np.int32))], ["word", "n", "cls"])
+
+    dealt = texts.select(text).mapInArrow(around, "word binary, p short, q short").repartition("word").sortWithinPartitions("word")
+    return stored(dealt.mapInArrow(assign, "word binary, n double, cls int"))
+
+
 class Model:
-    """What a worker needs to score: the classes of units, log10 transitions, and the frequent words' log10 emissions."""
+    """What a worker needs to score: the endings' classes, log10 transitions, and the frequent words' classes and log10 emissions.
 
-    def __init__(self, units: Units, of: np.ndarray, bigrams: np.ndarray, once: np.ndarray, head: list[tuple[bytes, int]], tokens: int, types: int, border: int, classes: int, prior: float):
-        member = np.zeros((units.size, classes))
-        member[np.arange(units.size), of] = 1
-        grid = member.T @ bigrams @ member
-        total = grid.sum(0)  # of tokens by class: the border is the end of every text
+    grid: class bigrams; total, once: by class, the count of its words and how many of them were seen once; head: (word, count, class).
+    """
+
+    def __init__(self, forms: np.ndarray, grid: np.ndarray, total: np.ndarray, once: np.ndarray, head: list[tuple[bytes, int, int]], tokens: int, types: int, border: int, prior: float):
+        classes = len(grid)
         unigram = (total + 1) / (total.sum() + classes)
         self.move = np.log10((grid + prior * unigram) / (grid.sum(1, keepdims=True) + prior))
-        unseen = (member.T @ once + 1) / (total + 2)
+        unseen = (once + 1) / (total + 2)
         unseen[0] = 0.0  # the end has no unseen words
         with np.errstate(divide="ignore"):
             self.unseen = np.log10(unseen)
             self.share = np.log10(1 - unseen) - np.log10(np.maximum(total, 1))
-        self.units, self.of = units, of
+        self.forms = forms
         self.floor, self.scale = 0.1, tokens + 0.1 * (types + 1)
         self.border_base = math.log10((border + 0.1) / self.scale)
         #: By word: row in the arrays below.
-        self.row = {w: i for i, (w, _) in enumerate(head)}
-        counts = np.array([n for _, n in head], float)
-        self.head_class = of[np.array(units.of([w for w, _ in head]), np.int64)] if head else np.zeros(0, np.int64)
-        units.cache = {}
+        self.row = {w: i for i, (w, _, _) in enumerate(head)}
+        counts = np.array([n for _, n, _ in head], float)
+        self.head_class = np.array([c for _, _, c in head], np.int64)
         self.head_base = np.log10((counts + 0.1) / self.scale)
-        self.head_log = self.share[self.head_class] + np.log10(counts) if head else np.zeros(0)
+        self.head_log = self.share[self.head_class] + np.log10(np.maximum(counts, 1))
+
+
+_SCORED = ["rid", "pos", "word", "p", "q", "form", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
 
 def _score(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        row, form, of = m.row.get, form_unit, m.of.tolist()
-        words, forms = m.units.words, m.units.forms
+        row, of, forms = m.row.get, m.forms.tolist(), len(m.forms)
         for batch in batches:
             for part, docs in pieces(batch, "text"):
                 n = len(docs)
-                rids = column(part, "rid").to_pylist()
+                rids = column(part, "rid").to_numpy()
                 tokens = [doc.lower().split() for doc in docs]
                 lengths = np.array([len(t) for t in tokens], np.int64)
                 flat = [w for t in tokens for w in t]
                 rows = np.array([row(w, -1) for w in flat], np.int64)
                 owner = np.repeat(np.arange(n), lengths)
-                classes = np.zeros(len(flat), np.int64)
                 known = rows >= 0
-                classes[known] = m.head_class[rows[known]]
-                rare = np.flatnonzero(~known)
-                tail: Counter = Counter()
-                for i, d in zip(rare.tolist(), owner[rare].tolist(), strict=True):
-                    w = flat[i]
-                    classes[i] = c = of[form(w, words, forms)]
-                    tail[d, w, c] += 1
-                # the text's classes between two borders, all texts in one line
+                classes = np.where(known, m.head_class[rows] if len(m.head_class) else 0, -1)
+                # the text's classes between two borders, all texts in one line; -1 for words that are joined
                 line = np.zeros(len(flat) + n + 1, np.int64)
                 ends = np.cumsum(lengths + 1)
                 inside = np.ones(len(line), bool)
                 inside[0] = False
                 inside[ends] = False
                 line[inside] = classes
-                step = m.move[line[:-1], line[1:]]
+                both = (line[:-1] >= 0) & (line[1:] >= 0)
+                step = np.where(both, m.move[line[:-1], line[1:]], 0.0)
                 begins = np.concatenate([[0], ends[:-1]])
                 score = np.add.reduceat(step, begins) if n else np.zeros(0)
                 score += np.bincount(owner[known], m.head_log[rows[known]], n)
                 base = np.bincount(owner[known], m.head_base[rows[known]], n) + m.border_base
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "rid"), pa.array([b" %d" % r for r in rids], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), column(part, "doc_id"), column(part, "held_out"), pa.array(lengths + 1), pa.array(np.bincount(owner[known], minlength=n) + 1), pa.array(base), pa.array(score)],
-                    ["rid", "word", "tf", "cls", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+                    # the key of a text's own row is no word and spreads the rows in the join
+                    [pa.array(rids), pa.array([-1] * n, pa.int64()), pa.array([b" %d" % r for r in rids.tolist()], pa.binary()), *[pa.nulls(n, pa.int32())] * 3, column(part, "doc_id"), column(part, "held_out"), pa.array(lengths + 1), pa.array(np.bincount(owner[known], minlength=n) + 1), pa.array(base), pa.array(score)],
+                    _SCORED,
                 )
-                if tail:
-                    k = len(tail)
+                rare = np.flatnonzero(~known)
+                for i in range(0, len(rare), 50_000):
+                    at = rare[i : i + 50_000]
+                    place = np.flatnonzero(inside)[at]
+                    words, k = [flat[j] for j in at.tolist()], len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([rids[d] for d, _, _ in tail], pa.int64()), pa.array([w for _, w, _ in tail], pa.binary()), pa.array(list(tail.values()), pa.int32()), pa.array([c for _, _, c in tail], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 2],
-                        ["rid", "word", "tf", "cls", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+                        [pa.array(rids[owner[at]]), pa.array(place), pa.array(words, pa.binary()), pa.array(line[place - 1].astype(np.int32)), pa.array(line[place + 1].astype(np.int32)), pa.array([of[form_of(w, forms)] for w in words], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 2],
+                        _SCORED,
                     )
 
     return run
 
 
-def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 10, words: int = 1024, forms: int = 1024, classes: int = 64, sweeps: int = 6, prior: float = 20.0) -> DataFrame:
+def _numbers(x: np.ndarray) -> Column:
+    """The numbers as a constant array."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in np.maximum(x, -99).ravel())), ",").cast("array<double>")
+
+
+def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 10, words: int = 16_384, forms: int = 1024, seeds: int = 256, classes: int = 64, least_gain: float = 5e-4, prior: float = 20.0) -> DataFrame:
     """Score every row of ``docs`` by a model learnt from the rows whose ``fold(id, folds)`` is not 0.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (10 ** (-score / n_tokens)).
@@ -268,29 +512,56 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("held_out", fold("doc_id", folds) == 0)
     train = docs.filter(~F.col("held_out"))
     counts = stored(word_counts(train, "text"))
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n_words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = frequent(counts, HEAD)
     units = Units([w for w, _ in head], words, forms)
     shared = spark.sparkContext.broadcast(units)
-    grid = np.zeros((units.size, units.size))
-    found = unit_bigrams(train, "text", shared).toArrow()
-    grid[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
-    # each task begins and ends its line with a border; texts are counted where a border is reached
-    border = int(grid[:, 0].sum())
-    once = np.zeros(units.size)
-    for u, k in unit_totals(counts, shared).collect():
-        once[u] = k
-    of = exchange(grid, classes, sweeps)
-    tokens, types = size[0] + border, size[1] + (border > 0)
-    model = Model(units, of, grid, once, head, tokens, types, border, classes, prior)
-    scored = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(spark.sparkContext.broadcast(model)), "rid long, word binary, tf int, cls int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    share, unseen = (F.array(*[F.lit(float(x)) for x in xs]) for xs in (model.share, np.maximum(model.unseen, -99)))
-    at = F.col("cls") + 1
-    joined = scored.join(counts, "word", "left").select(
+    bigrams = stored(unit_bigrams(train, "text", shared))
+    # seeds by exchange on the driver, then all units in rounds
+    first = min(seeds, units.words) + 1
+    found = bigrams.filter((F.col("a") < first) & (F.col("b") < first)).toArrow()
+    matrix = np.zeros((first, first))
+    matrix[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    of = np.full(units.size, -1)
+    of[:first] = exchange(matrix, classes)
+    member = np.eye(classes)[of[:first]]
+    rounds = Rounds(bigrams, classes)
+    of, _ = rounds.settle(rounds.placed(of, member.T @ matrix @ member), least_gain)
+    rest = rest_of(train, "text", shared, of, rounds.grid(of))
+    # the model's class bigrams: of units that are words, and of all other words as they are assigned
+    grid = rounds.grid(np.where(np.arange(units.size) <= units.words, of, -1))
+    for cell, n in rest.filter("word is null").groupBy("cls").agg(F.sum("n")).collect():
+        grid[cell // classes, cell % classes] += n
+    # every text ends in a border
+    border = train.count()
+    total, once = np.zeros(classes), np.zeros(classes)
+    total[0] = border
+    rest = rest.filter("word is not null").withColumn("n", F.col("n").cast("long"))
+    for cls, n, k in rest.groupBy("cls").agg(F.sum("n"), F.count_if(F.col("n") == 1)).collect():
+        total[cls], once[cls] = n, k
+    for w, n in head[: units.words]:
+        total[of[units.known[w]]] += n
+        once[of[units.known[w]]] += n == 1
+    joined = {}
+    if len(head) > units.words:
+        told = rest.filter(F.col("n") >= head[-1][1]).toArrow()
+        joined = dict(zip(told["word"].to_pylist(), told["cls"].to_pylist(), strict=True))
+    named = [(w, n, int(of[units.known[w]]) if w in units.known else joined[w]) for w, n in head]
+    tokens = n_words + border
+    model = Model(of[units.words + 1 :], grid, total, once, named, tokens, types + (border > 0), border, prior)
+    scored = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(spark.sparkContext.broadcast(model)), "rid long, pos long, word binary, p int, q int, form int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    share, unseen, move = _numbers(model.share), _numbers(model.unseen), _numbers(model.move)
+    own = F.col("pos") < 0
+    with_class = scored.join(rest, "word", "left").select("rid", "pos", "p", "q", "n", F.coalesce("cls", "form").alias("c"), "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    # a text's joined words in order: where one stands before another, its class is the other's class before
+    before = F.when(F.col("p") >= 0, F.col("p")).otherwise(F.lag("c").over(Window.partitionBy("rid").orderBy("pos")))
+    step = lambda a, b: F.element_at(move, (a * classes + b + 1).cast("int"))
+    emitted = F.when(F.col("n").isNotNull(), F.log10("n") + F.element_at(share, F.col("c") + 1)).otherwise(F.element_at(unseen, F.col("c") + 1))
+    each = with_class.withColumn("before", before).select(
         "rid", "doc_id", "held_out", "n_tokens",
-        F.when(F.col("tf").isNull(), F.col("n_known")).when(F.col("n").isNotNull(), F.col("tf").cast("long")).alias("n_known"),
-        F.when(F.col("tf").isNull(), F.col("base")).otherwise(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(model.scale))).alias("base"),
-        F.when(F.col("tf").isNull(), F.col("score")).when(F.col("n").isNotNull(), F.col("tf") * (F.log10("n") + F.element_at(share, at))).otherwise(F.col("tf") * F.element_at(unseen, at)).alias("score"),
+        F.when(own, F.col("n_known")).when(F.col("n").isNotNull(), 1).otherwise(0).alias("n_known"),
+        F.when(own, F.col("base")).otherwise(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(model.scale))).alias("base"),
+        F.when(own, F.col("score")).otherwise(emitted + step(F.col("before"), F.col("c")) + F.when(F.col("q") >= 0, step(F.col("c"), F.col("q"))).otherwise(0.0)).alias("score"),
     )
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    out = each.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -77,31 +77,85 @@ def test_classes_beat_single_words(spark, corpus):
 
 
 def test_model_is_a_distribution():
-    """From any class, the moves' and the words' probabilities sum to 1."""
+    """From any class, the moves' probabilities sum to 1, and so do those of its words with its share of unseen ones."""
     rng = np.random.default_rng(1)
-    units = N.Units([b"a", b"b", b"c"], 3, 2)
-    n = rng.integers(1, 20, (units.size, units.size)).astype(float)
-    head = [(w, int(n.sum(0)[i])) for w, i in units.known.items()]
-    of = N.exchange(n, 3, 3)
-    m = N.Model(units, of, n, np.zeros(units.size), sorted(head, key=lambda x: (-x[1], x[0])), 100, 3, int(n[:, 0].sum()), 3, 20.0)
+    grid = rng.integers(1, 20, (3, 3)).astype(float)
+    head = [(b"a", 9, 1), (b"b", 6, 1), (b"c", 4, 2)]
+    m = N.Model(np.array([1, 2]), grid, np.array([5.0, 15.0, 4.0]), np.array([0.0, 0.0, 1.0]), head, 24, 4, 5, 20.0)
     assert np.allclose((10**m.move).sum(1), 1)
-    for c in range(1, 3):
-        own = [w for w in units.known if of[units.known[w]] == c]
-        seen = sum(10 ** (m.share[c] + math.log10(dict(head)[w])) for w in own)
-        forms = sum(n.sum(0)[4 + f] for f in range(2) if of[4 + f] == c)
-        assert seen + 10 ** m.share[c] * forms + 10 ** m.unseen[c] == pytest.approx(1)
+    for c in (1, 2):
+        assert sum(10 ** m.head_log[m.row[w]] for w, _, k in head if k == c) + 10 ** m.unseen[c] == pytest.approx(1)
+
+
+def small_bigrams(size=41, seed=2):
+    rng = np.random.default_rng(seed)
+    n = np.zeros((size, size))
+    for i in range(1, size):
+        for j in range(1, size):
+            n[i, j] = rng.integers(5, 15) * ((i <= size // 2) == (j <= size // 2))
+    return n
 
 
 def test_exchange_finds_the_kinds():
-    rng = np.random.default_rng(2)
-    n = np.zeros((41, 41))
-    for i in range(1, 41):
-        for j in range(1, 41):
-            n[i, j] = rng.integers(5, 15) * ((i <= 20) == (j <= 20))
-    of = N.exchange(n, 3, 10)
+    of = N.exchange(small_bigrams(), 3)
     assert len(set(of[1:21])) == 1 and len(set(of[21:])) == 1 and of[1] != of[40] and of[0] == 0
 
 
+def test_gains_are_the_likelihoods_rise():
+    rng = np.random.default_rng(0)
+    n, of = rng.poisson(1, (30, 30)).astype(float), rng.integers(1, 5, 30)
+    of[0] = 0
+
+    def value(of):
+        member = np.eye(5)[of]
+        return N.likelihood(member.T @ n @ member)
+
+    member = np.eye(5)[of]
+    got = N.move_gains(member.T @ n @ member, n @ member, n.T @ member, np.diag(n).copy(), of, np.tile(np.arange(5), (30, 1)))
+    for u in range(1, 30):
+        for b in range(1, 5):
+            there = of.copy()
+            there[u] = b
+            assert got[u, b] == pytest.approx(value(there) - value(of), abs=1e-6)
+
+
+def test_rounds_settle_where_no_unit_gains_alone(spark):
+    n = small_bigrams()
+    bigrams = spark.createDataFrame([(i, j, int(n[i, j])) for i in range(41) for j in range(41) if n[i, j]], "a int, b int, n long")
+    rounds = N.Rounds(bigrams, 4)
+    rng = np.random.default_rng(5)
+    begin = rng.integers(1, 4, 41)
+    begin[0] = 0
+    assert np.allclose(rounds.grid(begin), np.eye(4)[begin].T @ n @ np.eye(4)[begin])
+    of, left = rounds.settle(begin, 0.0)
+    assert left == 0 and not len(rounds.moves(of, rounds.grid(of))[0])
+    assert N.likelihood(rounds.grid(of)) >= N.likelihood(rounds.grid(begin))
+    assert not set(of[1:21]) & set(of[21:])
+    placed = rounds.placed(np.where(np.arange(41) % 3 == 0, -1, of) * (np.arange(41) > 0), rounds.grid(of))
+    assert not set(placed[1:21]) & set(placed[21:])
+
+
+def test_every_training_word_has_a_class_of_its_contexts(spark):
+    """Rare words go to the class that brute force finds, their counts and class bigrams being whole."""
+    rng = random.Random(9)
+    a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    rows = [(i, " ".join(x for _ in range(15) for x in (rng.choice(a), rng.choice(b))) + f" {rng.choice(a)} odd{i % 40}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.encode("text", "utf-8").alias("text"))
+    names = [x.encode() for x in a + b]
+    units = N.Units(names, 24, 4)
+    of = np.array([0, *[1] * 12, *[2] * 12, 1, 2, 3, 3])
+    grid = np.ones((4, 4))
+    grid[1, 2] = grid[2, 1] = grid[2, 0] = 900
+    got = N.rest_of(df, "text", spark.sparkContext.broadcast(units), of, grid).collect()
+    words = {r.word: (int(r.n), r.cls) for r in got if r.word is not None}
+    assert words == {f"odd{i}".encode(): (5, 2) for i in range(40)}
+    cells = Counter()
+    for r in got:
+        if r.word is None:
+            cells[divmod(r.cls, 4)] += r.n
+    assert {k: v for k, v in cells.items() if v} == {(1, 2): 200, (2, 0): 200}
+
+
 def test_lm_edges(spark, edge, no_docs):
     df, rows = edge
     got = N.class_bigram_scores(df, words=8, forms=4, classes=4).collect()
