@@ -1,33 +1,38 @@
 """Operator 4: quality rules with line sequence labelling by a linear-chain conditional random field.
 
 Every line is content or boilerplate. The field's weights (a weight of each feature for each label, and of each step between
-labels) are fitted by gradient ascent of the regularised conditional likelihood on a bounded sample of labelled documents, whose
-lines take their document's label; Viterbi decoding labels the lines of every document, and the share of words in content
-lines decides whether it is kept, after base rules on length and repetition.
+labels) are fitted by the regularised conditional likelihood of the lines' labels; Viterbi decoding labels the lines of every document,
+and the share of words in content lines decides whether it is kept, after base rules on length and repetition.
+
+No line labels exist, so they come from two sources: a line that stands between many different neighbours in the corpus is set into
+texts, hence boilerplate, in good documents too; all lines of a document of low quality are boilerplate; the rest is content. So labels
+differ within a text. How often a line recurs is also a feature, beside its form; it is counted over all documents by the lines'
+hashes. The fit takes a bounded sample of labelled documents; every step of L-BFGS sums the gradient over partitions.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, pieces
+from .common import column, pieces, stored
 
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _END = b".!?\"')"
-#: Words of notices, as whole lower-case words.
-_NOTICE = {b"license", b"licensed", b"copyright", b"rights", b"reserved", b"cookies", b"privacy", b"subscribe", b"login", b"terms"}
-FEATURES = 13
+#: Features of a line's form, and of how it recurs.
+FORM, FEATURES = 13, 15
 _STRETCH, _PADDED = 64, 20_000
 
 
 def line_features(line: bytes, repeated: bool) -> list[float]:
+    """A line's form, each from 0 to 1."""
     words = line.split()
     n, size = max(1, len(words)), max(1, len(line))
     symbols = (len(line) - len(line.translate(None, _SYMBOLS + b"!=+~^_@"))) / size
@@ -38,14 +43,14 @@ def line_features(line: bytes, repeated: bool) -> list[float]:
     return [
         1.0, min(1.0, symbols * 10), float(odd > 0.2), float(odd > 0.5), float(upper > lower), float(upper > 0.25 * (lower + 1)),
         float(n >= 12 and distinct < 0.6), float(n >= 12 and distinct < 0.35), float(len(words) < 4), float(bool(words) and words[-1][-1] in _END),
-        float(any(w.strip(b".,:;").lower() in _NOTICE for w in words)), float(repeated), float(np.log1p(n)) / 5,
+        float(upper > 0.1 * (lower + 1)), float(repeated), min(1.0, float(np.log1p(n)) / 5),
     ]
 
 
-def document_lines(data: bytes) -> tuple[list[list[float]], list[int], int]:
-    """Features and word counts of the lines with a word, and how many of these equal an earlier line."""
+def document_lines(data: bytes) -> tuple[list[list[float]], list[int], int, list[int], list[int]]:
+    """Of the lines with a word: features of form, word counts, how many equal an earlier line, hashes, and hashes of their neighbours."""
     seen: set[bytes] = set()
-    rows, sizes, dup = [], [], 0
+    rows, sizes, dup, hashes = [], [], 0, []
     for line in data.split(b"\n"):
         n = len(line.split())
         if n:
@@ -54,19 +59,21 @@ def document_lines(data: bytes) -> tuple[list[list[float]], list[int], int]:
             seen.add(line)
             rows.append(line_features(line, again))
             sizes.append(n)
-    return rows, sizes, dup
+            hashes.append(xxhash.xxh64_intdigest(line))
+    places = [xxhash.xxh64_intdigest(b"%d %d" % x) for x in zip([0, *hashes], [*hashes[1:], 0])]
+    return rows, sizes, dup, hashes, places
 
 
-def _pad(docs: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+def _pad(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(d) for d in docs])
     x = np.zeros((len(docs), max(1, length.max(initial=1)), FEATURES))
     for i, d in enumerate(docs):
-        if d:
+        if len(d):
             x[i, : len(d)] = d
     return x, length
 
 
-def _batches(order: list[int], docs: list[list[list[float]]]) -> Iterator[list[int]]:
+def _batches(order: list[int], docs: list[np.ndarray]) -> Iterator[list[int]]:
     """Documents, sorted by length, in batches of a bounded number of padded lines."""
     pick: list[int] = []
     for i in order:
@@ -86,31 +93,22 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
 class LineField:
     """Two labels, 1 is content. weights: (features, 2); step: (2, 2) from label to label."""
 
-    def __init__(self) -> None:
-        self.weights, self.step = np.zeros((FEATURES, 2)), np.zeros((2, 2))
-
-    def fit(self, docs: list[list[list[float]]], labels: list[int], rounds: int = 120, rate: float = 0.1, penalty: float = 1e-3) -> LineField:
-        """Documents are weighted so that both labels count alike; every line of a document has its label."""
-        pick = [i for i, d in enumerate(docs) if d]
-        number = Counter(labels[i] for i in pick)
-        if len(number) < 2:
-            return self
-        # long documents in stretches of lines, so that little is padded
-        cut = [(i, s) for i in pick for s in range(0, len(docs[i]), _STRETCH)]
-        y = np.array([labels[i] for i, _ in cut])
-        x, length = _pad([docs[i][s : s + _STRETCH] for i, s in cut])
-        share = np.array([0.5 / number[labels[i]] / len(docs[i]) for i, _ in cut])
-        here = np.arange(x.shape[1])[None, :] < length[:, None]
-        w, t = self.weights, self.step
-        mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
-        gold = np.zeros((*here.shape, 2))
-        gold[np.arange(len(y))[:, None], np.arange(x.shape[1])[None, :], y[:, None]] = 1
-        gold *= here[:, :, None]
-        steps = np.zeros((2, 2))
-        np.add.at(steps, (y, y), share * (length - 1))
-        for k in range(1, rounds + 1):
-            e = x @ w
-            m = x.shape[1]
+    def __init__(self, parameters: np.ndarray | None = None) -> None:
+        x = np.zeros(2 * FEATURES + 4) if parameters is None else parameters
+        self.weights, self.step = x[:-4].reshape(FEATURES, 2), x[-4:].reshape(2, 2)
+
+    def gradient(self, docs: list[np.ndarray], labels: list[np.ndarray], share: list[float]) -> np.ndarray:
+        """The lines' log likelihood, documents weighted by ``share``, and behind it its gradient. Long documents go in stretches of lines, so that little is padded."""
+        out = np.zeros(1 + 2 * FEATURES + 4)
+        cut = sorted(((i, s) for i, d in enumerate(docs) for s in range(0, len(d), _STRETCH)), key=lambda x: min(_STRETCH, len(docs[x[0]]) - x[1]))
+        for pick in _batches(list(range(len(cut))), [docs[i][s : s + _STRETCH] for i, s in cut]):
+            x, length = _pad([docs[i][s : s + _STRETCH] for i, s in (cut[k] for k in pick)])
+            weight = np.array([share[cut[k][0]] for k in pick])
+            here = np.arange(x.shape[1])[None, :] < length[:, None]
+            gold = np.zeros((*here.shape, 2))
+            for r, (i, s) in enumerate(cut[k] for k in pick):
+                gold[r, np.arange(length[r]), labels[i][s : s + _STRETCH]] = 1
+            e, t, m = x @ self.weights, self.step, x.shape[1]
             fwd, bwd = np.zeros_like(e), np.zeros_like(e)
             fwd[:, 0] = e[:, 0]
             for i in range(1, m):
@@ -120,20 +118,16 @@ class LineField:
             z = _logsum(fwd[:, -1], 1)
             p = np.exp(fwd + bwd - z[:, None, None]) * here[:, :, None]
             pair = np.exp(fwd[:, :-1, :, None] + t + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * here[:, 1:, None, None]
-            gw = np.einsum("nmf,nmk->fk", x, (gold - p) * share[:, None, None]) - penalty * w
-            gt = steps - np.einsum("nmab,n->ab", pair, share) - penalty * t
-            for g, mom, var, par in ((gw, mw, vw, w), (gt, mt, vt, t)):
-                mom *= 0.9
-                mom += 0.1 * g
-                var *= 0.99
-                var += 0.01 * g * g
-                par += rate * (mom / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.99**k)) + 1e-8)
-        return self
-
-    def decode(self, docs: list[list[list[float]]]) -> list[np.ndarray]:
+            steps = gold[:, :-1, :, None] * gold[:, 1:, None, :]
+            out[0] += (((gold * e).sum((1, 2)) + (steps * t).sum((1, 2, 3)) - z) * weight).sum()
+            out[1:-4] += np.einsum("nmf,nmk,n->fk", x, gold - p, weight).ravel()
+            out[-4:] += np.einsum("nmab,n->ab", steps - pair, weight).ravel()
+        return out
+
+    def decode(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi labels of each document's lines; ties go to content."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(docs)
-        order = sorted((i for i, d in enumerate(docs) if d), key=lambda i: len(docs[i]))
+        order = sorted((i for i, d in enumerate(docs) if len(d)), key=lambda i: len(docs[i]))
         for pick in _batches(order, docs):
             x, length = _pad([docs[i] for i in pick])
             e = x @ self.weights
@@ -167,54 +161,146 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(cover.sum())
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, train_docs: int) -> LineField:
-    """Fit on at most ``train_docs`` labelled documents (those with the smallest hash of the id)."""
-    pick = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
-    pick = pick.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
+def climb(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = 8, near: float = 1e-4) -> np.ndarray:
+    """Maximum of a concave function by L-BFGS; ends when a step gains less than ``near``."""
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, back = g.copy(), []
+        for s, y in reversed(past):
+            a = s @ d / (s @ y)
+            d -= a * y
+            back.append(a)
+        d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1.0
+        for (s, y), a in zip(past, reversed(back), strict=True):
+            d += (a - y @ d / (s @ y)) * s
+        size = 1.0
+        while True:
+            there = x + size * d
+            f2, g2 = value(there)
+            if f2 >= f + 1e-4 * size * (g @ d) or size < 1e-6:
+                break
+            size /= 4
+        s, y, gain = there - x, g - g2, f2 - f
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+        if gain > 0:
+            x, f, g = there, f2, g2
+        if gain < near:
+            break
+    return x
+
+
+_PARSED = "rid long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, th long, x binary, sizes array<int>, h array<long>, place array<long>"
+BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """The base columns of every row (rid, doc_id, text), and of its lines the features in bytes, word counts, hashes and neighbours' hashes; no texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data in pieces(batch, "text"):
-                x = [[v for row in document_lines(d)[0] for v in row] for d in data]
-                yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+                cols: list[list] = [[] for _ in range(11)]
+                for d in data:
+                    rows, sizes, dup, hashes, places = document_lines(d)
+                    words = d.split()
+                    n, repeat = len(words), repeated_words(words)
+                    x = np.rint(np.array(rows, float).reshape(-1, FORM) * 255).astype(np.uint8).tobytes()
+                    signed = [np.array(v, np.uint64).view(np.int64) for v in (hashes, places)]
+                    row = (n, len(b"".join(words).decode("utf-8", "replace")), len(d) - len(d.translate(None, _SYMBOLS)), dup, repeat, n < 50 or 100 * repeat > 50 * n, xxhash.xxh64_intdigest(d) - (1 << 63), x, sizes, *signed)
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+                types = [*[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([column(part, "rid"), column(part, "doc_id"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [c.split()[0] for c in _PARSED.split(", ")])
 
-    # the picked ids are a bounded table
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(pick), "id").select("id", "y", "text")
-    rows = sample.mapInArrow(run, "id long, y int, x array<double>").dropDuplicates(["id"]).toArrow().to_pylist()
-    rows.sort(key=lambda r: r["id"])
-    return LineField().fit([np.array(r["x"]).reshape(-1, FEATURES).tolist() for r in rows], [r["y"] for r in rows])
+    return docs.mapInArrow(run, _PARSED)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", least_content: float = 0.5, train_docs: int = 1500) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_content_words of every row; no shuffle of texts.
+def with_recurrence(parsed: DataFrame, min_docs: int) -> DataFrame:
+    """``parsed`` with ``seen``: array of (at, set) of the lines that stand in at least ``min_docs`` different texts; set: between as many different neighbours, too."""
+    each = parsed.select("rid", "th", F.posexplode(F.arrays_zip("h", "place")).alias("at", "l")).select("rid", "th", "at", "l.h", "l.place")
+    often = stored(each.groupBy("h").count().filter(F.col("count") >= min_docs).select("h"))
+    near = stored(each.join(often, "h"))
+    number = lambda c: near.select("h", c).distinct().groupBy("h").agg(F.count("*").alias(f"n_{c}")).filter(F.col(f"n_{c}") >= min_docs)
+    found = stored(number("th").join(number("place"), "h", "left").select("h", F.col("n_place").isNotNull().alias("set")))
+    seen = near.join(found, "h").groupBy("rid").agg(F.collect_list(F.struct("at", "set")).alias("seen"))
+    return parsed.drop("th", "h", "place").join(seen, "rid", "left")
 
-    base_failed: under 50 words, or over half of them in repeated three-word windows. kept: not base_failed, and at least
-    ``least_content`` of the words in lines labelled content. Null texts have no words and fail. Null ids and equal rows pass
-    through; ids with several labels count once, with the largest. Without labels of both kinds every line is content.
+
+def _features(part: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(lines, features) of each row, and which of its lines are set into texts."""
+    xs, sets = [], []
+    for raw, seen in zip(column(part, "x").to_pylist(), column(part, "seen").to_pylist(), strict=True):
+        form = np.frombuffer(raw, np.uint8).reshape(-1, FORM)
+        x = np.zeros((len(form), FEATURES))
+        x[:, :FORM] = form / 255
+        for s in seen or []:
+            x[s["at"], FORM], x[s["at"], FORM + 1] = 1, s["set"]
+        xs.append(x)
+        sets.append(x[:, FORM + 1] > 0)
+    return xs, sets
+
+
+def fit_field(lines: DataFrame, labels: DataFrame, id_col: str, label: str, train_docs: int, rounds: int = 40, penalty: float = 1e-3) -> np.ndarray:
+    """The field's parameters, fitted on at most ``train_docs`` labelled documents (those with the smallest hash of the id; of equal ids the row with the fewest words).
+
+    Documents are weighted so that both labels, and within them all documents, count alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_field(docs, labels, id_col, text, label, train_docs))
+    pick = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    pick = pick.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
+    # the picked ids are a bounded table
+    sample = lines.join(F.broadcast(pick), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min_by(F.struct("x", "seen"), F.struct("n_words", "x", "rid")).alias("l")).select("y", "l.*").filter(F.length("x") > 0)
+    sample = stored(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism))
+    number = dict(sample.groupBy("y").count().collect())
+    if len(number) < 2:
+        return np.concatenate([[0.0, 1.0], np.zeros(2 * FEATURES + 2)])  # nothing to learn from: content
+    spark = sample.sparkSession
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            field, total = LineField(x), np.zeros(1 + len(x))
+            for batch in batches:
+                for i in range(0, batch.num_rows, 500):
+                    part = batch.slice(i, 500)
+                    xs, sets = _features(part)
+                    y = column(part, "y").to_pylist()
+                    total += field.gradient(xs, [(k * ~s).astype(int) for k, s in zip(y, sets, strict=True)], [0.5 / number[k] / len(d) for k, d in zip(y, xs, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+        rows = sample.mapInArrow(run, "g array<double>").collect()  # a row of 35 numbers for each partition of the sample
+        total = np.sum([r[0] for r in rows], 0)
+        return total[0] - penalty / 2 * (x @ x), total[1:] - penalty * x
+
+    return climb(value, np.zeros(2 * FEATURES + 4), rounds)
+
+
+def labelled_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = 1500, min_docs: int = 5) -> DataFrame:
+    """The base columns of every row, its lines' word counts (sizes) and Viterbi labels (content: array<int>, 1 is content), of lines with a word. No text is shuffled."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    lines = stored(with_recurrence(stored(parsed_lines(own)), min_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_field(lines, labels, id_col, label, train_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field: LineField = shared.value
+        field = LineField(shared.value)
         for batch in batches:
-            for part, data in pieces(batch, "text"):
-                lines = [document_lines(d) for d in data]
-                marks = field.decode([x[0] for x in lines])
-                cols: list[list] = [[] for _ in range(8)]
-                for d, (_, sizes, dup), mark in zip(data, lines, marks, strict=True):
-                    words = d.split()
-                    n = len(words)
-                    repeat = repeated_words(words)
-                    content = int(np.array(sizes, np.int64)[mark == 1].sum())
-                    failed = n < 50 or 100 * repeat > 50 * n
-                    row = (n, len(b"".join(words).decode("utf-8", "replace")), len(d) - len(d.translate(None, _SYMBOLS)), dup, repeat, failed, not failed and content >= least_content * n, content)
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["doc_id", *NAMES])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                marks = field.decode(_features(part)[0])
+                yield pa.RecordBatch.from_arrays([*[column(part, c) for c in [*BASE, "sizes"]], pa.array(marks, pa.list_(pa.int32()))], [*BASE, "sizes", "content"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_content_words long")
+    kinds = dict(lines.dtypes)
+    return lines.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in [*BASE, "sizes"]) + ", content array<int>")
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_content_words"]
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", least_content: float = 0.5, train_docs: int = 1500, min_docs: int = 5) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_content_words of every row.
+
+    base_failed: under 50 words, or over half of them in repeated three-word windows. kept: not base_failed, and at least
+    ``least_content`` of the words in lines labelled content. Null texts have no words and fail. Null ids and equal rows pass
+    through; ids with several labels count once, with the largest. Without labels of both kinds every line is content.
+    """
+    lines = labelled_lines(docs, labels, id_col, text, label, train_docs, min_docs)
+    content = F.aggregate(F.zip_with("sizes", "content", lambda n, c: n * c), F.lit(0), lambda a, b: a + b).cast("long")
+    kept = ~F.col("base_failed") & (F.col("n_content_words") >= least_content * F.col("n_words"))
+    return lines.withColumn("n_content_words", content).select(*BASE, kept.alias("kept"), "n_content_words")

@@ -222,9 +222,9 @@ def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
     f = C.LineField()
     f.weights, f.step = rng.normal(size=f.weights.shape), rng.normal(size=(2, 2))
-    docs = [rng.normal(size=(n, C.FEATURES)).tolist() for n in (1, 2, 5, 3, 0)]
+    docs = [rng.normal(size=(n, C.FEATURES)) for n in (1, 2, 5, 3, 0)]
     for d, got in zip(docs, f.decode(docs), strict=True):
-        if not d:
+        if not len(d):
             assert len(got) == 0
             continue
         e = np.array(d) @ f.weights
@@ -232,6 +232,53 @@ def test_viterbi_against_all_paths():
         assert tuple(got) == max(product((0, 1), repeat=len(d)), key=score)
 
 
+def test_gradient_against_differences():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=2 * C.FEATURES + 4)
+    docs = [rng.normal(size=(n, C.FEATURES)) for n in (1, 3, 70, 2)]
+    labels, share = [rng.integers(0, 2, len(d)) for d in docs], [0.5, 1.0, 0.2, 2.0]
+    value = lambda p: C.LineField(p).gradient(docs, labels, share)
+    got = value(x)
+    for i in range(len(x)):
+        d = np.zeros(len(x))
+        d[i] = 1e-5
+        assert got[1 + i] == pytest.approx((value(x + d)[0] - value(x - d)[0]) / 2e-5, abs=1e-4)
+
+
+def test_climb_finds_the_maximum():
+    a = np.diag([1.0, 10.0, 100.0])
+    top = np.array([1.0, -2.0, 3.0])
+    got = C.climb(lambda x: (-0.5 * (x - top) @ a @ (x - top), -a @ (x - top)), np.zeros(3), 100, near=1e-12)
+    assert np.allclose(got, top, atol=1e-4)
+
+
+def test_boilerplate_lines_are_found_in_good_texts(spark):
+    """Notices set into good texts, most of them in labelled ones too: line F1, and documents with both kinds of lines."""
+    rng = random.Random(8)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    notices = ["Subscribe to our letter for more", "All rights reserved by the owner of this page", "Sign in to read the comments"]
+    rows, labels, truth = [], [], {}
+    for i in range(300):
+        lines = [prose(rng, rng.randint(12, 30), vocab).capitalize() + "." for _ in range(rng.randint(4, 8))]
+        marks = [1] * len(lines)
+        if i % 4 == 0:
+            lines = [" ".join(w + rng.choice(["***", "&&&", "$$$"]) for w in x.split()) for x in lines]
+            marks = [0] * len(lines)
+        elif i % 4 == 1:
+            at = rng.randint(0, len(lines))
+            lines.insert(at, rng.choice(notices))
+            marks.insert(at, 0)
+        rows.append((i, "\n".join(lines)))
+        truth[i] = marks
+        if i < 150:
+            labels.append((i, int(i % 4 != 0)))
+    got = C.labelled_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    pairs = Counter((a, b) for r in got for a, b in zip(truth[r.doc_id], r.content, strict=True))
+    hit, over, under = pairs[0, 0], pairs[1, 0], pairs[0, 1]
+    assert 2 * hit / (2 * hit + over + under) >= 0.95
+    assert sum(0 < sum(r.content) < len(r.content) for r in got) >= 60
+
+
 # --- operator 5
 
 
