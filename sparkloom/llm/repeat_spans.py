@@ -7,12 +7,13 @@ and only contexts that can repeat are built.
 
 1. Anchors: every ``length``-byte window picks the smallest hash among its 64-byte strings. Equal windows pick the same string at
    the same offset, so equal windows meet under one anchor, aligned. An anchor's context is what the windows that picked it span.
-2. Contexts of an anchor that are equal as a whole repeat as a whole; that is seen from their digests, without moving bytes.
-3. One context of each kind, for anchors with several kinds, goes through the column-wise construction: each round takes one symbol
-   of every context, re-sorts the order stably by it and updates the common lengths of neighbours. A window repeats exactly if
-   its length in common with a neighbour in the order reaches ``length``.
-4. Anchors with more than ``crowd`` kinds (a passage in very many texts) are not held by one task: their windows are counted by
-   hash, summed before the shuffle.
+2. Contexts of an anchor that are equal byte by byte are one row of the construction, with their number; they repeat as a whole. A
+   digest names a context where its bytes needn't travel; different bytes under one name stop the job.
+3. The rows of an anchor go through the column-wise construction: each round takes one symbol of every context, re-sorts the
+   order stably by it and updates the common lengths of neighbours. A window repeats exactly if its length in common with a
+   neighbour in the order reaches ``length``.
+4. Anchors with more than ``crowd`` rows (a passage in very many texts) are not held by one task: their windows are counted by hash,
+   summed before the shuffle; of blocks of neighbouring windows only those whose common core is counted twice are looked into.
 
 The order, the common lengths and the contexts of a batch of anchors live in one task's memory; between steps everything is in
 sorted shuffle files or Parquet, read in sequence.
@@ -35,8 +36,8 @@ from .common import column, pieces, stored
 _GRAM = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = 1 << 20
-#: Contexts that are built together.
-_BATCH = 8192
+#: Contexts that are built together, and windows that are counted by their common core first.
+_BATCH, _BLOCK = 8192, 24
 #: Most document keys that every executor gets to leave out other texts before a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -158,7 +159,10 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def built_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, begin, end) of the repeated stretches of the contexts (doc_id, th, p, lo, h, bytes), aligned at their anchors."""
+    """(doc_id, th, begin, end) of the repeated stretches of the contexts (doc_id, th, p, lo, h, single, bytes), aligned at their anchors.
+
+    Rows that are not single stand for several places, which repeat as a whole and are known; they only tell what repeats in others.
+    """
     reach = length - _GRAM
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +172,7 @@ def built_spans(contexts: DataFrame, length: int) -> DataFrame:
         for i, (x, n) in enumerate(zip(data, lead.tolist(), strict=True)):
             symbols[i, reach - n : reach - n + len(x)] = np.frombuffer(x, np.uint8)
         marks = repeated_columns(symbols, part["h"].to_numpy(), length)
-        some = np.flatnonzero(marks.any(1))
+        some = np.flatnonzero(marks.any(1) & part["single"].to_numpy(bool))
         ids, ths, p = part["doc_id"].tolist(), part["th"].tolist(), part["p"].tolist()
         rows = [(ids[i], ths[i], p[i] - reach + a, p[i] - reach + b - 1 + length) for i in some.tolist() for a, b in _runs(marks[i])]
         return pd.DataFrame(rows, columns=["doc_id", "th", "begin", "end"]).astype({"th": "int64", "begin": "int64", "end": "int64", "doc_id": "Int64"})
@@ -202,20 +206,50 @@ def built_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def counted_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for crowded anchors: every window's hash is counted. Linear in the windows, whatever a group's size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [column(batch, c).to_pylist() for c in ("doc_id", "th", "p", "lo", "h", "bytes")]
-            for doc_id, th, p, lo, h, data in zip(*cols, strict=True):
-                n = len(data) - length + 1
-                g = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(np.arange(lo, lo + n)), pa.array([h] * n, pa.int64()), pa.array(np.arange(lo - p, lo - p + n)), pa.array(g[:, 0]), pa.array(g[:, 1])], ["doc_id", "th", "begin", "h", "off", "w1", "w2"])
+    """The same for crowded anchors: every window's hash is counted. Linear in the windows, whatever a group's size.
 
-    windows = contexts.mapInArrow(run, "doc_id long, th long, begin long, h long, off long, w1 long, w2 long")
-    key = ["h", "off", "w1", "w2"]
-    twice = windows.groupBy(*key).count().filter("count > 1").select(*key)
-    return windows.join(twice, key, "left_semi").select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
+    A window's block lies at fixed places from the anchor; all its windows hold the block's core, so only blocks whose core
+    is counted twice are taken apart.
+    """
+    reach = length - _GRAM
+    fields = "doc_id long, th long, p long, lo long, h long, single boolean, off long, w1 long, w2 long"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def hashed(blocks: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cols = [column(batch, c).to_pylist() for c in ("doc_id", "th", "p", "lo", "h", "single", "bytes")]
+                found = column(batch, "found").to_pylist() if blocks == 1 else [None] * batch.num_rows
+                for doc_id, th, p, lo, h, single, data, some in zip(*cols, found, strict=True):
+                    offs, digests = [], []
+                    lead, last = p - lo, len(data) - length
+                    for off in range(-reach // blocks * blocks, 1, blocks) if some is None else [o + i for o in some for i in range(_BLOCK)]:
+                        # of the windows that begin at p + off to p + off + blocks - 1 those that the context has
+                        begin, end = max(0, lead + off), min(last, lead + off + blocks - 1)
+                        if begin <= end:
+                            offs.append(off)
+                            # the core of the whole block, or, at the context's border, of its own windows: then it can't be compared
+                            whole = end - begin + 1 == blocks
+                            digests.append(xxhash.xxh3_128_digest(data[end : begin + length]) if whole else None)
+                    keep = [i for i, d in enumerate(digests) if d is not None]
+                    border = [i for i, d in enumerate(digests) if d is None]
+                    g = np.frombuffer(b"".join(digests[i] for i in keep), np.int64).reshape(-1, 2)
+                    pick = np.array(offs, np.int64)[keep + border]
+                    n = len(pick)
+                    pad = [None] * len(border)
+                    yield pa.RecordBatch.from_arrays([*[pa.array([v] * n, pa.int64()) for v in (doc_id, th, p, lo, h)], pa.array([single] * n, pa.bool_()), pa.array(pick), pa.array([*g[:, 0].tolist(), *pad], pa.int64()), pa.array([*g[:, 1].tolist(), *pad], pa.int64())], names)
+
+        return run
+
+    key, ctx = ["h", "off", "w1", "w2"], ["doc_id", "th", "p", "h"]
+    twice = lambda rows: rows.groupBy(*key).count().filter("count > 1").select(*key)
+    blocks = stored(contexts.mapInArrow(hashed(_BLOCK), fields))
+    # blocks that a context's border cuts are looked into in any case
+    some = blocks.filter("w1 is not null").join(twice(blocks.filter("w1 is not null")), key, "left_semi").unionByName(blocks.filter("w1 is null"))
+    open_ = some.groupBy(*ctx).agg(F.collect_set("off").alias("found"))
+    on = F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.th") == F.col("s.th")) & (F.col("c.p") == F.col("s.p")) & (F.col("c.h") == F.col("s.h"))
+    windows = stored(contexts.alias("c").join(open_.alias("s"), on).select("c.*", "s.found").mapInArrow(hashed(1), fields))
+    return windows.join(twice(windows), key, "left_semi").filter("single").select("doc_id", "th", (F.col("p") + F.col("off")).alias("begin"), (F.col("p") + F.col("off") + length).alias("end"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,40 +261,42 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.alias("d").join(wanted.alias("w"), on("d", "w")).select("d.doc_id", "d.th", "d.text", *rest)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 256) -> DataFrame:
     """(doc_id, th, spans: array of struct(begin, end), unmerged) of the documents with bytes covered by repeated ``length``-byte strings."""
     found = stored(find_anchors(docs, length))
     # tables between two shuffles of their own: Spark can then deal out a join's hot key, as it can't below an aggregation
     again = stored(found.groupBy("h").count().filter("count > 1").select("h"))
     shared = stored(found.join(again, "h", "left_semi"))
-    kind = ["h", "g1", "g2"]
-    kinds = stored(shared.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p", "lo", "hi")).alias("one")))
-    # equal contexts: repeated from end to end
-    copies = kinds.filter("n > 1").select(*kind)
-    whole = shared.join(copies, kind, "left_semi").select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
-    # different contexts of an anchor: one of each is built
-    several = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    one = kinds.join(several, "h").select("one.*", "h", "kinds")
-    wanted = stored(one.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "lo", "hi", "h", "kinds")).alias("want")))
+    wanted = stored(shared.groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "lo", "hi", "h", "g1", "g2")).alias("want")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "th", "p", "lo", "h", "g1", "g2", "bytes"]
         for batch in batches:
             for part, data in pieces(batch, "text"):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in names]
                 for doc_id, th, raw, want in zip(column(part, "doc_id").to_pylist(), column(part, "th").to_pylist(), data, column(part, "want").to_pylist(), strict=True):
                     for w in want:
-                        for c, v in zip(out, (doc_id, th, w["p"], w["lo"], w["h"], w["kinds"], raw[w["lo"] : w["hi"] + length]), strict=True):
+                        for c, v in zip(out, (doc_id, th, w["p"], w["lo"], w["h"], w["g1"], w["g2"], raw[w["lo"] : w["hi"] + length]), strict=True):
                             c.append(v)
                 for i in range(0, len(out[0]), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 2000], t) for c, t in zip(out, [*[pa.int64()] * 6, pa.binary()], strict=True)], ["doc_id", "th", "p", "lo", "h", "kinds", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 2000], t) for c, t in zip(out, [*[pa.int64()] * 7, pa.binary()], strict=True)], names)
 
-    # rows of one document that are equal as a whole are one source of contexts
-    source = _texts_of(docs, wanted).mapInArrow(contexts, "doc_id long, th long, p long, lo long, h long, kinds long, bytes binary")
+    source = _texts_of(docs, wanted).mapInArrow(contexts, "doc_id long, th long, p long, lo long, h long, g1 long, g2 long, bytes binary")
+    # equal bytes are one row; each task sums its own first. The document and place are of use where the number is 1
+    kind = ["h", "g1", "g2"]
+    kinds = stored(source.groupBy(*kind, "bytes").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("doc_id", "th", "p", "lo")]))
+    names = kinds.select(*kind, "n")
+    if not names.groupBy(*kind).count().filter("count > 1").isEmpty():
+        raise RuntimeError("two different contexts have one digest")
+    # equal contexts: repeated from end to end
+    whole = shared.join(names.filter("n > 1").select(*kind), kind, "left_semi").select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
+    # different contexts of an anchor are built
+    several = stored(names.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    built = kinds.join(several, "h").select("doc_id", "th", "p", "lo", "h", (F.col("n") == 1).alias("single"), "bytes", "kinds")
     crowded = several.filter(F.col("kinds") > crowd).limit(1).count() > 0
-    calm = source.filter(F.col("kinds") <= crowd) if crowded else source
-    spans = built_spans(calm.drop("kinds"), length).unionByName(whole)
+    spans = built_spans(built.filter(F.col("kinds") <= crowd).drop("kinds"), length).unionByName(whole)
     if crowded:
-        spans = spans.unionByName(counted_spans(source.filter(F.col("kinds") > crowd).drop("kinds"), length))
+        spans = spans.unionByName(counted_spans(stored(built.filter(F.col("kinds") > crowd).drop("kinds")), length))
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
@@ -275,7 +311,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 4096, digests: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 256, digests: bool = True) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else, in any document or the same.
 
     With ``digests``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; else doc_id, n_bytes, n_removed,
