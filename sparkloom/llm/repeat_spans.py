@@ -7,8 +7,8 @@ and only contexts that can repeat are built.
 
 1. Anchors: every ``length``-byte window picks the smallest hash among its 64-byte strings. Equal windows pick the same string at
    the same offset, so equal windows meet under one anchor, aligned. An anchor's context is what the windows that picked it span.
-2. Contexts of an anchor that are equal byte by byte are one row of the construction, with their number; they repeat as a whole. A
-   digest names a context where its bytes needn't travel; different bytes under one name stop the job.
+2. Equal contexts of an anchor are one row of the construction, with their number; they repeat as a whole. Their 128-bit digests tell,
+   so that copies' bytes needn't travel; ``by_bytes`` compares the bytes themselves and stops if two have one digest.
 3. The rows of an anchor go through the column-wise construction: each round takes one symbol of every context, re-sorts the
    order stably by it and updates the common lengths of neighbours. A window repeats exactly if its length in common with a
    neighbour in the order reaches ``length``.
@@ -205,6 +205,13 @@ def built_spans(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInPandas(run, "doc_id long, th long, begin long, end long")
 
 
+def _repeated(rows: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
+    """The (stored) rows whose key counts (key, n) twice or more. Keys with over a thousandth of the rows, at most 1000 of them, are broadcast, so that no task joins all of one."""
+    hot = F.broadcast(counts.filter(F.col("n") > max(1, rows.count() // 1000)).select(*key))
+    again = counts.filter("n > 1").select(*key)
+    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(again, key, "left_semi"))
+
+
 def counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     """The same for crowded anchors: every window's hash is counted. Linear in the windows, whatever a group's size.
 
@@ -242,14 +249,14 @@ def counted_spans(contexts: DataFrame, length: int) -> DataFrame:
         return run
 
     key, ctx = ["h", "off", "w1", "w2"], ["doc_id", "th", "p", "h"]
-    twice = lambda rows: rows.groupBy(*key).count().filter("count > 1").select(*key)
+    twice = lambda rows: _repeated(rows, stored(rows.groupBy(*key).agg(F.count("*").alias("n"))), key)
     blocks = stored(contexts.mapInArrow(hashed(_BLOCK), fields))
     # blocks that a context's border cuts are looked into in any case
-    some = blocks.filter("w1 is not null").join(twice(blocks.filter("w1 is not null")), key, "left_semi").unionByName(blocks.filter("w1 is null"))
+    some = twice(blocks.filter("w1 is not null")).unionByName(blocks.filter("w1 is null"))
     open_ = some.groupBy(*ctx).agg(F.collect_set("off").alias("found"))
     on = F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.th") == F.col("s.th")) & (F.col("c.p") == F.col("s.p")) & (F.col("c.h") == F.col("s.h"))
     windows = stored(contexts.alias("c").join(open_.alias("s"), on).select("c.*", "s.found").mapInArrow(hashed(1), fields))
-    return windows.join(twice(windows), key, "left_semi").filter("single").select("doc_id", "th", (F.col("p") + F.col("off")).alias("begin"), (F.col("p") + F.col("off") + length).alias("end"))
+    return twice(windows).filter("single").select("doc_id", "th", (F.col("p") + F.col("off")).alias("begin"), (F.col("p") + F.col("off") + length).alias("end"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -261,42 +268,56 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.alias("d").join(wanted.alias("w"), on("d", "w")).select("d.doc_id", "d.th", "d.text", *rest)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 256) -> DataFrame:
-    """(doc_id, th, spans: array of struct(begin, end), unmerged) of the documents with bytes covered by repeated ``length``-byte strings."""
-    found = stored(find_anchors(docs, length))
-    # tables between two shuffles of their own: Spark can then deal out a join's hot key, as it can't below an aggregation
-    again = stored(found.groupBy("h").count().filter("count > 1").select("h"))
-    shared = stored(found.join(again, "h", "left_semi"))
-    wanted = stored(shared.groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "lo", "hi", "h", "g1", "g2")).alias("want")))
+def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The contexts that ``wanted`` (doc_id, th, p, lo, hi, h and others) names, with their bytes."""
+    rest = [c for c in wanted.columns if c not in ("doc_id", "th")]
+    lists = stored(wanted.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*rest)).alias("want")))
+    kept = [c for c in rest if c != "hi"]
+    names = ["doc_id", "th", *kept, "bytes"]
+    types = [pa.int64(), pa.int64(), *[pa.bool_() if wanted.schema[c].dataType.simpleString() == "boolean" else pa.int64() for c in kept], pa.binary()]
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "p", "lo", "h", "g1", "g2", "bytes"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data in pieces(batch, "text"):
                 out: list[list] = [[] for _ in names]
                 for doc_id, th, raw, want in zip(column(part, "doc_id").to_pylist(), column(part, "th").to_pylist(), data, column(part, "want").to_pylist(), strict=True):
                     for w in want:
-                        for c, v in zip(out, (doc_id, th, w["p"], w["lo"], w["h"], w["g1"], w["g2"], raw[w["lo"] : w["hi"] + length]), strict=True):
+                        for c, v in zip(out, (doc_id, th, *[w[c] for c in kept], raw[w["lo"] : w["hi"] + length]), strict=True):
                             c.append(v)
                 for i in range(0, len(out[0]), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 2000], t) for c, t in zip(out, [*[pa.int64()] * 7, pa.binary()], strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 2000], t) for c, t in zip(out, types, strict=True)], names)
+
+    schema = ", ".join(f"{c} {'boolean' if t == pa.bool_() else 'binary' if t == pa.binary() else 'long'}" for c, t in zip(names, types, strict=True))
+    return _texts_of(docs, lists).mapInArrow(run, schema)
 
-    source = _texts_of(docs, wanted).mapInArrow(contexts, "doc_id long, th long, p long, lo long, h long, g1 long, g2 long, bytes binary")
-    # equal bytes are one row; each task sums its own first. The document and place are of use where the number is 1
+
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 256, by_bytes: bool = False) -> DataFrame:
+    """(doc_id, th, spans: array of struct(begin, end), unmerged) of the documents with bytes covered by repeated ``length``-byte strings."""
+    found = stored(find_anchors(docs, length))
+    # tables between two shuffles of their own: Spark can then deal out a join's hot key, as it can't below an aggregation
+    again = stored(found.groupBy("h").count().filter("count > 1").select("h"))
+    shared = stored(found.join(again, "h", "left_semi"))
     kind = ["h", "g1", "g2"]
-    kinds = stored(source.groupBy(*kind, "bytes").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("doc_id", "th", "p", "lo")]))
-    names = kinds.select(*kind, "n")
-    if not names.groupBy(*kind).count().filter("count > 1").isEmpty():
-        raise RuntimeError("two different contexts have one digest")
+    if by_bytes:
+        # equal bytes are one row; each task sums its own first. The document and place are of use where the number is 1
+        source = contexts_of(docs, shared, length)
+        kinds = stored(source.groupBy(*kind, "bytes").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("doc_id", "th", "p", "lo")]))
+        if not kinds.groupBy(*kind).count().filter("count > 1").isEmpty():
+            raise RuntimeError("two different contexts have one digest")
+    else:
+        kinds = stored(shared.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p", "lo", "hi")).alias("one")).select(*kind, "n", "one.*"))
     # equal contexts: repeated from end to end
-    whole = shared.join(names.filter("n > 1").select(*kind), kind, "left_semi").select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
+    whole = _repeated(shared, kinds, kind).select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
     # different contexts of an anchor are built
-    several = stored(names.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    built = kinds.join(several, "h").select("doc_id", "th", "p", "lo", "h", (F.col("n") == 1).alias("single"), "bytes", "kinds")
+    several = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    rows = kinds.join(several, "h").withColumn("single", F.col("n") == 1)
+    rows = rows if by_bytes else contexts_of(docs, rows.select("doc_id", "th", "p", "lo", "hi", "h", "single", "kinds"), length)
+    built = rows.select("doc_id", "th", "p", "lo", "h", "single", "bytes", "kinds")
     crowded = several.filter(F.col("kinds") > crowd).limit(1).count() > 0
+    built = stored(built) if crowded else built
     spans = built_spans(built.filter(F.col("kinds") <= crowd).drop("kinds"), length).unionByName(whole)
     if crowded:
-        spans = spans.unionByName(counted_spans(stored(built.filter(F.col("kinds") > crowd).drop("kinds")), length))
+        spans = spans.unionByName(counted_spans(built.filter(F.col("kinds") > crowd).drop("kinds"), length))
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
@@ -311,7 +332,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 256, digests: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 256, digests: bool = True, by_bytes: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else, in any document or the same.
 
     With ``digests``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; else doc_id, n_bytes, n_removed,
@@ -319,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows are copies of each other and lose what they repeat; null ids are told apart by their texts. Other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = stored(repeated_spans(own.select("doc_id", "th", "text"), length, crowd))
+    spans = stored(repeated_spans(own.select("doc_id", "th", "text"), length, crowd, by_bytes))
     names = ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["doc_id", "th", "n_bytes", "n_removed", "spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

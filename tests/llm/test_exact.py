@@ -149,14 +149,14 @@ def brute_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [256, 10, 1])
-def test_repeats_against_all_windows(spark, edge, no_docs, crowd):
+@pytest.mark.parametrize(("crowd", "by_bytes"), [(256, False), (256, True), (10, False), (1, True)])
+def test_repeats_against_all_windows(spark, edge, no_docs, crowd, by_bytes):
     rng = random.Random(10)
     text = lambda n, al="abc \n": "".join(rng.choice(al) for _ in range(n))
     shared, wide = text(450), "é" * 500
     rows = [*edge[1], (20, shared), (21, text(50) + shared[:399]), (22, text(60) + shared[10:430] + text(80)), (23, wide), (24, "a" * 401), (25, shared + text(900) + shared), (26, text(399)), (27, "a" * 400)]
     rows += [(50 + i, text(rng.randint(0, 500)) + shared[rng.randint(0, 60) : rng.randint(380, 450)] + text(rng.randint(0, 200))) for i in range(40)]
-    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, by_bytes=by_bytes).collect()
     want = [(i or -1, *b) for (i, _), b in zip(rows, brute_cut([(t or "").encode() for _, t in rows], 400))]
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
     if crowd == 10:
