@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..functions.metrics import clip0, evaluate, feature_medians, impute
 from .backtest import align_to_template, assign_folds, blend, holdout, out_of_fold
 from .features import drop_incomplete
@@ -40,7 +41,7 @@ def fit_blend(train: DataFrame, score: DataFrame, cols: list[str], **options) ->
 
 def backtest(df: DataFrame, folds: DataFrame, cols: list[str], n_folds: int = 3, **options) -> DataFrame:
     """Validation rows of all folds with predictions. The loop is over fold numbers; every fit is distributed. Missing folds are empty."""
-    dealt = assign_folds(drop_incomplete(df, [*cols, "sales"]), folds).persist()
+    dealt = stored(assign_folds(drop_incomplete(df, [*cols, "sales"]), folds))
     parts = []
     for i in range(n_folds):
         fold = dealt.filter(F.col("fold_id") == i)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,18 +29,29 @@ def frame_rate(df: DataFrame, every: str = "500 milliseconds", key: str = "strea
 
 
 def debounce(df: DataFrame, key: str = "stream_id", ts: str = "ts", order: str = "event_id", min_gap: float = 0.1) -> DataFrame:
-    """Rows at least ``min_gap`` seconds after the last kept row of their key. Each key is one ordered pass, as what is kept depends on what was."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        last, mask = None, []
-        for t in pdf[ts]:
-            ok = last is None or (t - last).total_seconds() >= min_gap
-            mask.append(ok)
-            last = t if ok else last
-        return pdf[mask]
-
-    return df.groupBy(key).applyInPandas(keep, df.schema)
+    """Rows at least ``min_gap`` seconds after the last kept row of their key.
+
+    What is kept depends on what was, so a key's rows pass in order; they come sorted from the shuffle in batches, and only the time
+    of the last kept row goes from one batch to the next.
+    """
+    gap = round(min_gap * 1e6)
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0
+        for pdf in frames:
+            mask = []
+            for k, t in zip(pdf[key].tolist(), (pdf[ts].astype("int64") // _micro(pdf[ts])).tolist(), strict=True):
+                ok = now is None or k != now[0] or t - last >= gap
+                now, last = (k,), t if ok else last
+                mask.append(ok)
+            yield pdf[mask]
+
+    return df.repartition(key).sortWithinPartitions(key, ts, order).mapInPandas(keep, df.schema)
+
+
+def _micro(times: pd.Series) -> int:
+    """How many of the column's units are a microsecond."""
+    return {"ns": 1000, "us": 1}[times.dt.unit]
 
 
 def capture_progress(df: DataFrame, target: int, cls: str = "class_name") -> DataFrame:

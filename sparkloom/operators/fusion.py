@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,15 +60,23 @@ def source_counts(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").pivot("source", ["semantic", "keyword", "graph"]).count().na.fill(0)
 
 
-def build_prompts(retrieved: DataFrame, title: str = "CONTEXT") -> DataFrame:
-    """(query_id, prompt) of rows (query_id, question, rank, citation, source, text): numbered context, then the question."""
-    entry = F.concat(F.lit("[Context "), F.col("n"), F.lit("] ["), "citation", F.lit("] (retrieved via: "), "source", F.lit(")\n"), "text", F.lit("\n"))
+#: A prompt's wording: before the passages, each passage, before the question and after it.
+PROMPT = {
+    "head": "Passages from the collection:\n\n",
+    "entry": "({n}) {citation}, found by {source} search\n{text}\n\n",
+    "ask": "Question: ",
+    "close": "\nAnswer from these passages alone and name those used.",
+}
+
+
+def build_prompts(retrieved: DataFrame, wording: dict[str, str] = PROMPT) -> DataFrame:
+    """(query_id, prompt) of rows (query_id, question, rank, citation, source, text): numbered passages, then the question, in the given wording."""
     w = Window.partitionBy("query_id").orderBy("rank")
+    parts = re.split(r"\{(n|citation|source|text)\}", wording["entry"])
+    entry = F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
     lines = retrieved.withColumn("n", F.row_number().over(w)).select("query_id", "question", F.struct("n", entry.alias("e")).alias("x"))
-    context = lines.groupBy("query_id").agg(F.first("question").alias("question"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), "\n").alias("context"))
-    rule = "─" * 60
-    prompt = F.concat(F.lit(f"{title}:\n{rule}\n"), "context", F.lit(f"\n{rule}\n\nQUESTION: "), "question", F.lit("\n\nAnswer based strictly on the above context:"))
-    return context.select("query_id", prompt.alias("prompt"))
+    context = lines.groupBy("query_id").agg(F.first("question").alias("question"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), "").alias("context"))
+    return context.select("query_id", F.concat(F.lit(wording["head"]), "context", F.lit(wording["ask"]), "question", F.lit(wording["close"])).alias("prompt"))
 
 
 def citations(retrieved: DataFrame) -> DataFrame:

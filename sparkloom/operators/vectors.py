@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -126,7 +126,7 @@ def hashing_embedder(dim: int = 256) -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                out[i, zlib.crc32(w.encode()) % dim] += 1
+                out[i, int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:7], 16) % dim] += 1
         return out
 
     return model

@@ -11,8 +11,9 @@ from ..operators import features as X
 from ..operators import forecast as C
 from ..operators import frames as R
 from ..streaming import frames as S
-from . import testtables as T
-from .testtables import read, round_all, rounded
+from ..session import new_path, stored
+from . import sales
+from .testtables import alone, read, round_all, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,9 +34,11 @@ frames AS (SELECT user_id AS stream_id, ts, event_id, CASE WHEN value / 500 >= 0
 
 def query(name: str, sql: str, cols: str = "", oracle: bool = True):
     def put(f):
-        QUERIES[name] = lambda spark, d: round_all(f(spark, d))
+        QUERIES[name] = alone(lambda spark, d: round_all(f(spark, d)))
         if oracle:
-            ORACLE_SQL[name] = f"WITH {CTES.strip()} {rounded(sql, cols) if cols else sql}"
+            body = rounded(sql, cols) if cols else sql
+            own = body.removeprefix("WITH ").strip()
+            ORACLE_SQL[name] = f"WITH RECURSIVE {CTES.strip()}{', ' if body.startswith('WITH ') else ' '}{own}"
         return f
 
     return put
@@ -104,9 +107,10 @@ def _(s, d):
     return D.annotation_stats(truth(s, d).withColumn("status", F.when(k == 1, "no_detector").when(k == 2, "no_hand").when(k == 3, "unreadable").otherwise("ok")))
 
 
-@query("class_names", "SELECT class_id, CASE WHEN class_id < 10 THEN list_extract(['A', 'B', 'C', 'D', 'E', 'L', 'V', 'Y', 'thumbsup', 'thumbsdown'], class_id + 1) ELSE 'unknown' END AS name FROM classes")
+@query("class_names", "SELECT class_id, CASE WHEN class_id < 10 THEN list_extract(['A', 'B', 'C', 'D', 'E', 'L', 'V', 'Y', 'thumbsup', 'thumbsdown'], class_id + 1) ELSE 'unknown' END AS name, COUNT(*) AS n FROM (SELECT CAST(label + vec_id % 4 AS INT) AS class_id FROM embeddings) GROUP BY 1")
 def _(s, d):
-    return classes(s).select("class_id", D.class_name(F.col("class_id")).alias("name"))
+    ids = read(s, d, "embeddings").select((F.col("label") + F.col("vec_id") % 4).cast("int").alias("class_id"))
+    return ids.groupBy("class_id", D.class_name(F.col("class_id")).alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("known_classes", "SELECT class_id, COUNT(*) AS n FROM truth GROUP BY 1")
@@ -166,7 +170,27 @@ def _(s, d):
     return prefixed("a_", 0).join(prefixed("b_", -1), "image_id").select("image_id", D.iou("a_", "b_").alias("iou"))
 
 
-@query("detection_map", "", oracle=False)
+#: One box a true image, so of the detections that overlap it enough the most confident one is right.
+_MAP = """
+WITH thr AS (SELECT ROUND(0.5::DOUBLE + i * 0.05::DOUBLE, 2) AS iou_thr FROM range(0, 10) t(i)),
+gts AS (SELECT t.image_id, t.class_id, x1, y1, x2, y2 FROM truth t JOIN boxes USING (image_id)),
+preds AS (SELECT d.image_id, d.det_no, d.class_id, d.confidence, x1 + confidence * 0.1::DOUBLE AS x1, y1, x2 + confidence * 0.1::DOUBLE AS x2, y2 FROM dets d JOIN boxes USING (image_id)),
+met AS (SELECT p.image_id, p.det_no, p.class_id, p.confidence, GREATEST(LEAST(p.x2, g.x2) - GREATEST(p.x1, g.x1), 0) * GREATEST(LEAST(p.y2, g.y2) - GREATEST(p.y1, g.y1), 0) AS inter,
+  (p.x2 - p.x1) * (p.y2 - p.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) AS areas FROM preds p LEFT JOIN gts g ON p.image_id = g.image_id AND p.class_id = g.class_id),
+tried AS (SELECT *, COALESCE(inter / (areas - inter), 0) >= iou_thr AS near FROM met, thr),
+hit AS (SELECT *, near AND row_number() OVER (PARTITION BY image_id, class_id, iou_thr, near ORDER BY confidence DESC, det_no) = 1 AS tp FROM tried),
+n AS (SELECT class_id, COUNT(*) AS n_gt FROM gts GROUP BY 1),
+run AS (SELECT class_id, iou_thr, n_gt, COUNT(*) OVER w AS seen, SUM(CAST(tp AS INT)) OVER w AS tp_run FROM hit JOIN n USING (class_id) WINDOW w AS (PARTITION BY class_id, iou_thr ORDER BY confidence DESC, image_id, det_no ROWS UNBOUNDED PRECEDING)),
+curve AS (SELECT *, tp_run / seen AS precision, tp_run / n_gt AS recall FROM run),
+env AS (SELECT *, MAX(precision) OVER (PARTITION BY class_id, iou_thr ORDER BY seen ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM curve),
+at_recall AS (SELECT class_id, iou_thr, r, MAX(CASE WHEN ROUND(recall * 100, 9) >= r THEN best ELSE 0 END) AS p FROM env, range(0, 101) t(r) GROUP BY 1, 2, 3),
+ap AS (SELECT class_id, iou_thr, SUM(p) / 101 AS ap FROM at_recall GROUP BY 1, 2),
+ends AS (SELECT class_id, iou_thr, arg_max(precision, seen) AS precision, MAX(recall) AS recall FROM curve GROUP BY 1, 2),
+whole AS (SELECT class_id, iou_thr, COALESCE(ap, 0) AS ap, COALESCE(precision, 0) AS precision, COALESCE(recall, 0) AS recall FROM n CROSS JOIN thr LEFT JOIN ap USING (class_id, iou_thr) LEFT JOIN ends USING (class_id, iou_thr))
+SELECT ROUND(AVG(ap) FILTER (iou_thr = 0.5), 6) AS map50, ROUND(AVG(ap), 6) AS map50_95, ROUND(AVG(precision) FILTER (iou_thr = 0.5), 6) AS precision, ROUND(AVG(recall) FILTER (iou_thr = 0.5), 6) AS recall FROM whole"""
+
+
+@query("detection_map", _MAP.strip())
 def _(s, d):
     b = D.boxes_from_landmarks(landmarks(s, d)).select("image_id", "x1", "y1", "x2", "y2")
     gts = truth(s, d).join(b, "image_id").withColumn("gt_no", F.lit(0))
@@ -187,7 +211,15 @@ def _(s, d):
     return R.frame_rate(frames(s, d))
 
 
-@query("debounced", "", oracle=False)
+#: A row a step: whether it is kept, and the time of the last one kept.
+_KEPT = """
+WITH placed AS (SELECT stream_id, event_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS pos FROM frames),
+pass AS (SELECT stream_id, event_id, ts, pos, ts AS last, true AS kept FROM placed WHERE pos = 1
+  UNION ALL SELECT p.stream_id, p.event_id, p.ts, p.pos, CASE WHEN p.ts >= a.last + INTERVAL 1 HOUR THEN p.ts ELSE a.last END, p.ts >= a.last + INTERVAL 1 HOUR FROM pass a JOIN placed p ON p.stream_id = a.stream_id AND p.pos = a.pos + 1)
+SELECT stream_id, event_id, ts FROM pass WHERE kept"""
+
+
+@query("debounced", _KEPT.strip())
 def _(s, d):
     return R.debounce(frames(s, d), min_gap=3600.0).select("stream_id", "event_id", "ts")
 
@@ -197,40 +229,71 @@ def _(s, d):
     return R.capture_progress(frames(s, d), 1000)
 
 
-@query("streamed_labels", ORACLE_SQL["smoothed_labels"].removeprefix(f"WITH {CTES.strip()} "))
+def live_frames(s, d) -> DataFrame:
+    """The frames as a stream of the events table's files."""
+    # file streams read folders or patterns
+    source = s.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    share = F.col("value") / 500
+    return source.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(share >= 0.1, F.col("event_type")).alias("class_name"), share.alias("confidence"))
+
+
+def streamed(s, sdf: DataFrame, mode: str = "append") -> DataFrame:
+    """What the stream has written when it has read all that is there."""
+    path = new_path(s, "stream")
+    S.run_to_table(sdf, f"{path}/out", f"{path}/checkpoint", mode)
+    return s.read.parquet(f"{path}/out")
+
+
+def _sql(name: str) -> str:
+    """A query's SQL without the tables, to be used again."""
+    return ORACLE_SQL[name].removeprefix(f"WITH RECURSIVE {CTES.strip()}").removeprefix(",").strip()
+
+
+@query("streamed_labels", _sql("smoothed_labels"))
 def _(s, d):
     """The stateful operator over a stream of the events table, run to its end."""
-    from tempfile import mkdtemp
+    return streamed(s, S.smooth_stream(live_frames(s, d).drop("confidence"))).select("stream_id", "event_id", "smoothed")
 
-    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="sparkloom-")
-    import uuid
 
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    events = read(s, d, "events")
-    # file streams read folders or patterns
-    source = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
-    share = F.col("value") / 500
-    live = source.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(share >= 0.1, F.col("event_type")).alias("class_name"))
-    S.run_to_table(S.smooth_stream(live), f"{path}/out", f"{path}/checkpoint")
-    return s.read.parquet(f"{path}/out").select("stream_id", "event_id", "smoothed")
+@query("streamed_rate", "SELECT * FROM (SELECT stream_id, time_bucket(INTERVAL 500 MILLISECONDS, ts) AS start, COUNT(*) AS n, COUNT(*) / 0.5::DOUBLE AS fps FROM frames GROUP BY 1, 2) WHERE start + INTERVAL 500 MILLISECONDS <= (SELECT MAX(ts) - INTERVAL 10 SECONDS FROM frames)")
+def _(s, d):
+    """Windows that the watermark, ten seconds behind the last frame, has passed."""
+    return streamed(s, S.fps_stream(live_frames(s, d)))
+
+
+@query("streamed_debounce", "WITH " + _sql("debounced"))
+def _(s, d):
+    return streamed(s, S.debounce_stream(live_frames(s, d), min_gap=3600.0)).select("stream_id", "event_id", "ts")
+
+
+@query("streamed_progress", _sql("capture_progress"))
+def _(s, d):
+    return streamed(s, S.capture_progress(live_frames(s, d), 1000), "complete")
 
 
 def _panel(s, d) -> tuple[DataFrame, list[str]]:
-    x = X.add_rolling(X.add_lags(X.add_promo_counts(X.add_calendar(X.add_codes(T.master(s, d), ["family"]))), lags=[7, 14]), aggs=("mean",))
-    cols = ["store_nbr", "family_code", "onpromotion", "day_of_week", "month", "is_holiday", "promo_count_7d", "sales_lag_7", "sales_lag_14", "sales_roll_mean_14_lag7"]
-    return x.select("date", "family", "sales", *cols), cols
+    """The panel with all features, stored once for the fits, and their names."""
+    x = sales.features(s, d)
+    cols = X.feature_columns(x)
+    return stored(x.select("date", "store_nbr", "family", "sales", *[c for c in cols if c not in ("store_nbr", "family")])), cols
 
 
 @query("gbt_backtest", "", oracle=False)
 def _(s, d):
     x, cols = _panel(s, d)
-    return C.backtest_errors(C.backtest(x, B.walk_forward_folds(x, n=2), cols, n_folds=2, rounds=5, depth=3))
+    return C.backtest_errors(C.backtest(x, B.walk_forward_folds(x), cols))
 
 
 @query("gbt_forecast", "", oracle=False)
 def _(s, d):
     x, cols = _panel(s, d)
-    x = x.withColumn("id", F.xxhash64("date", "store_nbr", "family")).persist()
+    x = x.withColumn("id", F.xxhash64("date", "store_nbr", "family"))
     last = x.agg(F.max("date")).first()[0]
     train, test = x.filter(F.col("date") <= F.date_sub(F.lit(last), 16)), x.filter(F.col("date") > F.date_sub(F.lit(last), 16))
-    return C.forecast(train, test.withColumn("sales", F.lit(None).cast("double")), cols, rounds=5, depth=3)
+    return C.forecast(train, test.withColumn("sales", F.lit(None).cast("double")), cols)
+
+
+@query("feature_importance", "", oracle=False)
+def _(s, d):
+    x, cols = _panel(s, d)
+    return C.feature_importance(C.fit_gbt(X.drop_incomplete(x, [*cols, "sales"]), cols), cols)

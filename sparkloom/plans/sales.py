@@ -10,7 +10,7 @@ from ..operators import backtest as B
 from ..operators import features as X
 from ..operators import panel as P
 from . import testtables as T
-from .testtables import round_all, rounded, with_tables
+from .testtables import alone, round_all, rounded, with_tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,7 +20,7 @@ def query(name: str, sql: str, cols: str = "", tables: bool = True):
     """Register a query with its SQL; ``cols`` are the doubles, rounded on both sides."""
 
     def put(f):
-        QUERIES[name] = lambda spark, d: round_all(f(spark, d))
+        QUERIES[name] = alone(lambda spark, d: round_all(f(spark, d)))
         body = rounded(sql, cols) if cols else sql
         ORACLE_SQL[name] = with_tables(body) if tables else body
         return f

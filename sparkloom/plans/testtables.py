@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,44 @@ _held: dict = {}
 
 
 def held(make):
-    """A table, or a class of several, that many queries start from: made once in a session for each input, and kept as Parquet."""
+    """A table, or a class of several, that a query starts from in several places: made once in the query, and kept as Parquet."""
 
     def get(s, d):
-        key = (make.__name__, s.sparkContext.applicationId, d)
-        if key not in _held:
+        if make not in _held:
             made = make(s, d)
-            _held[key] = stored(made) if isinstance(made, DataFrame) else type(made)(**{k: stored(t) for k, t in vars(made).items()})
-        return _held[key]
+            _held[make] = stored(made) if isinstance(made, DataFrame) else type(made)(**{k: stored(t) for k, t in vars(made).items()})
+        return _held[make]
 
     return get
 
 
+_together = False
+
+
+@contextlib.contextmanager
+def together():
+    """Within it queries share the tables they start from (tests do this); the input must not change."""
+    global _together
+    _held.clear()
+    _together = True
+    try:
+        yield
+    finally:
+        _together = False
+        _held.clear()
+
+
+def alone(f):
+    """The query with tables of its own: nothing is kept from a query before."""
+
+    def run(s, d):
+        if not _together:
+            _held.clear()
+        return f(s, d)
+
+    return run
+
+
 def sales(spark: SparkSession, d: str) -> DataFrame:
     joined = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.groupBy(F.col("l_shipdate").cast("date").alias("date"), (F.col("l_suppkey") % 10).cast("int").alias("store_nbr"), F.col("p_type").alias("family")).agg(F.sum("l_quantity").alias("sales"), F.count_if(F.col("l_discount") >= 0.08).cast("int").alias("onpromotion"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import fusion as U
 from ..operators import graph as G
 from ..operators import lexical as L
 from ..operators import vectors as V
-from .testtables import held, read, round_all
+from .testtables import alone, held, read, round_all
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,44 +32,204 @@ def _n_words(col: str) -> str:
     return rf"CAST(len(list_filter(string_split_regex({col}, '\s+'), lambda x: x <> '')) AS INT)"
 
 
-#: Text with headings, formulas and tables planted into the documents' lines.
-CTES = rf"""
-raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-lines AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(floor((line_no - 1) / 4) + 1 AS INT) AS page, CASE WHEN line_no = 1 THEN concat('Chapter ', doc_id) WHEN line_no % 4 = 2 THEN concat(doc_id % 9 + 1, '.', line_no, ' ', line) WHEN line_no % 8 = 5 THEN concat(doc_id % 9 + 1, '.', line_no, '.1 ', line) WHEN line_no % 5 = 3 THEN concat('E = ', line) ELSE line END AS text FROM raw),
-page_tables AS (SELECT doc_id, page, 1 AS table_no, left(text, 200) AS text FROM lines WHERE doc_id % 7 = 0 AND line_no % 4 = 3),
-typed AS (SELECT doc_id, page, line_no, trim(text) AS text, CASE WHEN regexp_matches(trim(text), '(?i)^chapter\s+(\d+)') THEN 'chapter' WHEN regexp_matches(trim(text), '^(\d+\.\d+\.\d+)\s+(.+)$') THEN 'subsection' WHEN regexp_matches(trim(text), '^(\d+\.\d+)\s+(.+)$') THEN 'section' END AS kind FROM lines WHERE length(trim(text)) >= 3),
-kept AS (SELECT * FROM typed l WHERE kind IS NOT NULL OR NOT EXISTS (SELECT 1 FROM page_tables t WHERE t.doc_id = l.doc_id AND t.page = l.page AND contains(left(trim(t.text), 200), left(l.text, 50))) UNION ALL SELECT doc_id, page, table_no - 1000000, text, 'table' FROM page_tables),
-blocks AS (SELECT doc_id, row_number() OVER w AS block_idx, page AS page_number, COALESCE(last_value(CASE WHEN kind = 'chapter' THEN text END IGNORE NULLS) OVER w, 'Unknown Chapter') AS chapter, COALESCE(last_value(CASE WHEN kind = 'chapter' THEN '' WHEN kind = 'section' THEN text END IGNORE NULLS) OVER w, '') AS section, COALESCE(last_value(CASE WHEN kind IN ('chapter', 'section') THEN '' WHEN kind = 'subsection' THEN text END IGNORE NULLS) OVER w, '') AS subsection, text, CASE WHEN kind = 'table' THEN 'table' WHEN kind IS NOT NULL THEN 'heading' WHEN {_FORMULA} THEN 'formula' ELSE 'paragraph' END AS block_type FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)),
-chunks AS (SELECT concat(doc_id, '/', lpad(CAST(MIN(block_idx) AS VARCHAR), 5, '0')) AS chunk_id, doc_id, doc_id * 1000000 + MIN(block_idx) AS chunk_ord, string_agg(text, ' ' ORDER BY block_idx) AS text, arg_min(page_number, block_idx) AS page_number, MAX(page_number) AS page_end, chapter, section, '' AS subsection FROM blocks GROUP BY doc_id, chapter, section),
-formulas AS (SELECT concat(doc_id, '/formula_', lpad(CAST(block_idx - 1 AS VARCHAR), 5, '0')) AS chunk_id, doc_id, trim(concat(before, ' ', text, ' ', after)) AS text, page_number, chapter, section, subsection FROM (SELECT *, COALESCE(LAG(text) OVER w, '') AS before, COALESCE(LEAD(text) OVER w, '') AS after FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)) WHERE block_type = 'formula'),
-tokens AS (SELECT chunk_id, chunk_ord, {_tokens('text')} AS t FROM chunks),
-postings AS (SELECT term, chunk_id, chunk_ord, dl, COUNT(*) AS tf FROM (SELECT chunk_id, chunk_ord, len(t) AS dl, unnest(t) AS term FROM tokens) GROUP BY ALL),
-corpus AS (SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM tokens),
-raw_idf AS (SELECT term, df, LN(n - df + 0.5) - LN(df + 0.5) AS r FROM (SELECT term, COUNT(*) AS df FROM postings GROUP BY 1), corpus),
-terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT AVG(r) FROM raw_idf) ELSE r END AS idf FROM raw_idf),
-questions AS (SELECT item_id AS query_id, text AS question, list_slice(list_distinct_in_order, 1, 5) AS expected_keywords, text AS answer FROM (SELECT *, list_filter({_tokens('text')}, lambda x, i: length(x) >= 5 AND list_position({_tokens('text')}, x) = i) AS list_distinct_in_order FROM benchmark)),
-asked AS (SELECT query_id, term, COUNT(*) AS qf FROM (SELECT query_id, unnest({_tokens('question')}) AS term FROM questions) GROUP BY ALL),
-scored AS (SELECT query_id, chunk_id, chunk_ord, ROUND(SUM(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN postings USING (term), corpus GROUP BY 1, 2, 3),
-keyword AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank, chunk_id, chunk_ord, score FROM scored) WHERE rank <= 5 AND score > 0),
-lexicon AS (SELECT row_number() OVER (ORDER BY df DESC, term) AS lex, term AS concept FROM terms WHERE length(term) >= 5 ORDER BY df DESC, term LIMIT 32),
-found AS (SELECT chunk_id, chunk_ord, chapter, section, lex, concept, concat('concept::', concept) AS node_id FROM chunks, lexicon WHERE contains(lower(text), concept)),
-derived AS (SELECT *, concat('formula::', left(trim(text), 60)) AS node_id, doc_id * 1000000 + block_idx AS ord FROM blocks WHERE block_type = 'formula' AND length(trim(text)) >= 3),
-nodes AS (SELECT concat('chapter::', chapter) AS node_id, 'chapter' AS type, chapter AS name, arg_min(page_number, chunk_ord) AS page FROM chunks GROUP BY chapter UNION ALL SELECT concat('section::', chapter, '::', section), 'section', section, arg_min(page_number, chunk_ord) FROM chunks WHERE section <> '' GROUP BY chapter, section UNION ALL SELECT DISTINCT node_id, 'concept', concept, CAST(NULL AS INT) FROM found UNION ALL SELECT node_id, 'formula', arg_min(trim(text), ord), arg_min(page_number, ord) FROM derived GROUP BY node_id),
-discussed AS (SELECT concat('section::', chapter, '::', section) AS src, node_id AS dst, MIN(chunk_ord * 1000 + lex) AS met FROM found WHERE section <> '' GROUP BY 1, 2),
-edges AS (SELECT DISTINCT concat('chapter::', chapter) AS src, concat('section::', chapter, '::', section) AS dst, 'CONTAINS' AS relation FROM chunks WHERE section <> '' UNION ALL SELECT src, dst, 'DISCUSSES' FROM discussed UNION ALL SELECT DISTINCT concat('section::', chapter, '::', section), node_id, 'DERIVES' FROM derived WHERE section <> '' UNION ALL SELECT DISTINCT a.dst, b.dst, 'CO_OCCURS' FROM discussed a JOIN discussed b ON a.src = b.src AND a.met < b.met),
-asked_concepts AS (SELECT DISTINCT query_id, concat('concept::', concept) AS node_id FROM questions, (SELECT DISTINCT concept FROM found) WHERE contains(lower(question), concept)),
-near AS (SELECT query_id, node_id FROM asked_concepts UNION SELECT query_id, dst FROM asked_concepts JOIN edges ON node_id = src UNION SELECT query_id, src FROM asked_concepts JOIN edges ON node_id = dst),
-graph AS (SELECT * FROM (SELECT query_id, chunk_id, chunk_ord, matched, row_number() OVER (PARTITION BY query_id ORDER BY chunk_ord) AS rank FROM (SELECT query_id, chunk_id, chunk_ord, string_agg(DISTINCT concept, ',' ORDER BY concept) AS matched FROM near JOIN found USING (node_id) GROUP BY 1, 2, 3)) WHERE rank <= 3),
-ranked AS (SELECT query_id, 'keyword' AS source, 1 AS source_order, rank, chunk_id FROM keyword UNION ALL SELECT query_id, 'graph', 2, rank, chunk_id FROM graph),
-fused AS (SELECT query_id, chunk_id, arg_min(source, source_order * 1000 + rank) AS source, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 9) AS rrf, MIN(source_order * 1000 + rank) AS seen FROM ranked GROUP BY 1, 2),
-retrieved AS (SELECT * FROM (SELECT query_id, chunk_id, source, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) AS rank FROM fused) JOIN (SELECT chunk_id, text, concat(chapter, CASE WHEN section <> '' THEN concat(' > ', section) ELSE '' END, ' (', CASE WHEN page_number = page_end THEN concat('p.', page_number) ELSE concat('pp.', page_number, '–', page_end) END, ')') AS citation FROM chunks) USING (chunk_id) WHERE rank <= 6)"""
+_BUFFER = "STRUCT(page INTEGER, chapter VARCHAR, section VARCHAR, subsection VARCHAR, text VARCHAR, kind VARCHAR, carried BOOLEAN)[]"
+_MADE = "STRUCT(n BIGINT, text VARCHAR, page_number INTEGER, page_end INTEGER, chapter VARCHAR, section VARCHAR, subsection VARCHAR, block_types VARCHAR[])[]"
+_OWN = "list_filter(buf, lambda y: NOT y.carried)"
+_ITEM = "{'page': b.page_number, 'chapter': b.chapter, 'section': b.section, 'subsection': b.subsection, 'text': b.text, 'kind': b.block_type, 'carried': false}"
+
+
+def _joined(buf: str) -> str:
+    return f"array_to_string(list_transform({buf}, lambda y: y.text), ' ')"
+
+
+def _held_words(buf: str) -> str:
+    return f"COALESCE(list_sum(list_transform({buf}, lambda y: {_n_words('y.text')})), 0)"
+
+
+def _emit(buf: str, n: str) -> str:
+    """A chunk of what is held, named by the first block that isn't carried."""
+    head = f"COALESCE(list_filter({buf}, lambda y: NOT y.carried)[1], {buf}[1])"
+    kinds = f"list_sort(list_distinct(list_transform({buf}, lambda y: y.kind)))"
+    return f"{{'n': {n}, 'text': {_joined(buf)}, 'page_number': {buf}[1].page, 'page_end': {buf}[-1].page, 'chapter': {head}.chapter, 'section': {head}.section, 'subsection': {head}.subsection, 'block_types': {kinds}}}"
+
+
+def _carry(buf: str) -> str:
+    """The last 50 words, or all of fewer, stay."""
+    words, last = rf"list_filter(string_split_regex({_joined(buf)}, '\s+'), lambda x: x <> '')", f"{buf}[-1]"
+    place = lambda y: f"'page': {y}.page, 'chapter': {y}.chapter, 'section': {y}.section, 'subsection': {y}.subsection"
+    few = f"list_transform({buf}, lambda y: {{{place('y')}, 'text': y.text, 'kind': y.kind, 'carried': true}})"
+    return f"CASE WHEN len({words}) > 50 THEN [{{{place(last)}, 'text': array_to_string(({words})[-50:], ' '), 'kind': 'paragraph', 'carried': true}}] ELSE {few} END"
+
+
+#: Text with headings, formulas and tables planted into the documents' lines, its chunks, indexes and answers. A query's SQL gets the tables it needs.
+TABLES: dict[str, str] = {
+    "raw": (
+        rf"""SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"""
+    ),
+    "lines": (
+        rf"""SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(floor((line_no - 1) / 4) + 1 AS INT) AS page, CASE WHEN line_no = 1 THEN concat('Chapter ', doc_id) WHEN line_no % 4 = 2 THEN concat(doc_id % 9 + 1, '.', line_no, ' ', line) WHEN line_no % 8 = 5 THEN concat(doc_id % 9 + 1, '.', line_no, '.1 ', line) WHEN line_no % 5 = 3 THEN concat('E = ', line) ELSE line END AS text FROM raw"""
+    ),
+    "page_tables": (
+        rf"""SELECT doc_id, page, 1 AS table_no, left(text, 200) AS text FROM lines WHERE doc_id % 7 = 0 AND line_no % 4 = 3"""
+    ),
+    "typed": (
+        rf"""SELECT doc_id, page, line_no, trim(text) AS text, CASE WHEN regexp_matches(trim(text), '(?i)^chapter\s+(\d+)') THEN 'chapter' WHEN regexp_matches(trim(text), '^(\d+\.\d+\.\d+)\s+(.+)$') THEN 'subsection' WHEN regexp_matches(trim(text), '^(\d+\.\d+)\s+(.+)$') THEN 'section' END AS kind FROM lines """
+        rf"""WHERE length(trim(text)) >= 3"""
+    ),
+    "kept": (
+        rf"""SELECT * FROM typed l WHERE kind IS NOT NULL OR NOT EXISTS (SELECT 1 FROM page_tables t """
+        rf"""WHERE t.doc_id = l.doc_id AND t.page = l.page AND contains(left(trim(t.text), 200), left(l.text, 50))) """
+        rf"""UNION ALL SELECT doc_id, page, table_no - 1000000, text, 'table' FROM page_tables"""
+    ),
+    "blocks": (
+        rf"""SELECT doc_id, row_number() OVER w AS block_idx, page AS page_number, COALESCE(last_value(CASE WHEN kind = 'chapter' THEN text END IGNORE NULLS) OVER w, 'Unknown Chapter') AS chapter, COALESCE(last_value(CASE WHEN kind = 'chapter' THEN '' WHEN kind = 'section' THEN text END IGNORE NULLS) OVER w, '') AS section, COALESCE(last_value(CASE WHEN kind IN ('chapter', 'section') THEN '' WHEN kind = 'subsection' THEN text END IGNORE NULLS) OVER w, '') AS subsection, text, CASE WHEN kind = 'table' THEN 'table' WHEN kind IS NOT NULL THEN 'heading' WHEN {_FORMULA} THEN 'formula' ELSE 'paragraph' END AS block_type FROM kept """
+        rf"""WINDOW w AS (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)"""
+    ),
+    "sections": (
+        rf"""SELECT concat(doc_id, '/', lpad(CAST(MIN(block_idx) AS VARCHAR), 5, '0')) AS chunk_id, doc_id, doc_id * 1000000 + MIN(block_idx) AS chunk_ord, string_agg(text, ' ' ORDER BY block_idx) AS text, arg_min(page_number, block_idx) AS page_number, MAX(page_number) AS page_end, chapter, section, '' AS subsection FROM blocks """
+        rf"""GROUP BY doc_id, chapter, section"""
+    ),
+    "formulas": (
+        rf"""SELECT concat(doc_id, '/formula_', lpad(CAST(block_idx - 1 AS VARCHAR), 5, '0')) AS chunk_id, doc_id, doc_id * 1000000 + 500000 + block_idx AS chunk_ord, trim(concat(before, ' ', text, ' ', after)) AS text, page_number, chapter, section, subsection """
+        rf"""FROM (SELECT *, COALESCE(LAG(text) OVER w, '') AS before, COALESCE(LEAD(text) OVER w, '') AS after FROM blocks """
+        rf"""WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)) WHERE block_type = 'formula'"""
+    ),
+    # the heading-aware chunker, a block a step: what is held, how many chunks were made, and those of this step
+    "folded": (
+        f"""SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST([] AS {_BUFFER}) AS buf, CAST(0 AS BIGINT) AS n, CAST([] AS {_MADE}) AS made FROM (SELECT DISTINCT doc_id FROM blocks) """
+        f"""UNION ALL SELECT doc_id, pos, CASE WHEN is_full THEN {_carry('buf2')} ELSE buf2 END, n1 + CAST(is_full AS INT), """
+        f"""CASE WHEN is_full THEN list_append(made1, {_emit('buf2', 'n1')}) ELSE made1 END """
+        f"""FROM (SELECT *, {_held_words('buf2')} >= 400 AND kind <> 'formula' AS is_full """
+        f"""FROM (SELECT doc_id, pos, kind, n + CAST(cut AS INT) AS n1, CASE WHEN cut THEN CAST([{_emit('buf', 'n')}] AS {_MADE}) ELSE CAST([] AS {_MADE}) END AS made1, """
+        f"""list_append(CASE WHEN cut THEN {_carry('buf')} ELSE buf END, item) AS buf2 """
+        f"""FROM (SELECT f.doc_id, b.block_idx AS pos, f.buf, f.n, b.block_type AS kind, {_ITEM} AS item, """
+        f"""b.block_type = 'heading' AND len({_OWN}) > 0 AND (b.chapter <> ({_OWN})[1].chapter OR b.section <> ({_OWN})[1].section) AS cut """
+        f"""FROM folded f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_idx = f.pos + 1)))"""
+    ),
+    "sectioned": (
+        f"""SELECT concat(doc_id, '/chunk_', lpad(CAST(c.n AS VARCHAR), 5, '0')) AS chunk_id, doc_id, doc_id * 1000000 + c.n AS chunk_ord, c.text, c.page_number, c.page_end, c.chapter, c.section, c.subsection, """
+        f"""c.block_types, {_n_words('c.text')} AS token_count FROM (SELECT doc_id, unnest(made) AS c FROM folded """
+        f"""UNION ALL SELECT doc_id, {_emit('buf', 'n')} FROM (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1) WHERE len({_OWN}) > 0)"""
+    ),
+    "chunks": (
+        f"""SELECT * FROM sectioned UNION ALL SELECT chunk_id, doc_id, chunk_ord, text, page_number, page_number, chapter, section, subsection, ['formula'], {_n_words('text')} FROM formulas"""
+    ),
+    "tokens": (
+        rf"""SELECT chunk_id, chunk_ord, {_tokens('text')} AS t FROM chunks"""
+    ),
+    "postings": (
+        rf"""SELECT term, chunk_id, chunk_ord, dl, COUNT(*) AS tf FROM (SELECT chunk_id, chunk_ord, len(t) AS dl, unnest(t) AS term FROM tokens) GROUP BY ALL"""
+    ),
+    "corpus": (
+        rf"""SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM tokens"""
+    ),
+    "raw_idf": (
+        rf"""SELECT term, df, LN(n - df + 0.5) - LN(df + 0.5) AS r FROM (SELECT term, COUNT(*) AS df FROM postings GROUP BY 1), corpus"""
+    ),
+    "terms": (
+        rf"""SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT AVG(r) FROM raw_idf) ELSE r END AS idf FROM raw_idf"""
+    ),
+    "questions": (
+        rf"""SELECT item_id AS query_id, text AS question, list_slice(list_distinct_in_order, 1, 5) AS expected_keywords, text AS answer """
+        rf"""FROM (SELECT *, list_filter({_tokens('text')}, lambda x, i: length(x) >= 5 AND list_position({_tokens('text')}, x) = i) AS list_distinct_in_order FROM benchmark)"""
+    ),
+    "asked": (
+        rf"""SELECT query_id, term, COUNT(*) AS qf FROM (SELECT query_id, unnest({_tokens('question')}) AS term FROM questions) GROUP BY ALL"""
+    ),
+    "scored": (
+        rf"""SELECT query_id, chunk_id, chunk_ord, ROUND(SUM(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM asked """
+        rf"""JOIN terms USING (term) JOIN postings USING (term), corpus GROUP BY 1, 2, 3"""
+    ),
+    "keyword": (
+        rf"""SELECT * """
+        rf"""FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank, chunk_id, chunk_ord, score FROM scored) """
+        rf"""WHERE rank <= 5 AND score > 0"""
+    ),
+    "lexicon": (
+        rf"""SELECT row_number() OVER (ORDER BY df DESC, term) AS lex, term AS concept FROM terms WHERE length(term) >= 5 ORDER BY df DESC, term LIMIT 32"""
+    ),
+    "found": (
+        rf"""SELECT chunk_id, chunk_ord, chapter, section, lex, concept, concat('concept::', concept) AS node_id FROM chunks, lexicon """
+        rf"""WHERE contains(lower(text), concept)"""
+    ),
+    "derived": (
+        rf"""SELECT *, concat('formula::', left(trim(text), 60)) AS node_id, doc_id * 1000000 + block_idx AS ord FROM blocks """
+        rf"""WHERE block_type = 'formula' AND length(trim(text)) >= 3"""
+    ),
+    "nodes": (
+        rf"""SELECT concat('chapter::', chapter) AS node_id, 'chapter' AS type, chapter AS name, arg_min(page_number, chunk_ord) AS page FROM chunks """
+        rf"""GROUP BY chapter UNION ALL SELECT concat('section::', chapter, '::', section), 'section', section, arg_min(page_number, chunk_ord) FROM chunks """
+        rf"""WHERE section <> '' GROUP BY chapter, section UNION ALL SELECT DISTINCT node_id, 'concept', concept, CAST(NULL AS INT) FROM found """
+        rf"""UNION ALL SELECT node_id, 'formula', arg_min(trim(text), ord), arg_min(page_number, ord) FROM derived GROUP BY node_id"""
+    ),
+    "discussed": (
+        rf"""SELECT concat('section::', chapter, '::', section) AS src, node_id AS dst, MIN(chunk_ord * 1000 + lex) AS met FROM found WHERE section <> '' """
+        rf"""GROUP BY 1, 2"""
+    ),
+    "edges": (
+        rf"""SELECT DISTINCT concat('chapter::', chapter) AS src, concat('section::', chapter, '::', section) AS dst, 'CONTAINS' AS relation FROM chunks """
+        rf"""WHERE section <> '' UNION ALL SELECT src, dst, 'DISCUSSES' FROM discussed """
+        rf"""UNION ALL SELECT DISTINCT concat('section::', chapter, '::', section), node_id, 'DERIVES' FROM derived WHERE section <> '' """
+        rf"""UNION ALL SELECT DISTINCT a.dst, b.dst, 'CO_OCCURS' FROM discussed a JOIN discussed b ON a.src = b.src AND a.met < b.met"""
+    ),
+    "asked_concepts": (
+        rf"""SELECT DISTINCT query_id, concat('concept::', concept) AS node_id FROM questions, (SELECT DISTINCT concept FROM found) """
+        rf"""WHERE contains(lower(question), concept)"""
+    ),
+    "near": (
+        rf"""SELECT query_id, node_id FROM asked_concepts UNION SELECT query_id, dst FROM asked_concepts JOIN edges ON node_id = src """
+        rf"""UNION SELECT query_id, src FROM asked_concepts JOIN edges ON node_id = dst"""
+    ),
+    "graph": (
+        rf"""SELECT * FROM (SELECT query_id, chunk_id, chunk_ord, matched, row_number() OVER (PARTITION BY query_id ORDER BY chunk_ord) AS rank """
+        rf"""FROM (SELECT query_id, chunk_id, chunk_ord, string_agg(DISTINCT concept, ',' ORDER BY concept) AS matched FROM near JOIN found USING (node_id) """
+        rf"""GROUP BY 1, 2, 3)) WHERE rank <= 3"""
+    ),
+    # each chunk and question has one of the given vectors
+    "placed": """SELECT chunk_id, chunk_ord, chunk_ord % (SELECT COUNT(*) FROM embeddings) AS vec_id FROM chunks""",
+    "sims": (
+        """SELECT query_id, c.vec_id, ROUND(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / """
+        """SQRT(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS sim """
+        """FROM questions JOIN embeddings q ON q.vec_id = query_id % (SELECT COUNT(*) FROM embeddings), embeddings c"""
+    ),
+    "semantic": (
+        """SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_ord) AS rank, chunk_id FROM sims JOIN placed USING (vec_id)) WHERE rank <= 5"""
+    ),
+    "ranked": (
+        """SELECT query_id, 'semantic' AS source, 0 AS source_order, rank, chunk_id FROM semantic """
+        """UNION ALL SELECT query_id, 'keyword', 1, rank, chunk_id FROM keyword UNION ALL SELECT query_id, 'graph', 2, rank, chunk_id FROM graph"""
+    ),
+    "fused": (
+        """SELECT query_id, chunk_id, arg_min(source, source_order * 1000 + rank) AS source, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 9) AS rrf, MIN(source_order * 1000 + rank) AS seen FROM ranked GROUP BY 1, 2"""
+    ),
+    "cited": (
+        """SELECT chunk_id, text, concat(chapter, CASE WHEN section <> '' THEN concat(' > ', section) ELSE '' END, CASE WHEN subsection <> '' THEN concat(' > ', subsection) ELSE '' END, """
+        """' (', CASE WHEN page_number = page_end THEN concat('p.', page_number) ELSE concat('pp.', page_number, '–', page_end) END, ')') AS citation FROM chunks"""
+    ),
+    "pool": (
+        """SELECT * FROM (SELECT query_id, chunk_id, source, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) AS rank FROM fused) JOIN cited USING (chunk_id)"""
+    ),
+    "retrieved": """SELECT * FROM pool WHERE rank <= 6""",
+}
+
+
+def with_needed(sql: str) -> str:
+    """``sql`` behind the tables it needs."""
+    need: set[str] = set()
+    wait = [sql]
+    while wait:
+        seen = wait.pop()
+        for name in set(re.findall(r"\w+", seen)) & set(TABLES) - need:
+            need.add(name)
+            wait.append(TABLES[name])
+    return f"WITH RECURSIVE {', '.join(f'{n} AS ({v})' for n, v in TABLES.items() if n in need)} {sql}" if need else sql
 
 
 def query(name: str, sql: str, ctes: bool = True, oracle: bool = True):
     def put(f):
-        QUERIES[name] = lambda spark, d: round_all(f(spark, d))
+        QUERIES[name] = alone(lambda spark, d: round_all(f(spark, d)))
         if oracle:
-            ORACLE_SQL[name] = f"WITH {CTES.strip()} {sql}" if ctes else sql
+            ORACLE_SQL[name] = with_needed(sql) if ctes else sql
         return f
 
     return put
@@ -90,7 +252,8 @@ def blocks(s, d) -> DataFrame:
 
 @held
 def chunks(s, d) -> DataFrame:
-    return K.whole_sections(blocks(s, d))
+    """Section chunks of the heading-aware chunker, and formula chunks."""
+    return K.all_chunks(blocks(s, d))
 
 
 @held
@@ -114,14 +277,32 @@ def concept_graph(s, d) -> G.ConceptGraph:
     return G.build_graph(chunks(s, d), blocks(s, d), lexicon(s, d))
 
 
+def _vector_of(s, d, rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with one of the given vectors each."""
+    e = read(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = F.broadcast(e.agg(F.count("*").alias("_n")))  # one row
+    return rows.crossJoin(n).withColumn("vec_id", F.col(order) % F.col("_n")).join(e, "vec_id").drop("vec_id", "_n")
+
+
+def semantic(s, d) -> DataFrame:
+    c = chunks(s, d).select("chunk_id", F.col("chunk_ord").alias("id"))
+    near = V.knn_exact(_vector_of(s, d, c, "id"), _vector_of(s, d, questions(s, d).select("query_id"), "query_id"))
+    return near.join(c, "id")
+
+
+@held
 def ranked(s, d) -> DataFrame:
     key = L.bm25_search(index(s, d), questions(s, d))
-    return U.ranked_union([("semantic", key.limit(0)), ("keyword", key), ("graph", G.graph_search(concept_graph(s, d), questions(s, d)))])
+    return U.ranked_union([("semantic", semantic(s, d)), ("keyword", key), ("graph", G.graph_search(concept_graph(s, d), questions(s, d)))])
+
+
+def pool(s, d) -> DataFrame:
+    """The fused list with its chunks and questions."""
+    return U.hydrate(U.rrf(ranked(s, d)), K.with_citation(chunks(s, d))).join(questions(s, d).select("query_id", "question"), "query_id")
 
 
 def retrieved(s, d) -> DataFrame:
-    fused = U.rrf(ranked(s, d))
-    return U.rerank(U.hydrate(fused, K.with_citation(chunks(s, d))).join(questions(s, d).select("query_id", "question"), "query_id"))
+    return U.rerank(pool(s, d))
 
 
 @query("parse_blocks", "SELECT doc_id, block_idx, page_number, chapter, section, subsection, text, block_type FROM blocks")
@@ -146,9 +327,9 @@ def _(s, d):
     return lines(s, d).filter(F.length(t) >= 3).groupBy(X.heading_kind(t).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("whole_sections", f"SELECT chunk_id, doc_id, chunk_ord, text, page_number, page_end, chapter, section, {_n_words('text')} AS token_count FROM chunks")
+@query("whole_sections", f"SELECT chunk_id, doc_id, chunk_ord, text, page_number, page_end, chapter, section, {_n_words('text')} AS token_count FROM sections")
 def _(s, d):
-    return chunks(s, d).drop("subsection", "block_types")
+    return K.whole_sections(blocks(s, d)).drop("subsection", "block_types")
 
 
 @query("formula_chunks", f"SELECT chunk_id, doc_id, text, page_number, chapter, section, subsection, {_n_words('text')} AS token_count FROM formulas")
@@ -156,18 +337,22 @@ def _(s, d):
     return K.formula_chunks(blocks(s, d)).drop("chunk_ord", "page_end", "block_types")
 
 
-@query("section_chunks", "", oracle=False)
+_CHUNK = "chunk_id, doc_id, chunk_ord, text, page_number, page_end, chapter, section, subsection, array_to_string(block_types, ',') AS block_types, token_count"
+
+
+@query("section_chunks", f"SELECT {_CHUNK} FROM sectioned")
 def _(s, d):
-    return K.section_chunks(blocks(s, d))
+    return K.section_chunks(blocks(s, d)).withColumn("block_types", F.array_join("block_types", ","))
 
 
-@query("chunk_union", f"SELECT 'section' AS kind, COUNT(*) AS n, AVG({_n_words('text')}) AS mean_tokens FROM chunks UNION ALL SELECT 'formula', COUNT(*), ROUND(AVG({_n_words('text')}), 6) FROM formulas")
+@query("all_chunks", f"SELECT {_CHUNK} FROM chunks")
 def _(s, d):
-    both = chunks(s, d).unionByName(K.formula_chunks(blocks(s, d)))
-    return K.chunk_stats(both.withColumn("block_types", F.when(F.contains("chunk_id", F.lit("formula")), F.array(F.lit("formula"))).otherwise(F.array(F.lit("paragraph")))))
+    return chunks(s, d).withColumn("block_types", F.array_join("block_types", ","))
 
 
-ORACLE_SQL["chunk_union"] = ORACLE_SQL["chunk_union"].replace(f"AVG({_n_words('text')}) AS mean_tokens", f"ROUND(AVG({_n_words('text')}), 6) AS mean_tokens")
+@query("chunk_union", "SELECT CASE WHEN block_types = ['formula'] THEN 'formula' ELSE 'section' END AS kind, COUNT(*) AS n, ROUND(AVG(token_count), 6) AS mean_tokens FROM chunks GROUP BY 1")
+def _(s, d):
+    return K.chunk_stats(chunks(s, d))
 
 
 @query("citations", "SELECT query_id, string_agg(DISTINCT citation, '; ' ORDER BY citation) AS citations FROM retrieved GROUP BY 1")
@@ -247,7 +432,7 @@ def _(s, d):
     return U.rrf(ranked(s, d))
 
 
-@query("source_counts", "SELECT query_id, CAST(0 AS BIGINT) AS semantic, COUNT(*) FILTER (source = 'keyword') AS keyword, COUNT(*) FILTER (source = 'graph') AS graph FROM ranked GROUP BY 1")
+@query("source_counts", "SELECT query_id, COUNT(*) FILTER (source = 'semantic') AS semantic, COUNT(*) FILTER (source = 'keyword') AS keyword, COUNT(*) FILTER (source = 'graph') AS graph FROM ranked GROUP BY 1")
 def _(s, d):
     return U.source_counts(ranked(s, d))
 
@@ -258,11 +443,33 @@ def _(s, d):
     return r.select("query_id", "rank", "chunk_id", "source", "citation", "t.text_preview", "t.score")
 
 
-@query("prompts", "SELECT query_id, concat('CONTEXT:', chr(10), repeat('─', 60), chr(10), string_agg(concat('[Context ', rank, '] [', citation, '] (retrieved via: ', source, ')', chr(10), text, chr(10)), chr(10) ORDER BY rank), chr(10), repeat('─', 60), chr(10), chr(10), 'QUESTION: ', any_value(question), chr(10), chr(10), 'Answer based strictly on the above context:') AS prompt FROM retrieved JOIN questions USING (query_id) GROUP BY 1")
+_P = {k: v.replace("'", "''") for k, v in U.PROMPT.items()}
+_ENTRY = "concat({})".format(", ".join([f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(re.split(r"\{(\w+)\}", _P["entry"])) if x]))
+
+
+@query("prompts", f"SELECT query_id, concat('{_P['head']}', string_agg({_ENTRY}, '' ORDER BY rank), '{_P['ask']}', any_value(question), '{_P['close']}') AS prompt FROM (SELECT *, rank AS n FROM retrieved) JOIN questions USING (query_id) GROUP BY 1")
 def _(s, d):
     return U.build_prompts(retrieved(s, d))
 
 
+_LOW = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> ''))"
+
+
+def shared_words():
+    """A model for tests: the share of the question's words that the text has."""
+
+    def model(questions: list[str], texts: list[str]) -> list[float]:
+        pairs = [(set(q.lower().split()), set(t.lower().split())) for q, t in zip(questions, texts, strict=True)]
+        return [len(q & t) / max(1, len(q)) for q, t in pairs]
+
+    return model
+
+
+@query("reranked_chunks", f"SELECT query_id, rank, chunk_id, ROUND(score, 6) AS rerank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS rank FROM (SELECT query_id, chunk_id, pool.rank AS pool_rank, len(list_intersect({_LOW.format('question')}, {_LOW.format('text')})) / len({_LOW.format('question')}) AS score FROM pool JOIN questions USING (query_id) WHERE pool.rank <= 20)) WHERE rank <= 6")
+def _(s, d):
+    return U.rerank(pool(s, d), shared_words).select("query_id", "rank", "chunk_id", "rerank")
+
+
 _SENT = r"list_filter(list_transform(string_split(answer, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20)"
 _WORDS = r"list_filter(string_split_regex(lower(x), '\s+'), lambda y: y <> '')"
 _GROUNDED = f"len(list_filter(list_transform(range(1, len({_WORDS}) - 1), lambda i: array_to_string(list_slice({_WORDS}, i, i + 2), ' ')), lambda g: contains(lower(src), g))) > 0"
@@ -315,12 +522,17 @@ def _(s, d):
     return read(s, d, "embeddings").select("vec_id", V.l2_normalize(v)[0].alias("first"), F.sqrt(V.dot(v, v)).alias("norm"))
 
 
-@query("hybrid_retrieve", "", oracle=False)
+@query("hybrid_retrieve", "SELECT query_id, rank, chunk_id, source, ROUND(rrf, 6) AS rrf, citation, n_semantic, n_keyword, n_graph FROM retrieved JOIN (SELECT query_id, COUNT(*) FILTER (source = 'semantic') AS n_semantic, COUNT(*) FILTER (source = 'keyword') AS n_keyword, COUNT(*) FILTER (source = 'graph') AS n_graph FROM ranked GROUP BY 1) USING (query_id)")
+def _(s, d):
+    counts = U.source_counts(ranked(s, d)).select("query_id", *[F.col(c).alias(f"n_{c}") for c in ("semantic", "keyword", "graph")])
+    return retrieved(s, d).join(counts, "query_id").select("query_id", "rank", "chunk_id", "source", "rrf", "citation", "n_semantic", "n_keyword", "n_graph")
+
+
+_DIM = "CAST(concat('0x', substr(md5(w), 1, 7)) AS BIGINT) % 256"
+_EMBEDDED = rf"SELECT item_id, dim, ROUND(n / SQRT(SUM(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM (SELECT item_id, {_DIM} AS dim, COUNT(*) AS n FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY 1, 2)"
+
+
+@query("embedded_texts", _EMBEDDED, ctes=False)
 def _(s, d):
-    c, q = chunks(s, d), questions(s, d)
-    v = V.embed(c.select("chunk_id", "chunk_ord", "text"), "text").select("chunk_id", F.col("chunk_ord").alias("id"), "vector")
-    asked = V.embed(q.select("query_id", "question"), "question").select("query_id", "vector")
-    near = V.knn_exact(v, asked).join(v.select("id", "chunk_id"), "id")
-    every = U.ranked_union([("semantic", near), ("keyword", L.bm25_search(L.bm25_index(c), q)), ("graph", G.graph_search(concept_graph(s, d), q))])
-    best = U.rerank(U.hydrate(U.rrf(every), K.with_citation(c)).join(q.select("query_id", "question"), "query_id"))
-    return best.select("query_id", "rank", "chunk_id", "source", "rrf", "citation")
+    v = V.embed(read(s, d, "benchmark").select("item_id", "text"), "text")
+    return v.select("item_id", F.posexplode("vector").alias("dim", "value")).filter("value <> 0").withColumn("dim", F.col("dim").cast("long"))

@@ -19,19 +19,38 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_stored: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a new temporary one in local mode (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path of its own in the shared folder, that ``clear_stored`` removes."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: the lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove all tables that this session has stored. Results that still read them must have been written or collected before."""
+    jvm = spark.sparkContext._jvm
+    for path in _stored.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

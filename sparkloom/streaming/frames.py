@@ -70,5 +70,10 @@ def debounce_stream(sdf: DataFrame, key: str = "stream_id", ts: str = "ts", orde
 
 
 def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all that is there into Parquet, and stop."""
-    sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    """Run a stream over all that is there into Parquet, and stop. In complete mode the table is written anew by every batch."""
+    out = sdf.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()

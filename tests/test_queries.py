@@ -1,12 +1,14 @@
 import pytest
 from oracle import DATA, connect, same
 
+from sparkloom.plans.testtables import together
 from sparkloom.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
 def con():
-    return connect(DATA)
+    with together():
+        yield connect(DATA)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
