@@ -49,6 +49,9 @@ def backtest(df: DataFrame, folds: DataFrame, cols: list[str], n_folds: int = 3,
         if train.isEmpty():
             continue
         parts.append(fit_blend(train, fold.filter("role = 'val'"), cols, **options))
+    if not parts:  # no fold has a complete row to learn from
+        empty = dealt.limit(0).withColumns({c: F.lit(None).cast("double") for c in [*LOSSES.values(), "predicted"]})
+        return empty
     return out_of_fold(parts)
 
 

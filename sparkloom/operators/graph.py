@@ -17,13 +17,25 @@ class ConceptGraph:
     chunk_concepts: DataFrame
 
 
+#: Names up to which a lexicon is sent to every executor; a longer one meets the texts in a join.
+LEXICON_ROWS = 1000
+
+
 def match_concepts(texts: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``texts`` once for each concept (lex, concept) of the lexicon that the lower-cased text contains.
 
-    The lexicon is a short list of names and is broadcast; the text is read once against all of it.
+    Up to LEXICON_ROWS names are broadcast, and the text is read once against all of them. More are joined by the first letters of a
+    name, as many as the shortest name has (8 at most): only names whose letters the text has somewhere are looked for in it.
     """
-    names = F.broadcast(lexicon.agg(F.array_sort(F.collect_list(F.struct("lex", "concept"))).alias("_names")))
     low = F.lower(F.col(text))
+    if lexicon.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
+        n = min(8, lexicon.agg(F.min(F.length("concept"))).first()[0])
+        rows = texts.withColumn("_low", low)
+        places = F.sequence(F.lit(1), F.length("_low") - n + 1)
+        grams = F.array_distinct(F.transform(places, lambda i: F.substr("_low", i, F.lit(n))))
+        met = rows.filter(F.length("_low") >= n).withColumn("_g", F.explode(grams)).join(lexicon.select("lex", "concept", F.substring("concept", 1, n).alias("_g")), "_g")
+        return met.filter(F.contains("_low", "concept")).select(*texts.columns, "lex", "concept")
+    names = F.broadcast(lexicon.agg(F.array_sort(F.collect_list(F.struct("lex", "concept"))).alias("_names")))
     rows = texts.withColumn("_low", low).crossJoin(names)
     # _low is used twice, so that it stays a column of its own and isn't worked out anew for each name
     return rows.withColumn("_c", F.explode(F.when(F.length("_low") > 0, F.filter("_names", lambda c: F.contains(F.col("_low"), c["concept"]))))).select(*texts.columns, "_c.lex", "_c.concept")

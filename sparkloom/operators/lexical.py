@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, keyword_tokens
@@ -19,6 +19,14 @@ class KeywordIndex:
     corpus: DataFrame
 
 
+#: Folders of a saved index's postings; a question set's folders are a list of at most so many.
+BUCKETS = 32
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def bm25_index(chunks: DataFrame, stopwords: list[str] = STOPWORDS, floor: float = 0.25) -> KeywordIndex:
     """Term counts by chunk and by corpus. An idf below 0 is replaced by ``floor`` times the mean idf of all terms."""
     tokens = chunks.select("chunk_id", "chunk_ord", keyword_tokens(F.col("text"), stopwords).alias("t"))
@@ -38,7 +46,11 @@ def bm25_search(index: KeywordIndex, queries: DataFrame, k: int = 5, k1: float =
     Only postings of the questions' terms take part. A term that a question repeats counts each time. Ties go to the chunk that comes first.
     """
     asked = queries.select("query_id", F.explode(keyword_tokens(F.col("question"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.corpus))
+    by = ["term"]
+    if "bucket" in index.postings.columns:  # saved postings lie in folders by bucket: only those of the asked terms are read
+        asked, by = asked.withColumn("bucket", term_bucket(F.col("term"))), ["term", "bucket"]
+        index = replace(index, postings=index.postings.filter(F.col("bucket").isin([r[0] for r in asked.select("bucket").distinct().collect()])))
+    hits = asked.join(index.terms, "term").join(index.postings, by).crossJoin(F.broadcast(index.corpus))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "chunk_id", "chunk_ord").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 DIMENSION_ROWS = 1_000_000
 
 
+def small(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most so many rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @dataclass
 class SalesTables:
     train: DataFrame
@@ -70,13 +75,13 @@ def fill_holiday_defaults(df: DataFrame) -> DataFrame:
 def build_master(t: SalesTables, holidays_mode: str = "first") -> tuple[DataFrame, DataFrame]:
     """Train and test, each left-joined with stores, oil, events and traffic.
 
-    Stores, oil and events are dimensions (a row a store or day) and are broadcast; traffic has a row a store and day, and is left to
-    the optimizer, which broadcasts it while it is small and else shuffles by (date, store).
+    Stores, oil and events are dimensions (a row a store or day) and are broadcast up to DIMENSION_ROWS; traffic has a row a store and
+    day, and is left to the optimizer, which broadcasts it while it is small and else shuffles by (date, store).
     """
-    oil, events = oil_prices(t.oil), collapse_holidays(t.holidays, holidays_mode)
+    stores, oil, events = small(t.stores), small(oil_prices(t.oil)), small(collapse_holidays(t.holidays, holidays_mode))
 
     def merge(df: DataFrame) -> DataFrame:
-        wide = df.join(F.broadcast(t.stores), "store_nbr", "left").join(F.broadcast(oil), "date", "left").join(F.broadcast(events), "date", "left")
+        wide = df.join(stores, "store_nbr", "left").join(oil, "date", "left").join(events, "date", "left")
         return fill_holiday_defaults(wide.join(t.transactions, ["date", "store_nbr"], "left"))
 
     return merge(t.train), merge(t.test)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-#: Most questions that one pass over the corpus answers; they are held by every worker.
+#: Questions up to which they are held by every worker; more meet the corpus in blocks.
 QUERY_BLOCK = 8192
 
 
@@ -37,38 +37,49 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[:, :k]
 
 
-def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, keep_self: bool = True) -> DataFrame:
+def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, keep_self: bool) -> Iterator[pd.DataFrame]:
+    """Each question's best k of the block's unit vectors, by products of bounded size."""
+    for s in range(0, len(qid), 512):
+        score = q[s : s + 512] @ m.T
+        if not keep_self:
+            score[qid[s : s + 512, None] == ids[None, :]] = -np.inf
+        at = _top(score, ids, k)
+        out = pd.DataFrame({"query_id": np.repeat(qid[s : s + 512], at.shape[1]), "id": ids[at.ravel()], "score": np.take_along_axis(score, at, 1).ravel()})
+        yield out[np.isfinite(out["score"])]
+
+
+_SCORED = "query_id long, id long, score double"
+
+
+def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, keep_self: bool = True, block: int = 20_000) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest of (id, vector) for each (query_id, vector) by cosine.
 
-    Every partition keeps k rows a question, so only those are shuffled. Questions are taken in blocks of bounded size, a pass over
-    the corpus each. ``keep_self=False`` leaves out the vector whose id is the question's.
+    Up to QUERY_BLOCK questions are broadcast: every partition keeps k rows a question, so only those are shuffled. More are dealt into
+    blocks of so many, the corpus into blocks of about ``block``, and all blocks meet at once, each meeting in a task of its own.
+    ``keep_self=False`` leaves out the vector whose id is the question's.
     """
-    spark = corpus.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    each = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
-    found = None
-    for i in range(blocks):
-        rows = (each.filter(F.col("_b") == i) if blocks > 1 else each).select("query_id", "vector").collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), _unit([r[1] for r in rows]) if rows else None))
-
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(rows) <= QUERY_BLOCK:
+        shared = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), _unit([r[1] for r in rows]) if rows else None))
+
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qid, q = shared.value
             for pdf in frames:
-                if not len(qid) or not len(pdf):
-                    continue
-                ids, m = pdf["id"].to_numpy(), _unit(pdf["vector"].tolist())
-                for s in range(0, len(qid), 512):
-                    score = q[s : s + 512] @ m.T
-                    if not keep_self:
-                        score[qid[s : s + 512, None] == ids[None, :]] = -np.inf
-                    at = _top(score, ids, k)
-                    best = np.take_along_axis(score, at, 1)
-                    out = pd.DataFrame({"query_id": np.repeat(qid[s : s + 512], at.shape[1]), "id": ids[at.ravel()], "score": best.ravel()})
-                    yield out[np.isfinite(out["score"])]
-
-        part = corpus.select("id", "vector").mapInPandas(search, "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, k)
+                if len(qid) and len(pdf):
+                    yield from _best(qid, q, pdf["id"].to_numpy(), _unit(pdf["vector"].tolist()), k, keep_self)
+
+        return top_k(corpus.select("id", "vector").mapInPandas(search, _SCORED), k)
+    sides = [-(-queries.count() // QUERY_BLOCK), max(1, -(-corpus.count() // block))]
+    deal = lambda df, key, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
+    q = deal(asked, "query_id", "_q", sides[0], "_c", sides[1])
+    c = deal(corpus.select("id", F.col("vector").cast("array<double>").alias("vector")), "id", "_c", sides[1], "_q", sides[0])
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return pd.concat(_best(q["query_id"].to_numpy(), _unit(q["vector"].tolist()), c["id"].to_numpy(), _unit(c["vector"].tolist()), k, keep_self)) if len(q) and len(c) else none
+
+    return top_k(q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(meet, _SCORED), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -32,13 +32,17 @@ classes AS (SELECT CAST(i AS INT) AS class_id FROM range(0, 12) t(i)),
 frames AS (SELECT user_id AS stream_id, ts, event_id, CASE WHEN value / 500 >= 0.1 THEN event_type END AS class_name, value / 500 AS confidence FROM events)"""
 
 
-def query(name: str, sql: str, cols: str = "", oracle: bool = True):
+def oracle(sql: str) -> str:
+    """``sql`` behind the tables."""
+    own = sql.removeprefix("WITH ").strip()
+    return f"WITH RECURSIVE {CTES.strip()}{', ' if sql.startswith('WITH ') else ' '}{own}"
+
+
+def query(name: str, sql: str, cols: str = "", checked: bool = True):
     def put(f):
         QUERIES[name] = alone(lambda spark, d: round_all(f(spark, d)))
-        if oracle:
-            body = rounded(sql, cols) if cols else sql
-            own = body.removeprefix("WITH ").strip()
-            ORACLE_SQL[name] = f"WITH RECURSIVE {CTES.strip()}{', ' if body.startswith('WITH ') else ' '}{own}"
+        if checked:
+            ORACLE_SQL[name] = oracle(rounded(sql, cols) if cols else sql)
         return f
 
     return put
@@ -278,13 +282,14 @@ def _panel(s, d) -> tuple[DataFrame, list[str]]:
     return stored(x.select("date", "store_nbr", "family", "sales", *[c for c in cols if c not in ("store_nbr", "family")])), cols
 
 
-@query("gbt_backtest", "", oracle=False)
+@query("gbt_backtest", "", checked=False)
 def _(s, d):
     x, cols = _panel(s, d)
-    return C.backtest_errors(C.backtest(x, B.walk_forward_folds(x), cols))
+    # the given prices end before the sales: folds end with the last complete row
+    return C.backtest_errors(C.backtest(x, B.walk_forward_folds(X.drop_incomplete(x, [*cols, "sales"])), cols))
 
 
-@query("gbt_forecast", "", oracle=False)
+@query("gbt_forecast", "", checked=False)
 def _(s, d):
     x, cols = _panel(s, d)
     x = x.withColumn("id", F.xxhash64("date", "store_nbr", "family"))
@@ -293,7 +298,7 @@ def _(s, d):
     return C.forecast(train, test.withColumn("sales", F.lit(None).cast("double")), cols)
 
 
-@query("feature_importance", "", oracle=False)
+@query("feature_importance", "", checked=False)
 def _(s, d):
     x, cols = _panel(s, d)
     return C.feature_importance(C.fit_gbt(X.drop_incomplete(x, [*cols, "sales"]), cols), cols)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import detect, sales, text
+from .plans import detect, sales, tables_io, text
 
-_PARTS = [sales, text, detect]
+_PARTS = [sales, text, detect, tables_io]
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
