@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,21 +82,43 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class Units:
-    """Word to unit: 0 is the text's border, then the frequent words, then the endings of all others."""
+    """Word to unit: 0 is the text's border, then the frequent words, then the endings of all others. A worker numbers the words it meets."""
 
     def __init__(self, names: list[bytes], words: int, forms: int):
         self.known = {w: i + 1 for i, w in enumerate(names[:words])}
         self.words, self.forms = len(self.known), forms
         self.size = 1 + self.words + forms
-        self.cache: dict[bytes, int] = {}
+        self.clear()
 
-    def of(self, tokens: list[bytes]) -> list[int]:
-        if len(self.cache) > _FLUSH:
-            self.cache = {}
-        cache, known, first = self.cache, self.known, self.words + 1
-        for w in set(tokens).difference(cache):
-            cache[w] = known.get(w) or first + form_of(w, self.forms)
-        return list(map(cache.__getitem__, tokens))
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {b"\n": 0}  # no word
+        self.unit, self.hash = array("i", [0]), array("q", [0])
+
+    def line(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Units, and hashes of words that are none, of all texts in one line, with a border before, between and behind."""
+        if len(self.seen) > _FLUSH:
+            self.clear()
+        flat: list[bytes] = [b"\n"]
+        for doc in docs:
+            flat += doc.lower().split()
+            flat.append(b"\n")
+        seen, known, first = self.seen, self.known, self.words + 1
+        for w in set(flat).difference(seen):
+            unit = known.get(w)
+            seen[w] = len(self.unit)
+            self.unit.append(unit or first + form_of(w, self.forms))
+            self.hash.append(0 if unit else signed(word_hash(w)))
+        at = np.fromiter(map(seen.__getitem__, flat), np.int64, len(flat))
+        return np.array(self.unit)[at], np.array(self.hash)[at]
+
+
+def word_hash(word: bytes) -> int:
+    """Spark's xxhash64 of the word, without its sign."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def unit_bigrams(texts: DataFrame, text: str, units) -> DataFrame:
@@ -104,37 +128,27 @@ def unit_bigrams(texts: DataFrame, text: str, units) -> DataFrame:
         u: Units = units.value
         held, number = [], 0
 
-        def summed():
-            keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], np.add.reduceat(np.concatenate([n for _, n in held])[order], first)
-
-        def rows(keys, n):
-            for i in range(0, len(keys), 100_000):
-                k = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((k // u.size).astype(np.int32)), pa.array((k % u.size).astype(np.int32)), pa.array(n[i : i + 100_000])], ["a", "b", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(keys)))
+            for i in range(0, len(first), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first[i : i + 100_000]]), pa.array(n[i : i + 100_000])], ["ab", "n"])
 
         for batch in batches:
             for _, docs in pieces(batch, text):
-                line = [0]
-                for doc in docs:
-                    line += u.of(doc.lower().split())
-                    line.append(0)
-                ids = np.array(line, np.int64)
-                held.append(np.unique(ids[:-1] * u.size + ids[1:], return_counts=True))
-                number += len(held[-1][0])
+                ids = u.line(docs)[0].astype(np.int64)
+                held.append(ids[:-1] * u.size + ids[1:])
+                number += len(ids)
                 if number > _KEYS:
-                    held = [summed()]
-                    number = len(held[0][0])
-                    if number > _KEYS // 2:
-                        yield from rows(*held[0])
-                        held, number = [], 0
-        if held:
-            yield from rows(*summed())
+                    yield from rows()
+                    held, number = [], 0
+        yield from rows()
 
-    return texts.select(text).mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    size = units.value.size
+    # dealt out before they are summed: a task's own are summed already
+    found = texts.select(text).mapInArrow(count, "ab long, n long").repartition("ab").groupBy("ab").agg(F.sum("n").alias("n"))
+    return found.select((F.col("ab") / size).cast("int").alias("a"), (F.col("ab") % size).cast("int").alias("b"), "n")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -340,7 +354,7 @@ def assignment(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """(word, n, cls) of the training words that are no units, by the classes beside them; a null word's rows are the class bigrams they are in, cls being the cell.
+    """(word, n, cls) of the training words that are no units, word being its hash, by the classes beside them; rows without a word are the class bigrams they are in, cls being the cell.
 
     Beside two such words the other's ending stands for it, and either counts the pair half. Words are dealt out by hash; none is
     more frequent than the units.
@@ -353,72 +367,60 @@ def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray
         u: Units = units.value
         for batch in batches:
             for _, docs in pieces(batch, text):
-                line: list[int] = [0]
-                flat: list[bytes] = [b""]
-                for doc in docs:
-                    words = doc.lower().split()
-                    flat += words
-                    flat.append(b"")
-                    line += u.of(words)
-                    line.append(0)
-                ids = np.array(line, np.int64)
+                ids, hashes = u.line(docs)
                 rare = np.flatnonzero(ids > u.words)
                 side = (shared.value[ids] + classes * (ids > u.words)).astype(np.int16)  # others by their ending, marked
-                yield pa.RecordBatch.from_arrays([pa.array([flat[i] for i in rare.tolist()], pa.binary()), pa.array(side[rare - 1]), pa.array(side[rare + 1])], ["word", "p", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[rare]), pa.array(side[rare - 1]), pa.array(side[rare + 1])], ["word", "p", "q"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after, before = fit.value
         # by the class beside: what it adds for each class
         after, before = np.vstack([after.T, after.T]), np.vstack([before, before])
         weight = np.repeat([1.0, 0.5], classes)
-        total = np.zeros((classes, classes))
-        held: tuple[bytes, np.ndarray, np.ndarray] | None = None  # the last word may go on: its neighbours' counts
+        left, right = np.zeros((2 * classes, classes)), np.zeros((2 * classes, classes))  # by class beside and own class
+        last: tuple[int, np.ndarray, np.ndarray] | None = None  # the last word may go on: its neighbours' counts
 
-        def decide(word, p, q):
+        def decided(word: int, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             cls = 1 + int((p @ before + q @ after)[1:].argmax())
-            total[:, cls] += (p * weight).reshape(2, classes).sum(0)
-            total[cls] += (q * weight).reshape(2, classes).sum(0)
-            return word, int(p.sum()), cls
+            left[:, cls] += p
+            right[:, cls] += q
+            return made([word], [p.sum()], [cls])
+
+        def made(words, n, cls) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(np.array(n, float)), pa.array(np.array(cls, np.int32))], ["word", "n", "cls"])
 
+        count = lambda x: np.bincount(x, minlength=2 * classes).astype(float)
         for batch in batches:
             for begin in range(0, batch.num_rows, 50_000):
                 part = batch.slice(begin, 50_000)
-                if not part.num_rows:
-                    continue
-                code = column(part, "word").dictionary_encode()
-                names, code = code.dictionary.to_pylist(), code.indices.to_numpy()
-                p, q = column(part, "p").to_numpy(), column(part, "q").to_numpy()
-                out: list[tuple[bytes, int, int]] = []
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                size = np.diff(np.append(first, len(code)))
-                last = slice(first[-1], None)
-                count = lambda x, s: np.bincount(x[s], minlength=2 * classes).astype(float)
-                if held and (len(first) > 1 or held[0] != names[-1]):
-                    if held[0] == names[0]:
-                        held = (held[0], held[1] + count(p, slice(0, size[0])), held[2] + count(q, slice(0, size[0])))
-                        first, size = first[1:], size[1:]
-                    out.append(decide(*held))
-                    held = None
-                if held:
-                    held = (held[0], held[1] + count(p, last), held[2] + count(q, last))
-                    continue
-                held = (names[-1], count(p, last), count(q, last))
+                word, p, q = (column(part, c).to_numpy() for c in ("word", "p", "q"))
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                if last and last[0] == word[0]:
+                    end = first[1] if len(first) > 1 else len(word)
+                    last = (last[0], last[1] + count(p[:end]), last[2] + count(q[:end]))
+                    first = first[1:]
+                    if not len(first):
+                        continue
+                if last:
+                    yield decided(*last)
+                last = (int(word[-1]), count(p[first[-1] :]), count(q[first[-1] :]))
                 if len(first) > 1:
                     s = slice(first[0], first[-1])
-                    cls = 1 + np.add.reduceat(before[p[s]] + after[q[s]], first[:-1] - first[0])[:, 1:].argmax(1)
-                    each = np.repeat(cls, size[:-1])
-                    np.add.at(total, (p[s] % classes, each), weight[p[s]])
-                    np.add.at(total, (each, q[s] % classes), weight[q[s]])
-                    out += zip([names[i] for i in code[first[:-1]].tolist()], size[:-1].tolist(), cls.tolist(), strict=True)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([float(x[1]) for x in out]), pa.array([x[2] for x in out], pa.int32())], ["word", "n", "cls"])
-        if held:
-            word, n, cls = decide(*held)
-            yield pa.RecordBatch.from_arrays([pa.array([word], pa.binary()), pa.array([float(n)]), pa.array([cls], pa.int32())], ["word", "n", "cls"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(classes * classes, pa.binary()), pa.array(total.ravel()), pa.array(np.arange(classes * classes).astype(np.int32))], ["word", "n", "cls"])
-
-    dealt = texts.select(text).mapInArrow(around, "word binary, p short, q short").repartition("word").sortWithinPartitions("word")
-    return stored(dealt.mapInArrow(assign, "word binary, n double, cls int"))
+                    p, q, begins = p[s], q[s], first[:-1] - first[0]
+                    cls = 1 + np.add.reduceat(before[p] + after[q], begins)[:, 1:].argmax(1)
+                    size = np.diff(first)
+                    each = np.repeat(cls, size)
+                    left += np.bincount(p.astype(np.int64) * classes + each, minlength=left.size).reshape(left.shape)
+                    right += np.bincount(q.astype(np.int64) * classes + each, minlength=right.size).reshape(right.shape)
+                    yield made(word[first[:-1]], size, cls)
+        if last:
+            yield decided(*last)
+        total = (left * weight[:, None]).reshape(2, classes, classes).sum(0) + (right * weight[:, None]).reshape(2, classes, classes).sum(0).T
+        cells = np.flatnonzero(total.ravel())
+        yield made([None] * len(cells), total.ravel()[cells], cells)
+
+    dealt = texts.select(text).mapInArrow(around, "word long, p short, q short").repartition("word").sortWithinPartitions("word")
+    return stored(dealt.mapInArrow(assign, "word long, n double, cls int"))
 
 
 class Model:
@@ -501,7 +503,7 @@ def _numbers(x: np.ndarray) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in np.maximum(x, -99).ravel())), ",").cast("array<double>")
 
 
-def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 10, words: int = 16_384, forms: int = 1024, seeds: int = 256, classes: int = 64, least_gain: float = 5e-4, prior: float = 20.0) -> DataFrame:
+def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 10, words: int = 16_384, forms: int = 256, seeds: int = 256, classes: int = 64, least_gain: float = 5e-4, prior: float = 20.0) -> DataFrame:
     """Score every row of ``docs`` by a model learnt from the rows whose ``fold(id, folds)`` is not 0.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (10 ** (-score / n_tokens)).
@@ -536,23 +538,24 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     border = train.count()
     total, once = np.zeros(classes), np.zeros(classes)
     total[0] = border
-    rest = rest.filter("word is not null").withColumn("n", F.col("n").cast("long"))
+    rest = rest.filter("word is not null")
     for cls, n, k in rest.groupBy("cls").agg(F.sum("n"), F.count_if(F.col("n") == 1)).collect():
         total[cls], once[cls] = n, k
     for w, n in head[: units.words]:
         total[of[units.known[w]]] += n
         once[of[units.known[w]]] += n == 1
-    joined = {}
-    if len(head) > units.words:
-        told = rest.filter(F.col("n") >= head[-1][1]).toArrow()
-        joined = dict(zip(told["word"].to_pylist(), told["cls"].to_pylist(), strict=True))
-    named = [(w, n, int(of[units.known[w]]) if w in units.known else joined[w]) for w, n in head]
+    least = head[-1][1] if head else 0
+    told = rest.filter(F.col("n") >= least).toArrow() if len(head) > units.words else None  # the head's words
+    joined = dict(zip(told["word"].to_pylist(), told["cls"].to_pylist(), strict=True)) if told else {}
+    named = [(w, n, int(of[units.known[w]]) if w in units.known else joined[signed(word_hash(w))]) for w, n in head]
+    # words that workers don't hold, with counts and classes
+    tail = counts.filter(F.col("n") < least).select("word", "n", F.xxhash64("word").alias("h")).join(rest.select(F.col("word").alias("h"), "cls"), "h").drop("h")
     tokens = n_words + border
     model = Model(of[units.words + 1 :], grid, total, once, named, tokens, types + (border > 0), border, prior)
     scored = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(spark.sparkContext.broadcast(model)), "rid long, pos long, word binary, p int, q int, form int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     share, unseen, move = _numbers(model.share), _numbers(model.unseen), _numbers(model.move)
     own = F.col("pos") < 0
-    with_class = scored.join(rest, "word", "left").select("rid", "pos", "p", "q", "n", F.coalesce("cls", "form").alias("c"), "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    with_class = scored.join(tail, "word", "left").select("rid", "pos", "p", "q", "n", F.coalesce("cls", "form").alias("c"), "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     # a text's joined words in order: where one stands before another, its class is the other's class before
     before = F.when(F.col("p") >= 0, F.col("p")).otherwise(F.lag("c").over(Window.partitionBy("rid").orderBy("pos")))
     step = lambda a, b: F.element_at(move, (a * classes + b + 1).cast("int"))
