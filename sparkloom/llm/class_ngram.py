@@ -503,7 +503,7 @@ def _numbers(x: np.ndarray) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in np.maximum(x, -99).ravel())), ",").cast("array<double>")
 
 
-def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 10, words: int = 16_384, forms: int = 256, seeds: int = 256, classes: int = 64, least_gain: float = 5e-4, prior: float = 20.0) -> DataFrame:
+def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 10, words: int = 16_384, forms: int = 256, seeds: int = 256, classes: int = 64, least_gain: float = 1e-3, prior: float = 20.0) -> DataFrame:
     """Score every row of ``docs`` by a model learnt from the rows whose ``fold(id, folds)`` is not 0.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (10 ** (-score / n_tokens)).
