@@ -41,7 +41,7 @@ typed AS (SELECT src, id, i, word, v, CASE WHEN kind IS NULL AND regexp_matches(
 canon AS (SELECT src, id, i, CASE WHEN kind IS NOT NULL THEN concat(chr(2), kind) ELSE {bare.replace('COLUMN', 'word')} END AS c, CASE WHEN kind IS NOT NULL THEN {bare.replace('COLUMN', 'v')} END AS v FROM typed),
 placed AS (SELECT src, id, c, v, row_number() OVER (PARTITION BY src, id ORDER BY i) - 1 AS p FROM canon WHERE c <> ''),
 windows AS (SELECT src, id, p, cs, vs FROM (SELECT src, id, p, list(c) OVER w AS cs, list(v) OVER w AS vs FROM placed WINDOW w AS (PARTITION BY src, id ORDER BY p ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)) WHERE len(cs) = {width}),
-asked AS (SELECT DISTINCT id AS item_id, p AS q, cs, list_filter(vs, lambda x: x IS NOT NULL) AS theirs FROM windows WHERE src = 'b'),
+asked AS (SELECT DISTINCT id AS item_id, p AS q, cs, list_filter(vs, lambda x: x IS NOT NULL) AS theirs FROM windows WHERE src = 'b' AND len(list_filter(vs, lambda x: x IS NOT NULL)) < len(vs)),
 total AS (SELECT item_id, COUNT(DISTINCT q) AS total FROM asked GROUP BY 1),
 hits AS (SELECT id AS doc_id, item_id, p - q AS diagonal, q, theirs, list_filter(vs, lambda x: x IS NOT NULL) AS slots FROM windows JOIN asked USING (cs) WHERE src = 'd'),
 pairs AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(theirs) AS a, unnest(slots) AS b FROM hits),

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import column, fold, pieces
 
 UNKNOWN = "und"
+#: N-grams that a worker holds.
+_FLUSH = 500_000
 #: Bytes as letters: A-Z lower-cased, a-z and all of other scripts kept, the rest blank.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _BLANK = 0x20
@@ -50,6 +52,12 @@ def language_profiles(docs: DataFrame, text: str, lang: str, size: int = 300) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: defaultdict[str, Counter] = defaultdict(Counter)
+
+        def held() -> Iterator[pa.RecordBatch]:
+            for name, c in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["lang", "key", "n"])
+            total.clear()
+
         for batch in batches:
             for part, data in pieces(batch, text):
                 by: defaultdict[str, list[bytes]] = defaultdict(list)
@@ -58,12 +66,15 @@ def language_profiles(docs: DataFrame, text: str, lang: str, size: int = 300) ->
                 for name, xs in by.items():
                     keys, n = counted(grams(b" ".join(xs)))
                     total[name].update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-        for name, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["lang", "key", "n"])
+                if sum(map(len, total.values())) > _FLUSH:
+                    yield from held()
+        yield from held()
 
     counts = docs.filter(F.col(lang).isNotNull()).select(text, F.col(lang).alias(lang)).mapInArrow(count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    return counts.withColumn("place", place - 1).filter(F.col("place") < size).select("lang", "key", "place")
+    # the first of each share of a language's n-grams, then the first of these
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "key"))
+    first = counts.withColumn("place", place(F.pmod(F.hash("key"), F.lit(64)))).filter(F.col("place") <= size)
+    return first.withColumn("place", place() - 1).filter(F.col("place") < size).select("lang", "key", "place")
 
 
 class Profiles:

@@ -151,7 +151,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     name one (a component of null ids alone has a null id); equal rows each give a row. Other columns are not read.
     """
     # links are between fingerprints, so the ids take no part in the index
-    of = stored(fingerprints(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, "doc_id", text, width))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    of = stored(fingerprints(own, "doc_id", "text", width))
     fps = of.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(fps, bits))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

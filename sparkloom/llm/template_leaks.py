@@ -3,8 +3,8 @@
 Words become canonical: numbers, quantities, units and names (capitals within a sentence) turn into typed placeholders, others lose
 case and outer punctuation. Windows of canonical words of documents and benchmark items meet in a hash join; hits on one diagonal (document
 position less item position) are one passage. Its slots, the words behind the placeholders, must be consistent: each value of
-the item answers to one value of the document throughout, so a question with other numbers is caught and a chance meeting of
-placeholders isn't. A passage that covers ``coverage`` of an item's windows is a leak.
+the item answers to one value of the document throughout, so a question with other numbers is caught; windows without a literal word
+don't count, so a chance meeting of placeholders isn't. A passage that covers ``coverage`` of an item's windows is a leak.
 
 With ``shifts`` a run of placeholders of one type is one slot, hits on neighbouring diagonals are one passage, and of a passage only
 the windows with a minority value of a slot are left out; so values of another number of words, and some words put in or left
@@ -78,6 +78,7 @@ def _windows(rows: DataFrame, keys: list[str], widths: list[int | Column]) -> Da
 def template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", width: int = 6, coverage: float = 0.3, min_words: int = 4, shifts: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, exact) of every pair whose document holds a passage of the item.
 
+    Windows of placeholders alone are neither looked for nor counted, so items of nothing else give no pair.
     n_windows and coverage are of the pair's best passage; exact: all its slots have the item's own values. Items under ``width``
     words are looked for as one window; under ``min_words`` words not at all, as a bare phrase says nothing; words are canonical
     ones, of ``shifts`` too. An item of one window is also looked for with its first word as a name. Null ids and null and
@@ -92,6 +93,9 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     items = plain.unionByName(named).withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn("slack", SLACK + F.size(F.filter("w", lambda x: F.instr(x, "\u0001") > 0)))
     short = sorted(r[0] for r in items.filter(F.col("width") < width).select("width").distinct().collect())
     own = _windows(items, ["item_id", "width", "slack"], [F.col("width")])
+    # windows of placeholders alone say nothing
+    slots = F.when(F.col("slots") == "", 0).otherwise(F.size(F.split("slots", "\u0001")))
+    own = own.filter(slots < F.col("width"))
     asked = own.groupBy("item_id", F.col("at").alias("q"), "h", F.col("slots").alias("theirs")).agg(F.max("slack").alias("slack"))
     total = asked.groupBy("item_id").agg(F.countDistinct("q").alias("total"))
     n = asked.count()

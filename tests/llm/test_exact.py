@@ -10,6 +10,7 @@ import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from llm_helpers import vocabulary
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe_codec as B
 from sparkloom.llm import repeat_spans as S
@@ -123,6 +124,9 @@ def test_simhash_of_documents(spark, edge, no_docs):
     want = [(i if i is not None else -1, f"{f:016x}", least.get(root[f], -1)) for i, f in fps]
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint, -1 if r.component_id is None else r.component_id) for r in got) == sorted(want)
     assert H.simhash_groups(edge[0]).count() == len(edge[1])
+    # another id column, beside columns of the names used inside
+    keyed = edge[0].withColumns({"key": F.col("doc_id") * 10, "a": F.lit("clash")})
+    assert {r.doc_id for r in H.simhash_groups(keyed, id_col="key").collect()} == {None if i is None else i * 10 for i, _ in edge[1]}
     assert H.simhash_groups(no_docs).count() == 0
 
 

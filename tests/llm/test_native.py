@@ -157,6 +157,13 @@ def test_short_items_and_both_joins(spark, monkeypatch, limit):
     assert {(r.doc_id, r.item_id) for r in T.template_leaks(docs, bench).collect()} == {(1, 1), (3, 3)}
 
 
+def test_placeholders_alone_are_no_leak(spark):
+    items = spark.createDataFrame([(1, "9 10 11 12 13 14 15"), (2, "Add 9 10 11 12 13 14 15 to the sum now")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Values: 1 2 3 4 5 6 7 8 9 and more"), (2, "Please add 1 2 3 4 5 6 7 to the sum now or later")], "doc_id long, text string")
+    for shifts in (False, True):
+        assert {(r.doc_id, r.item_id) for r in T.template_leaks(docs, items, shifts=shifts).collect()} == {(2, 2)}
+
+
 def test_leak_edges(spark, edge, no_docs):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert T.template_leaks(edge[0], bench).count() == 0
