@@ -321,6 +321,43 @@ def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 256, by_byte
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
+#: Bytes that stand for a word where passages are counted in words.
+_WORD = 3
+
+
+def word_codes(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, th, text) with _WORD bytes of its hash in place of each word, so that a byte string stands for words of any length and spacing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, bytes] = {}
+        for batch in batches:
+            for part, data in pieces(batch, "text"):
+                out = []
+                for x in data:
+                    words = x.split()
+                    for w in set(words).difference(seen):
+                        seen[w] = xxhash.xxh64_digest(w)[:_WORD]
+                    out.append(b"".join(map(seen.__getitem__, words)))
+                    if len(seen) > 300_000:
+                        seen = {}
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "th"), pa.array(out, pa.binary())], ["doc_id", "th", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, th long, text binary")
+
+
+def passage_words(docs: DataFrame, words: int, crowd: int = 256) -> DataFrame:
+    """(doc_id, th, n_passage_words): words of ``docs`` (doc_id, th, text) in passages of at least so many words that also stand elsewhere; rows without any are left out."""
+    spans = repeated_spans(stored(word_codes(docs)), words * _WORD, crowd)
+    # codes that are covered whole, in runs that are long enough
+    ends = F.transform("spans", lambda x: F.struct(F.ceil(x["begin"] / _WORD).alias("b"), F.floor(x["end"] / _WORD).alias("e")))
+    runs = F.aggregate(
+        F.array_sort(F.filter(ends, lambda x: x["e"] - x["b"] >= words)),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
+        lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["b"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
+    )
+    return spans.select("doc_id", "th", runs["n"].alias("n_passage_words")).filter("n_passage_words > 0")
+
+
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs of the union of spans."""
     out: list[list[int]] = []
@@ -332,12 +369,15 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 256, digests: bool = True, by_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 256, digests: bool = True, by_bytes: bool = False, words: int = 51) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else, in any document or the same.
 
-    With ``digests``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; else doc_id, n_bytes, n_removed,
+    With ``digests``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_passage_words; else doc_id, n_bytes, n_removed,
     spans and kept (binary: a cut may fall inside a character). Null texts count as empty; shorter texts keep all. Equal
     rows are copies of each other and lose what they repeat; null ids are told apart by their texts. Other columns are not read.
+
+    n_passage_words: words in passages of at least ``words`` words that also stand elsewhere, however few bytes they have; such
+    passages are found by the same construction over three bytes a word, and only reported.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     spans = stored(repeated_spans(own.select("doc_id", "th", "text"), length, crowd, by_bytes))
@@ -366,4 +406,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
     new = touched.dropDuplicates(["doc_id", "th"])
     pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
-    return plain.alias("a").join(new.alias("b"), on, "left").select("a.doc_id", "a.n_bytes", pick("n_removed"), pick("n_spans"), pick("kept_sha256"))
+    said = passage_words(own.select("doc_id", "th", "text"), words, crowd).alias("w")
+    told = plain.alias("a").join(new.alias("b"), on, "left").join(said, F.col("a.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("a.th") == F.col("w.th")), "left")
+    return told.select("a.doc_id", "a.n_bytes", pick("n_removed"), pick("n_spans"), pick("kept_sha256"), F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"))

@@ -170,6 +170,24 @@ def test_repeats_against_all_windows(spark, edge, no_docs, crowd, by_bytes):
         assert kept == {1: "", 2: "x", 3: "other"}
 
 
+def test_passages_against_all_word_windows(spark):
+    """Passages of over 50 words are reported whatever their bytes and spacing."""
+    rng = random.Random(12)
+    vocab = [f"{rng.choice('abcdefgh')}{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = text(70)
+    rows = [(i, " ".join(text(rng.randint(0, 90)) + shared[rng.randint(0, 10) : rng.randint(55, 70)] + text(rng.randint(0, 40)))) for i in range(40)]
+    rows += [(40, "\n".join(shared[:51])), (41, " ".join(shared[:50])), (42, " ".join(text(300))), (43, None), (44, " ".join(shared[:60]) + "  " + " ".join(shared[:60])), (45, "x " * 60)]
+    count = Counter(tuple(w[i : i + 51]) for _, t in rows for w in [(t or "").split()] for i in range(len(w) - 50))
+
+    def brute(t):
+        w = (t or "").split()
+        return len({i + k for i in range(len(w) - 50) if count[tuple(w[i : i + 51])] > 1 for k in range(51)})
+
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_passage_words for r in got.collect()} == {i: brute(t) for i, t in rows}
+
+
 @given(st.integers(0, 10**6), st.integers(2, 14), st.integers(4, 9))
 @settings(max_examples=40, deadline=None)
 def test_columns_against_brute_force(seed, rows, length):
