@@ -132,3 +132,22 @@ def test_recall_of_the_index(spark):
     pairs = lambda name: {(r.query_id, r.id) for r in QUERIES[name](spark, DATA).collect()}
     exact = pairs("knn_exact")
     assert len(pairs("knn_ivf") & exact) >= 0.9 * len(exact)
+
+
+def test_many_questions_meet_the_corpus_in_blocks(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, V.knn_exact(e, q, keep_self=False).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 20)
+    assert sorted(map(tuple, V.knn_exact(e, q, keep_self=False, block=30).select("query_id", "rank", "id").collect())) == want
+    assert V.knn_exact(e.limit(0), q, block=30).count() == 0
+
+
+def test_long_lexicons_are_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Supply and demand of labour"), (2, "la"), (3, None), (4, "oversupply")], "id long, text string")
+    names = spark.createDataFrame([(1, "supply"), (2, "demand of"), (3, "and"), (4, "labours")], "lex long, concept string")
+    found = lambda: sorted((r.id, r.concept) for r in G.match_concepts(texts, names).collect())
+    want = found()
+    assert want == [(1, "and"), (1, "demand of"), (1, "supply"), (4, "supply")]
+    monkeypatch.setattr(G, "LEXICON_ROWS", 2)
+    assert found() == want
