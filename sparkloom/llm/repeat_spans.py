@@ -35,9 +35,9 @@ from .common import column, pieces, stored
 
 _GRAM = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 #: Contexts that are built together, and windows that are counted by their common core first.
-_BATCH, _BLOCK = 8192, 24
+_BATCH, _BLOCK = 4096, 24
 #: Most document keys that every executor gets to leave out other texts before a shuffle.
 BROADCAST_KEYS = 1_000_000
 
