@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import column, fold, pieces, stored
 
 #: Most words whose counts every worker holds; the counts of all others are joined.
-HEAD = 131_072
+HEAD = 262_144
 #: Classes whose gain is worked out in a round for each unit: the likeliest to first order.
 SHORTLIST = 8
 _FLUSH = 300_000
