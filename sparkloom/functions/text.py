@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "of", "to", "and", "or"]
 #: Equation with operators, variable = expression, Greek letters and symbols. Fixed patterns.
 FORMULA_PATTERNS = [r"[=\+\-\*/]\s*[A-Za-z]\s*[=\+\-\*/]", r"\b[A-Z][a-z]?\s*=\s*[A-Za-z0-9\+\-\*/\^\(\)]+", r"∫|∑|∂|√|∞|α|β|γ|δ|ε|θ|λ|μ|π|σ|τ|φ|ω"]
+#: Headings by their numbering. Fixed values.
 CHAPTER, SECTION, SUBSECTION = r"(?i)^chapter\s+(\d+)", r"^(\d+\.\d+)\s+(.+)$", r"^(\d+\.\d+\.\d+)\s+(.+)$"
 
 

@@ -73,12 +73,19 @@ def parse_labels(lines: DataFrame, first_only: bool = False) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, cls: str, fractions: tuple[float, float] = (0.8, 0.1), seed: int = 42, id_col: str = "image_id") -> DataFrame:
-    """``df`` with split: the first floor(n * f) of each class by hashed id to train, then val, the rest to test."""
+    """``df`` with split: the first floor(n * f) of each class by hashed id to train, then val, the rest to test.
+
+    A class is ranked in 4096 ranges of the hash, each by itself, behind the counts of the ranges before it, so that no task holds a class.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), id_col)).withColumn("_range", F.shiftright("_h", 52))
+    ranges = rows.groupBy(cls, "_range").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(cls)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), id_col), id_col))
-    n = F.count("*").over(w)
-    train, val = F.floor(n * fractions[0]), F.floor(n * fractions[1])
-    return df.withColumn("split", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col(cls).alias("_c"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_n").over(w).alias("_all"))
+    placed = rows.join(ranges, F.col(cls).eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(cls, "_range").orderBy("_h", id_col))
+    train, val = F.floor(F.col("_all") * fractions[0]), F.floor(F.col("_all") * fractions[1])
+    return placed.withColumn("split", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test")).drop("_h", "_range", "_c", "_r", "_before", "_all")
 
 
 def annotation_stats(df: DataFrame) -> DataFrame:

@@ -78,18 +78,27 @@ def _(s, d):
     return D.boxes_from_landmarks(landmarks(s, d))
 
 
-@query("pixel_boxes", "SELECT image_id, CAST(trunc((x_c - w / 2) * 640) AS INT) AS px1, CAST(trunc((y_c - h / 2) * 480) AS INT) AS py1, CAST(trunc((x_c + w / 2) * 640) AS INT) AS px2, CAST(trunc((y_c + h / 2) * 480) AS INT) AS py2 FROM boxes")
+@query("pixel_boxes", (
+    "SELECT image_id, CAST(trunc((x_c - w / 2) * 640) AS INT) AS px1, CAST(trunc((y_c - h / 2) * 480) AS INT) AS py1, "
+    "CAST(trunc((x_c + w / 2) * 640) AS INT) AS px2, CAST(trunc((y_c + h / 2) * 480) AS INT) AS py2 FROM boxes"
+))
 def _(s, d):
     return D.center_to_pixels(D.boxes_from_landmarks(landmarks(s, d)), 640, 480).select("image_id", "px1", "py1", "px2", "py2")
 
 
-@query("label_lines", "SELECT image_id, printf('%d %.6f %.6f %.6f %.6f', class_id, ROUND(x_c, 4), ROUND(y_c, 4), ROUND(w, 4), ROUND(h, 4)) AS line FROM boxes JOIN truth USING (image_id)")
+@query("label_lines", (
+    "SELECT image_id, printf('%d %.6f %.6f %.6f %.6f', class_id, ROUND(x_c, 4), ROUND(y_c, 4), ROUND(w, 4), ROUND(h, 4)) AS line FROM boxes "
+    "JOIN truth USING (image_id)"
+))
 def _(s, d):
     b = D.boxes_from_landmarks(landmarks(s, d)).withColumns({c: F.round(c, 4) for c in ("x_c", "y_c", "w", "h")})
     return D.format_labels(b.join(truth(s, d), "image_id"))
 
 
-@query("parsed_labels", "SELECT image_id, class_id, ROUND(x_c, 4) AS x_c, ROUND(y_c, 4) AS y_c, ROUND(w, 4) AS w, ROUND(h, 4) AS h FROM boxes JOIN truth USING (image_id) WHERE image_id % 5 <> 0")
+@query("parsed_labels", (
+    "SELECT image_id, class_id, ROUND(x_c, 4) AS x_c, ROUND(y_c, 4) AS y_c, ROUND(w, 4) AS w, ROUND(h, 4) AS h FROM boxes JOIN truth "
+    "USING (image_id) WHERE image_id % 5 <> 0"
+))
 def _(s, d):
     b = D.boxes_from_landmarks(landmarks(s, d)).withColumns({c: F.round(c, 4) for c in ("x_c", "y_c", "w", "h")})
     lines = D.format_labels(b.join(truth(s, d), "image_id"))
@@ -97,7 +106,13 @@ def _(s, d):
     return D.parse_labels(broken)
 
 
-@query("fallback_boxes", "SELECT t.image_id, CASE WHEN t.image_id % 11 = 1 THEN 'no_detector' WHEN t.image_id % 11 = 2 THEN 'no_hand' ELSE 'ok' END AS status, CASE WHEN t.image_id % 11 IN (1, 2) THEN 0.5::DOUBLE ELSE x_c END AS x_c, CASE WHEN t.image_id % 11 IN (1, 2) THEN 0.5::DOUBLE ELSE y_c END AS y_c, CASE t.image_id % 11 WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.6::DOUBLE ELSE w END AS w, CASE t.image_id % 11 WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE h END AS h FROM truth t LEFT JOIN boxes USING (image_id) WHERE t.image_id % 11 <> 3", "x_c y_c w h")
+@query("fallback_boxes", (
+    "SELECT t.image_id, CASE WHEN t.image_id % 11 = 1 THEN 'no_detector' WHEN t.image_id % 11 = 2 THEN 'no_hand' ELSE 'ok' END AS status, CASE "
+    "WHEN t.image_id % 11 IN (1, 2) THEN 0.5::DOUBLE ELSE x_c END AS x_c, CASE WHEN t.image_id % 11 IN (1, "
+    "2) THEN 0.5::DOUBLE ELSE y_c END AS y_c, CASE t.image_id % 11 WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.6::DOUBLE ELSE w END AS w, "
+    "CASE t.image_id % 11 WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE h END AS h FROM truth t LEFT JOIN boxes USING (image_id) "
+    "WHERE t.image_id % 11 <> 3"
+), "x_c y_c w h")
 def _(s, d):
     k = F.col("image_id") % 11
     images = truth(s, d).select("image_id", F.when(k == 1, "no_detector").when(k == 2, "no_hand").when(k == 3, "unreadable").otherwise("ok").alias("status"))
@@ -105,13 +120,19 @@ def _(s, d):
     return D.fallback_boxes(images, own).select("image_id", "status", "x_c", "y_c", "w", "h")
 
 
-@query("annotation_stats", "SELECT COUNT(*) FILTER (image_id % 11 <> 3) AS processed, COUNT(*) FILTER (image_id % 11 = 2) AS no_hand, COUNT(*) FILTER (image_id % 11 = 3) AS errors FROM truth")
+@query("annotation_stats", (
+    "SELECT COUNT(*) FILTER (image_id % 11 <> 3) AS processed, COUNT(*) FILTER (image_id % 11 = 2) AS no_hand, COUNT(*) "
+    "FILTER (image_id % 11 = 3) AS errors FROM truth"
+))
 def _(s, d):
     k = F.col("image_id") % 11
     return D.annotation_stats(truth(s, d).withColumn("status", F.when(k == 1, "no_detector").when(k == 2, "no_hand").when(k == 3, "unreadable").otherwise("ok")))
 
 
-@query("class_names", "SELECT class_id, CASE WHEN class_id < 10 THEN list_extract(['A', 'B', 'C', 'D', 'E', 'L', 'V', 'Y', 'thumbsup', 'thumbsdown'], class_id + 1) ELSE 'unknown' END AS name, COUNT(*) AS n FROM (SELECT CAST(label + vec_id % 4 AS INT) AS class_id FROM embeddings) GROUP BY 1")
+@query("class_names", (
+    "SELECT class_id, CASE WHEN class_id < 10 THEN list_extract(['A', 'B', 'C', 'D', 'E', 'L', 'V', 'Y', 'thumbsup', 'thumbsdown'], "
+    "class_id + 1) ELSE 'unknown' END AS name, COUNT(*) AS n FROM (SELECT CAST(label + vec_id % 4 AS INT) AS class_id FROM embeddings) GROUP BY 1"
+))
 def _(s, d):
     ids = read(s, d, "embeddings").select((F.col("label") + F.col("vec_id") % 4).cast("int").alias("class_id"))
     return ids.groupBy("class_id", D.class_name(F.col("class_id")).alias("name")).agg(F.count("*").alias("n"))
@@ -122,12 +143,18 @@ def _(s, d):
     return D.known_classes(truth(s, d).withColumn("class_name", F.upper(D.class_name(F.col("class_id")))).drop("class_id")).groupBy("class_id").agg(F.count("*").alias("n"))
 
 
-@query("split_counts", "SELECT class_id, unnest(['train', 'val', 'test']) AS split, unnest([floor(n * 0.8::DOUBLE)::BIGINT, floor(n * 0.1::DOUBLE)::BIGINT, n - floor(n * 0.8::DOUBLE)::BIGINT - floor(n * 0.1::DOUBLE)::BIGINT]) AS n FROM (SELECT class_id, COUNT(*) AS n FROM truth GROUP BY 1)")
+@query("split_counts", (
+    "SELECT class_id, unnest(['train', 'val', 'test']) AS split, unnest([floor(n * 0.8::DOUBLE)::BIGINT, floor(n * 0.1::DOUBLE)::BIGINT, "
+    "n - floor(n * 0.8::DOUBLE)::BIGINT - floor(n * 0.1::DOUBLE)::BIGINT]) AS n FROM (SELECT class_id, COUNT(*) AS n FROM truth GROUP BY 1)"
+))
 def _(s, d):
     return D.class_distribution(D.stratified_split(truth(s, d), "class_id"))
 
 
-@query("dataset_minimum", "SELECT class_id, CAST(COALESCE(n, 0) AS BIGINT) AS n, COALESCE(n, 0) >= 20 AS enough, (SELECT COUNT(*) FROM truth) >= 12 * 20 AS total_enough FROM classes LEFT JOIN (SELECT class_id, COUNT(*) AS n FROM truth GROUP BY 1) USING (class_id)")
+@query("dataset_minimum", (
+    "SELECT class_id, CAST(COALESCE(n, 0) AS BIGINT) AS n, COALESCE(n, 0) >= 20 AS enough, (SELECT COUNT(*) "
+    "FROM truth) >= 12 * 20 AS total_enough FROM classes LEFT JOIN (SELECT class_id, COUNT(*) AS n FROM truth GROUP BY 1) USING (class_id)"
+))
 def _(s, d):
     return D.check_minimum(truth(s, d), classes(s))
 
@@ -157,17 +184,31 @@ def _(s, d):
     return D.normalize_confusion(D.confusion_matrix(D.pair_predictions(truth(s, d), detections(s, d))))
 
 
-@query("classification_report", "SELECT class_id, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM (SELECT class_id, CASE WHEN called > 0 THEN hit / called ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall, support FROM (SELECT class_id, COALESCE((SELECT SUM(n) FROM cm WHERE true_cls = class_id AND pred_cls = class_id), 0)::BIGINT AS hit, COALESCE((SELECT SUM(n) FROM cm WHERE pred_cls = class_id), 0)::BIGINT AS called, COALESCE((SELECT SUM(n) FROM cm WHERE true_cls = class_id), 0)::BIGINT AS support FROM classes))", "precision recall f1")
+@query("classification_report", (
+    "SELECT class_id, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, "
+    "support FROM (SELECT class_id, CASE WHEN called > 0 THEN hit / called ELSE 0 END AS precision, CASE "
+    "WHEN support > 0 THEN hit / support ELSE 0 END AS recall, support FROM (SELECT class_id, COALESCE((SELECT SUM(n) FROM cm "
+    "WHERE true_cls = class_id AND pred_cls = class_id), 0)::BIGINT AS hit, COALESCE((SELECT SUM(n) FROM cm WHERE pred_cls = class_id), "
+    "0)::BIGINT AS called, COALESCE((SELECT SUM(n) FROM cm WHERE true_cls = class_id), 0)::BIGINT AS support FROM classes))"
+), "precision recall f1")
 def _(s, d):
     return D.classification_report(D.confusion_matrix(D.pair_predictions(truth(s, d), detections(s, d))), classes(s))
 
 
-@query("latency_report", "SELECT event_type AS config, AVG(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, 1000 / AVG(value) AS fps, CASE WHEN AVG(value) < 30 THEN 'PASS' WHEN AVG(value) < 100 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM events GROUP BY 1", "mean p50 p95 p99 fps")
+@query("latency_report", (
+    "SELECT event_type AS config, AVG(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, "
+    "0.99) AS p99, 1000 / AVG(value) AS fps, CASE WHEN AVG(value) < 30 THEN 'PASS' WHEN AVG(value) < 100 THEN 'WARN' ELSE 'FAIL' END AS verdict "
+    "FROM events GROUP BY 1"
+), "mean p50 p95 p99 fps")
 def _(s, d):
     return D.latency_report(read(s, d, "events").select(F.col("event_type").alias("config"), F.col("value").alias("ms")))
 
 
-@query("box_overlap", "SELECT image_id, CASE WHEN inter > 0 THEN inter / (wa * ha + wb * hb - inter) ELSE 0 END AS iou FROM (SELECT a.image_id, GREATEST(LEAST(a.x2, b.x2) - GREATEST(a.x1, b.x1), 0) * GREATEST(LEAST(a.y2, b.y2) - GREATEST(a.y1, b.y1), 0) AS inter, a.w AS wa, a.h AS ha, b.w AS wb, b.h AS hb FROM boxes a JOIN boxes b ON b.image_id = a.image_id + 1)", "iou")
+@query("box_overlap", (
+    "SELECT image_id, CASE WHEN inter > 0 THEN inter / (wa * ha + wb * hb - inter) ELSE 0 END AS iou FROM (SELECT a.image_id, "
+    "GREATEST(LEAST(a.x2, b.x2) - GREATEST(a.x1, b.x1), 0) * GREATEST(LEAST(a.y2, b.y2) - GREATEST(a.y1, b.y1), 0) AS inter, a.w AS wa, "
+    "a.h AS ha, b.w AS wb, b.h AS hb FROM boxes a JOIN boxes b ON b.image_id = a.image_id + 1)"
+), "iou")
 def _(s, d):
     b = D.boxes_from_landmarks(landmarks(s, d))
     prefixed = lambda p, shift: b.select((F.col("image_id") + shift).alias("image_id"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -205,7 +246,11 @@ def _(s, d):
 _VOTE = "list_extract(list_sort(list_transform(list_distinct(h), lambda v: {'n': -len(list_filter(h, lambda x: x = v)), 'p': list_position(h, v), 'v': v})), 1)['v']"
 
 
-@query("smoothed_labels", f"SELECT stream_id, event_id, COALESCE(CASE WHEN len(h) > 0 THEN {_VOTE} END, '') AS smoothed FROM (SELECT stream_id, event_id, list_filter(list(class_name) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS h FROM frames)")
+@query("smoothed_labels", (
+    f"SELECT stream_id, event_id, COALESCE(CASE WHEN len(h) > 0 THEN {_VOTE} END, '') AS smoothed FROM (SELECT stream_id, event_id, "
+    f"list_filter(list(class_name) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), "
+    f"lambda x: x IS NOT NULL) AS h FROM frames)"
+))
 def _(s, d):
     return R.smooth_labels(frames(s, d), order=["ts", "event_id"]).select("stream_id", "event_id", "smoothed")
 
@@ -259,7 +304,10 @@ def _(s, d):
     return streamed(s, S.smooth_stream(live_frames(s, d).drop("confidence"))).select("stream_id", "event_id", "smoothed")
 
 
-@query("streamed_rate", "SELECT * FROM (SELECT stream_id, time_bucket(INTERVAL 500 MILLISECONDS, ts) AS start, COUNT(*) AS n, COUNT(*) / 0.5::DOUBLE AS fps FROM frames GROUP BY 1, 2) WHERE start + INTERVAL 500 MILLISECONDS <= (SELECT MAX(ts) - INTERVAL 10 SECONDS FROM frames)")
+@query("streamed_rate", (
+    "SELECT * FROM (SELECT stream_id, time_bucket(INTERVAL 500 MILLISECONDS, ts) AS start, COUNT(*) AS n, COUNT(*) / 0.5::DOUBLE AS fps "
+    "FROM frames GROUP BY 1, 2) WHERE start + INTERVAL 500 MILLISECONDS <= (SELECT MAX(ts) - INTERVAL 10 SECONDS FROM frames)"
+))
 def _(s, d):
     """Windows that the watermark, ten seconds behind the last frame, has passed."""
     return streamed(s, S.fps_stream(live_frames(s, d)))

@@ -10,15 +10,52 @@ from pyspark.sql import functions as F
 from ..operators.panel import SalesTables, build_master
 from ..session import stored
 
-SALES = "sales AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 10 AS INT) AS store_nbr, p_type AS family, CAST(SUM(l_quantity) AS DOUBLE) AS sales, CAST(SUM(CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END) AS INT) AS onpromotion FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"
-STORES = "stores AS (SELECT CAST(s_suppkey AS INT) AS store_nbr, n_name AS city, r_name AS state, SUBSTRING('ABCDE', CAST(s_suppkey % 5 AS INT) + 1, 1) AS type, CAST(s_suppkey % 4 AS INT) AS cluster FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey < 10)"
-OIL = "oil AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN MIN(o_orderkey) % 11 = 0 THEN NULL ELSE ROUND(AVG(o_totalprice) / 1000, 2) END AS dcoilwtico FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1)"
-HOLIDAYS = "holidays AS (SELECT o_orderkey AS row_id, CAST(o_orderdate AS DATE) AS date, CASE SUBSTRING(o_orderpriority, 1, 1) WHEN '1' THEN 'Holiday' WHEN '2' THEN 'Transfer' WHEN '3' THEN 'Bridge' WHEN '4' THEN 'Additional' ELSE 'Event' END AS type, CASE o_orderstatus WHEN 'F' THEN 'National' WHEN 'O' THEN 'Regional' ELSE 'Local' END AS locale, o_orderkey % 5 = 0 AS transferred FROM orders WHERE o_orderkey % 37 = 0)"
-TRANSACTIONS = "transactions AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 10 AS INT) AS store_nbr, COUNT(DISTINCT l_orderkey) AS transactions FROM lineitem GROUP BY 1, 2)"
-EVENTS = "events_by_day AS (SELECT date, arg_min(type, row_id) AS holiday_type, arg_min(locale, row_id) AS holiday_locale, bool_or(transferred) AS transferred, bool_or(locale = 'National') AS is_national, 1 AS is_holiday FROM holidays GROUP BY 1)"
-OIL_FILLED = "oil_spine AS (SELECT CAST(unnest(generate_series((SELECT MIN(date) FROM oil), (SELECT MAX(date) FROM oil), INTERVAL 1 DAY)) AS DATE) AS date), oil_days AS (SELECT date, COALESCE(last_value(dcoilwtico IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), first_value(dcoilwtico IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS oil_price FROM oil_spine LEFT JOIN oil USING (date))"
-MASTER = "master AS (SELECT s.*, st.city, st.state, st.type, st.cluster, o.oil_price, COALESCE(e.holiday_type, 'None') AS holiday_type, COALESCE(e.holiday_locale, 'None') AS holiday_locale, COALESCE(CAST(e.transferred AS INT), 0) AS transferred, COALESCE(CAST(e.is_national AS INT), 0) AS is_national, COALESCE(e.is_holiday, 0) AS is_holiday, t.transactions FROM sales s LEFT JOIN stores st USING (store_nbr) LEFT JOIN oil_days o USING (date) LEFT JOIN events_by_day e USING (date) LEFT JOIN transactions t USING (date, store_nbr))"
-PREDICTIONS = "predictions AS (SELECT *, GREATEST(COALESCE(LAG(sales, 7) OVER w, 0), 0) AS predicted, GREATEST(COALESCE(LAG(sales, 1) OVER w, 0), 0) AS naive FROM master WINDOW w AS (PARTITION BY store_nbr, family ORDER BY date))"
+SALES = (
+    "sales AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 10 AS INT) AS store_nbr, p_type AS family, "
+    "CAST(SUM(l_quantity) AS DOUBLE) AS sales, CAST(SUM(CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END) AS INT) AS onpromotion FROM lineitem "
+    "JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"
+)
+STORES = (
+    "stores AS (SELECT CAST(s_suppkey AS INT) AS store_nbr, n_name AS city, r_name AS state, SUBSTRING('ABCDE', CAST(s_suppkey % 5 AS INT) + 1, "
+    "1) AS type, CAST(s_suppkey % 4 AS INT) AS cluster FROM supplier JOIN nation ON s_nationkey = n_nationkey "
+    "JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey < 10)"
+)
+OIL = (
+    "oil AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN MIN(o_orderkey) % 11 = 0 THEN NULL ELSE ROUND(AVG(o_totalprice) / 1000, "
+    "2) END AS dcoilwtico FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1)"
+)
+HOLIDAYS = (
+    "holidays AS (SELECT o_orderkey AS row_id, CAST(o_orderdate AS DATE) AS date, CASE SUBSTRING(o_orderpriority, 1, 1) WHEN '1' THEN 'Holiday' "
+    "WHEN '2' THEN 'Transfer' WHEN '3' THEN 'Bridge' WHEN '4' THEN 'Additional' ELSE 'Event' END AS type, CASE o_orderstatus "
+    "WHEN 'F' THEN 'National' WHEN 'O' THEN 'Regional' ELSE 'Local' END AS locale, o_orderkey % 5 = 0 AS transferred FROM orders "
+    "WHERE o_orderkey % 37 = 0)"
+)
+TRANSACTIONS = (
+    "transactions AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 10 AS INT) AS store_nbr, "
+    "COUNT(DISTINCT l_orderkey) AS transactions FROM lineitem GROUP BY 1, 2)"
+)
+EVENTS = (
+    "events_by_day AS (SELECT date, arg_min(type, row_id) AS holiday_type, arg_min(locale, row_id) AS holiday_locale, "
+    "bool_or(transferred) AS transferred, bool_or(locale = 'National') AS is_national, 1 AS is_holiday FROM holidays GROUP BY 1)"
+)
+OIL_FILLED = (
+    "oil_spine AS (SELECT CAST(unnest(generate_series((SELECT MIN(date) FROM oil), (SELECT MAX(date) FROM oil), "
+    "INTERVAL 1 DAY)) AS DATE) AS date), oil_days AS (SELECT date, "
+    "COALESCE(last_value(dcoilwtico IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), "
+    "first_value(dcoilwtico IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS oil_price FROM oil_spine "
+    "LEFT JOIN oil USING (date))"
+)
+MASTER = (
+    "master AS (SELECT s.*, st.city, st.state, st.type, st.cluster, o.oil_price, COALESCE(e.holiday_type, 'None') AS holiday_type, "
+    "COALESCE(e.holiday_locale, 'None') AS holiday_locale, COALESCE(CAST(e.transferred AS INT), 0) AS transferred, "
+    "COALESCE(CAST(e.is_national AS INT), 0) AS is_national, COALESCE(e.is_holiday, 0) AS is_holiday, t.transactions FROM sales s LEFT "
+    "JOIN stores st USING (store_nbr) LEFT JOIN oil_days o USING (date) LEFT JOIN events_by_day e USING (date) LEFT JOIN transactions t "
+    "USING (date, store_nbr))"
+)
+PREDICTIONS = (
+    "predictions AS (SELECT *, GREATEST(COALESCE(LAG(sales, 7) OVER w, 0), 0) AS predicted, GREATEST(COALESCE(LAG(sales, 1) OVER w, 0), "
+    "0) AS naive FROM master WINDOW w AS (PARTITION BY store_nbr, family ORDER BY date))"
+)
 ALL = ", ".join([SALES, STORES, OIL, OIL_FILLED, HOLIDAYS, EVENTS, TRANSACTIONS, MASTER, PREDICTIONS])
 
 

@@ -315,7 +315,10 @@ def _(s, d):
     return blocks(s, d).groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
 
 
-@query("drop_table_lines", "SELECT doc_id, page, line_no FROM typed l WHERE EXISTS (SELECT 1 FROM page_tables t WHERE t.doc_id = l.doc_id AND t.page = l.page AND contains(left(trim(t.text), 200), left(l.text, 50)))")
+@query("drop_table_lines", (
+    "SELECT doc_id, page, line_no FROM typed l WHERE EXISTS (SELECT 1 FROM page_tables t "
+    "WHERE t.doc_id = l.doc_id AND t.page = l.page AND contains(left(trim(t.text), 200), left(l.text, 50)))"
+))
 def _(s, d):
     every = lines(s, d).select("doc_id", "page", "line_no", F.trim("text").alias("text")).filter(F.length("text") >= 3)
     return every.select("doc_id", "page", "line_no").exceptAll(K.drop_table_lines(every, page_tables(s, d)).select("doc_id", "page", "line_no"))
@@ -350,7 +353,10 @@ def _(s, d):
     return chunks(s, d).withColumn("block_types", F.array_join("block_types", ","))
 
 
-@query("chunk_union", "SELECT CASE WHEN block_types = ['formula'] THEN 'formula' ELSE 'section' END AS kind, COUNT(*) AS n, ROUND(AVG(token_count), 6) AS mean_tokens FROM chunks GROUP BY 1")
+@query("chunk_union", (
+    "SELECT CASE WHEN block_types = ['formula'] THEN 'formula' ELSE 'section' END AS kind, COUNT(*) AS n, ROUND(AVG(token_count), "
+    "6) AS mean_tokens FROM chunks GROUP BY 1"
+))
 def _(s, d):
     return K.chunk_stats(chunks(s, d))
 
@@ -417,7 +423,10 @@ def _(s, d):
     return G.graph_search(concept_graph(s, d), questions(s, d)).withColumn("matched", F.array_join(F.array_sort("matched"), ","))
 
 
-@query("related_concepts", "SELECT DISTINCT concept AS name, substring(dst, 10) AS related FROM lexicon JOIN edges ON src = concat('concept::', concept) WHERE dst LIKE 'concept::%'")
+@query("related_concepts", (
+    "SELECT DISTINCT concept AS name, substring(dst, 10) AS related FROM lexicon JOIN edges ON src = concat('concept::', concept) "
+    "WHERE dst LIKE 'concept::%'"
+))
 def _(s, d):
     return G.related_concepts(concept_graph(s, d), lexicon(s, d).select(F.col("concept").alias("name")))
 
@@ -432,7 +441,10 @@ def _(s, d):
     return U.rrf(ranked(s, d))
 
 
-@query("source_counts", "SELECT query_id, COUNT(*) FILTER (source = 'semantic') AS semantic, COUNT(*) FILTER (source = 'keyword') AS keyword, COUNT(*) FILTER (source = 'graph') AS graph FROM ranked GROUP BY 1")
+@query("source_counts", (
+    "SELECT query_id, COUNT(*) FILTER (source = 'semantic') AS semantic, COUNT(*) FILTER (source = 'keyword') AS keyword, COUNT(*) "
+    "FILTER (source = 'graph') AS graph FROM ranked GROUP BY 1"
+))
 def _(s, d):
     return U.source_counts(ranked(s, d))
 
@@ -447,7 +459,10 @@ _P = {k: v.replace("'", "''") for k, v in U.PROMPT.items()}
 _ENTRY = "concat({})".format(", ".join([f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(re.split(r"\{(\w+)\}", _P["entry"])) if x]))
 
 
-@query("prompts", f"SELECT query_id, concat('{_P['head']}', string_agg({_ENTRY}, '' ORDER BY rank), '{_P['ask']}', any_value(question), '{_P['close']}') AS prompt FROM (SELECT *, rank AS n FROM retrieved) JOIN questions USING (query_id) GROUP BY 1")
+@query("prompts", (
+    f"SELECT query_id, concat('{_P['head']}', string_agg({_ENTRY}, '' ORDER BY rank), '{_P['ask']}', any_value(question), "
+    f"'{_P['close']}') AS prompt FROM (SELECT *, rank AS n FROM retrieved) JOIN questions USING (query_id) GROUP BY 1"
+))
 def _(s, d):
     return U.build_prompts(retrieved(s, d))
 
@@ -465,7 +480,12 @@ def shared_words():
     return model
 
 
-@query("reranked_chunks", f"SELECT query_id, rank, chunk_id, ROUND(score, 6) AS rerank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS rank FROM (SELECT query_id, chunk_id, pool.rank AS pool_rank, len(list_intersect({_LOW.format('question')}, {_LOW.format('text')})) / len({_LOW.format('question')}) AS score FROM pool JOIN questions USING (query_id) WHERE pool.rank <= 20)) WHERE rank <= 6")
+@query("reranked_chunks", (
+    f"SELECT query_id, rank, chunk_id, ROUND(score, 6) AS rerank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id "
+    f"ORDER BY score DESC, pool_rank) AS rank FROM (SELECT query_id, chunk_id, pool.rank AS pool_rank, "
+    f"len(list_intersect({_LOW.format('question')}, {_LOW.format('text')})) / len({_LOW.format('question')}) AS score FROM pool JOIN questions "
+    f"USING (query_id) WHERE pool.rank <= 20)) WHERE rank <= 6"
+))
 def _(s, d):
     return U.rerank(pool(s, d), shared_words).select("query_id", "rank", "chunk_id", "rerank")
 
@@ -473,7 +493,13 @@ def _(s, d):
 _SENT = r"list_filter(list_transform(string_split(answer, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20)"
 _WORDS = r"list_filter(string_split_regex(lower(x), '\s+'), lambda y: y <> '')"
 _GROUNDED = f"len(list_filter(list_transform(range(1, len({_WORDS}) - 1), lambda i: array_to_string(list_slice({_WORDS}, i, i + 2), ' ')), lambda g: contains(lower(src), g))) > 0"
-_EVAL = f"SELECT query_id, CASE WHEN len(expected_keywords) > 0 THEN len(list_filter(expected_keywords, lambda x: contains(lower(top), lower(x)))) / len(expected_keywords) ELSE 0 END AS recall, CASE WHEN len(sent) > 0 THEN len(list_filter(sent, lambda x: {_GROUNDED})) / len(sent) ELSE 0 END AS faithfulness FROM (SELECT q.query_id, expected_keywords, {_SENT} AS sent, COALESCE(string_agg(text, ' ' ORDER BY rank) FILTER (rank <= 5), '') AS top, COALESCE(string_agg(text, ' ' ORDER BY rank), '') AS src FROM questions q LEFT JOIN retrieved r USING (query_id) GROUP BY q.query_id, expected_keywords, answer)"
+_EVAL = (
+    f"SELECT query_id, CASE WHEN len(expected_keywords) > 0 THEN len(list_filter(expected_keywords, lambda x: contains(lower(top), "
+    f"lower(x)))) / len(expected_keywords) ELSE 0 END AS recall, CASE WHEN len(sent) > 0 THEN len(list_filter(sent, "
+    f"lambda x: {_GROUNDED})) / len(sent) ELSE 0 END AS faithfulness FROM (SELECT q.query_id, expected_keywords, {_SENT} AS sent, "
+    f"COALESCE(string_agg(text, ' ' ORDER BY rank) FILTER (rank <= 5), '') AS top, COALESCE(string_agg(text, ' ' ORDER BY rank), '') AS src "
+    f"FROM questions q LEFT JOIN retrieved r USING (query_id) GROUP BY q.query_id, expected_keywords, answer)"
+)
 
 
 @query("evaluate_retrieval", f"SELECT query_id, ROUND(recall, 6) AS recall, ROUND(faithfulness, 6) AS faithfulness FROM ({_EVAL})")
@@ -493,8 +519,15 @@ def _vectors(s, d) -> tuple[DataFrame, DataFrame]:
     return e, e.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
 
 
-_KNN = "SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / SQRT(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
-_TOP5 = f"SELECT query_id, rank, id, ROUND(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, id) AS rank FROM ({_KNN})) WHERE rank <= 5"
+_KNN = (
+    "SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], "
+    "c.embedding::DOUBLE[]) / SQRT(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], "
+    "c.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
+)
+_TOP5 = (
+    f"SELECT query_id, rank, id, ROUND(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 6) DESC, "
+    f"id) AS rank FROM ({_KNN})) WHERE rank <= 5"
+)
 
 
 @query("knn_exact", _TOP5, ctes=False)
@@ -516,20 +549,30 @@ def _(s, d):
     return V.knn_ivf(cells, centroids, q, nprobe=-(-len(centroids) // 2))
 
 
-@query("l2_normalize", "SELECT vec_id, ROUND(embedding[1] / SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, ROUND(SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings", ctes=False)
+@query("l2_normalize", (
+    "SELECT vec_id, ROUND(embedding[1] / SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, "
+    "ROUND(SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings"
+), ctes=False)
 def _(s, d):
     v = F.col("embedding")
     return read(s, d, "embeddings").select("vec_id", V.l2_normalize(v)[0].alias("first"), F.sqrt(V.dot(v, v)).alias("norm"))
 
 
-@query("hybrid_retrieve", "SELECT query_id, rank, chunk_id, source, ROUND(rrf, 6) AS rrf, citation, n_semantic, n_keyword, n_graph FROM retrieved JOIN (SELECT query_id, COUNT(*) FILTER (source = 'semantic') AS n_semantic, COUNT(*) FILTER (source = 'keyword') AS n_keyword, COUNT(*) FILTER (source = 'graph') AS n_graph FROM ranked GROUP BY 1) USING (query_id)")
+@query("hybrid_retrieve", (
+    "SELECT query_id, rank, chunk_id, source, ROUND(rrf, 6) AS rrf, citation, n_semantic, n_keyword, n_graph FROM retrieved "
+    "JOIN (SELECT query_id, COUNT(*) FILTER (source = 'semantic') AS n_semantic, COUNT(*) FILTER (source = 'keyword') AS n_keyword, COUNT(*) "
+    "FILTER (source = 'graph') AS n_graph FROM ranked GROUP BY 1) USING (query_id)"
+))
 def _(s, d):
     counts = U.source_counts(ranked(s, d)).select("query_id", *[F.col(c).alias(f"n_{c}") for c in ("semantic", "keyword", "graph")])
     return retrieved(s, d).join(counts, "query_id").select("query_id", "rank", "chunk_id", "source", "rrf", "citation", "n_semantic", "n_keyword", "n_graph")
 
 
 _DIM = "CAST(concat('0x', substr(md5(w), 1, 7)) AS BIGINT) % 256"
-_EMBEDDED = rf"SELECT item_id, dim, ROUND(n / SQRT(SUM(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM (SELECT item_id, {_DIM} AS dim, COUNT(*) AS n FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY 1, 2)"
+_EMBEDDED = (
+    rf"SELECT item_id, dim, ROUND(n / SQRT(SUM(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM (SELECT item_id, {_DIM} AS dim, COUNT(*) AS n "
+    rf"FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY 1, 2)"
+)
 
 
 @query("embedded_texts", _EMBEDDED, ctes=False)
