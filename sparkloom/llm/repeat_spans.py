@@ -206,10 +206,19 @@ def built_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
-    """The (stored) rows whose key counts (key, n) twice or more. Keys with over a thousandth of the rows, at most 1000 of them, are broadcast, so that no task joins all of one."""
-    hot = F.broadcast(counts.filter(F.col("n") > max(1, rows.count() // 1000)).select(*key))
+    """The (stored) rows whose key counts (key, n) twice or more.
+
+    Keys with over a thousandth of the rows, at most 1000 of them, are told by a list, so that no task joins all of one. A key's
+    digests belong to one anchor and place, so the columns can be told each by itself.
+    """
+    hot = counts.filter(F.col("n") > max(1, rows.count() // 1000)).select(*key).collect()
     again = counts.filter("n > 1").select(*key)
-    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(again, key, "left_semi"))
+    if not hot:
+        return rows.join(again, key, "left_semi")
+    told = F.lit(True)
+    for i, c in enumerate(key):
+        told = told & F.col(c).isin(sorted({r[i] for r in hot}))
+    return rows.filter(told).unionByName(rows.filter(~told).join(again, key, "left_semi"))
 
 
 def counted_spans(contexts: DataFrame, length: int) -> DataFrame:
