@@ -300,7 +300,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return _texts_of(docs, lists).mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 256, by_bytes: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = 4096, by_bytes: bool = False) -> DataFrame:
     """(doc_id, th, spans: array of struct(begin, end), unmerged) of the documents with bytes covered by repeated ``length``-byte strings."""
     found = stored(find_anchors(docs, length))
     # tables between two shuffles of their own: Spark can then deal out a join's hot key, as it can't below an aggregation
@@ -354,7 +354,7 @@ def word_codes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, text binary")
 
 
-def passage_words(docs: DataFrame, words: int, crowd: int = 256) -> DataFrame:
+def passage_words(docs: DataFrame, words: int, crowd: int = 4096) -> DataFrame:
     """(doc_id, th, n_passage_words): words of ``docs`` (doc_id, th, text) in passages of at least so many words that also stand elsewhere; rows without any are left out."""
     spans = repeated_spans(stored(word_codes(docs)), words * _WORD, crowd)
     # codes that are covered whole, in runs that are long enough
@@ -378,7 +378,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 256, digests: bool = True, by_bytes: bool = False, words: int = 51) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, crowd: int = 4096, digests: bool = True, by_bytes: bool = False, words: int = 51) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else, in any document or the same.
 
     With ``digests``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_passage_words; else doc_id, n_bytes, n_removed,
