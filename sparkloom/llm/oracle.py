@@ -1,4 +1,4 @@
-"""SQL twins of the operators that SQL can express: line templates (8) and template leaks (9)."""
+"""SQL twins of the operators that SQL can express: line templates (8), template leaks (9) and ranked search (11)."""
 
 from __future__ import annotations
 
@@ -48,3 +48,18 @@ pairs AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(theirs) AS a, unnest
 odd AS (SELECT doc_id, item_id, diagonal, COUNT(*) = COUNT(DISTINCT a) AS consistent, bool_and(a = b) AS exact FROM pairs GROUP BY 1, 2, 3),
 found AS (SELECT doc_id, item_id, diagonal, COUNT(DISTINCT q) AS n FROM hits GROUP BY 1, 2, 3)
 SELECT doc_id, item_id, MAX(n) AS n_windows, MAX(n / total) AS coverage, bool_or(COALESCE(exact, true)) AS exact FROM found JOIN total USING (item_id) LEFT JOIN odd USING (doc_id, item_id, diagonal) WHERE COALESCE(consistent, true) AND n / total >= {coverage}::DOUBLE GROUP BY 1, 2"""
+
+
+def ranked_search() -> str:
+    terms = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, {terms} AS ts FROM documents),
+sizes AS MATERIALIZED (SELECT doc_id, len(ts) AS n FROM docs WHERE len(ts) > 0),
+total AS MATERIALIZED (SELECT COUNT(*)::BIGINT AS nn, SUM(n)::BIGINT AS ll FROM sizes),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+tf AS MATERIALIZED (SELECT doc_id, term, COUNT(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weights AS MATERIALIZED (SELECT term, FLOOR(1000 * LN((2 * any_value(nn) + 2)::DOUBLE / (2 * COUNT(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term),
+parts AS MATERIALIZED (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS part FROM tf JOIN weights USING (term) JOIN sizes USING (doc_id), total),
+scores AS (SELECT item_id, doc_id, SUM(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY 1, 2),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""

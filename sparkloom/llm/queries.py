@@ -12,7 +12,10 @@ from .class_ngram import class_bigram_scores
 from .common import table
 from .line_crf import quality_rules
 from .log_template import drop_recurring_lines
+from .piece_codec import piece_round_trip
+from .pivotal_grams import spelling_variants
 from .rank_order import languages
+from .ranked_search import ranked_search
 from .repeat_spans import remove_repeats
 from .shrunk_qda import quality_scores
 from .simhash import simhash_groups
@@ -38,7 +41,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lambda s, d: drop_recurring_lines(table(s, d, "documents")).select("doc_id", "n_lines", "n_dropped", "text"),
     "op9_decontamination": lambda s, d: template_leaks(table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_bpe_codec": lambda s, d: bpe_round_trip(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),
+    "op11_ranked_search": lambda s, d: ranked_search(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op12_spelling_variants": lambda s, d: spelling_variants(table(s, d, "documents")),
+    "op13_piece_codec": lambda s, d: piece_round_trip(table(s, d, "documents"), vocabulary("piece_bpe_32k.model")),
 }
 
 #: Of the operators that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": oracle.line_dedup(), "op9_decontamination": oracle.template_leaks()}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": oracle.line_dedup(), "op9_decontamination": oracle.template_leaks(), "op11_ranked_search": oracle.ranked_search()}
