@@ -17,21 +17,25 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, pieces
 
 SPACE = "\u2581"
-_CACHE = 300_000
-#: An entry of the agenda is (rank * _PLACES + place) * _SPAN + characters of both symbols.
-_PLACES, _SPAN = 1 << 40, 1 << 20
+#: Words and runs of a generation of those remembered.
+_CACHE = 400_000
+#: Runs of so many symbols have a list as agenda.
+_SHORT = 32
+#: An entry of the heap is (rank * _PLACES + place) * _SPAN + characters of both symbols, which are at most a piece's.
+_PLACES, _SPAN = 1 << 31, 1 << 8
+_NEVER = 1 << 62
 #: Field numbers of the model file: pieces 1 (text 1, score 2, type 3), trainer 2 (kind of model 3), normaliser 3 (rules 2, first space 3, squeezed spaces 4, U+2581 5). Fixed values of the format.
 _PIECE, _TRAINER, _NORMALISER = 1, 2, 3
 _TEXT, _SCORE, _TYPE = 1, 2, 3
@@ -92,6 +96,8 @@ class PieceCodec:
         self.id = {t: i for i, t in enumerate(text) if kind[i] == _NORMAL}
         #: Of pieces of two or more characters: where they stand in the order of merges; equal scores share a rank.
         self.rank = {t: order[float(score[i])] * _PLACES for t, i in self.id.items() if len(t) > 1}
+        if max(map(len, self.rank), default=0) >= _SPAN:
+            raise ValueError("a piece is too long")
         self.unknown = kind.index(_UNKNOWN)
         self.byte = {int(t[3:5], 16): i for i, t in enumerate(text) if kind[i] == _BYTE}
         if len(self.byte) not in (0, 256):
@@ -106,30 +112,59 @@ class PieceCodec:
         digits = [b"%d," % i for i in range(len(text))]
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.digits_start = np.concatenate([[0], np.cumsum([len(x) for x in digits])])
-        self.words, self.runs = self._cuts()
+        self.words, self.plain, self.runs = self._cuts()
         self.cache: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _cuts(self) -> tuple[re.Pattern[str], regex.Pattern[str]]:
-        """The words (cut before spaces, and at line ends if no piece holds one) and the runs that a text is cut into."""
+    def _cuts(self) -> tuple[re.Pattern[str], Callable[[str], object], re.Pattern[str]]:
+        """The words (cut before spaces, and at line ends if no piece holds one) and the runs that a text is cut into, and a test for words of plain letters, that are one run."""
         joined = {c for t in self.rank for c in t}
         inner = {(t[i - 1].isalnum(), t[i]) for t in self.rank for i in range(1, len(t))}
         if any(SPACE in t.lstrip(SPACE) for t in self.rank):
-            return re.compile(r"(?s).+"), regex.compile(r"(?s).+")  # pieces go on after a space: nothing is cut
+            whole = re.compile(r"(?s).+")
+            return whole, whole.fullmatch, whole  # pieces go on after a space: nothing is cut
         word = {c for c in joined if c.isalnum()}
         mark = joined - word - {SPACE}
         #: Marks that no piece has behind a letter or digit begin a run of their own.
         apart = {c for c in mark if (True, c) not in inner}
 
         def one_of(chars: set[str]) -> str:
-            return "[" + "".join(map(regex.escape, sorted(chars))) + "]" if chars else "(?!)"
+            return "[" + "".join(map(re.escape, sorted(chars))) + "]" if chars else "(?!)"
 
         marks, words, within = one_of(mark), one_of(word), one_of(mark - apart)
         end = "" if "\n" in joined else "\n"
-        return re.compile(rf"{SPACE}*[^{SPACE}{end}]+|{SPACE}+|\n"), regex.compile(rf"(?s)(?={one_of(joined | {SPACE})}){SPACE}*+(?:{marks}*+{words}++{within})*+{marks}*+{words}*+|.")
+        plain = re.compile(rf"{SPACE}*{one_of({c for c in word if c.isascii()})}+").fullmatch
+        return re.compile(rf"{SPACE}*[^{SPACE}{end}]+|{SPACE}+|\n"), plain, re.compile(rf"(?s)(?={one_of(joined | {SPACE})}){SPACE}*+(?:{marks}*+{words}++{within})*+{marks}*+{words}*+|.")
 
     def encode_run(self, run: str) -> list[int]:
         """The ids of a run, by the agenda."""
+        out: list[int] = []
+        for symbol in self.merged(run) if len(run) <= _SHORT else self.merged_by_heap(run):
+            if (i := self.id.get(symbol)) is not None:
+                out.append(i)
+            elif self.byte:
+                out += map(self.byte.__getitem__, symbol.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
+
+    def merged(self, run: str) -> list[str]:
+        """The symbols that are left of a short run."""
+        rank = self.rank.get
+        symbols = list(run)
+        agenda = [rank(a + b, _NEVER) for a, b in zip(run, run[1:])]  # noqa: B905
+        while agenda and (best := min(agenda)) < _NEVER:
+            at = agenda.index(best)
+            symbols[at] += symbols.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = rank(symbols[at] + symbols[at + 1], _NEVER)
+            if at:
+                agenda[at - 1] = rank(symbols[at - 1] + symbols[at], _NEVER)
+        return symbols
+
+    def merged_by_heap(self, run: str) -> Iterator[str]:
+        """The symbols that are left of a run of any length."""
         n = len(run)
         rank = self.rank
         after = list(range(1, n + 1))  # where the symbol that begins here ends; 0: it is part of another
@@ -147,39 +182,30 @@ class PieceCodec:
             after[at], after[middle], before[end] = end, 0, at
             if at:
                 left = before[at]
-                if end - left < _SPAN and (r := rank.get(run[left:end])) is not None:
+                if (r := rank.get(run[left:end])) is not None:
                     heappush(agenda, (r + left) * _SPAN + end - left)
             if end < n and (r := rank.get(run[at : after[end]])) is not None:
                 heappush(agenda, (r + at) * _SPAN + after[end] - at)
-        out: list[int] = []
         at = 0
         while at < n:
-            symbol = run[at : after[at]]
+            yield run[at : after[at]]
             at = after[at]
-            if (i := self.id.get(symbol)) is not None:
-                out.append(i)
-            elif self.byte:
-                out += map(self.byte.__getitem__, symbol.encode())
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
 
-    def _run(self, run: str) -> list[int]:
-        if (ids := self.known.get(run)) is None:
-            if len(self.known) > _CACHE:
-                self.known = {}
-            ids = self.known[run] = self.encode_run(run)
+    def _run(self, run: str) -> bytes:
+        cache = self.cache
+        if (ids := cache.get(run)) is None:
+            ids = cache[run] = self.older.get(run) or struct.pack(f"<{len(i := self.encode_run(run))}I", *i)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
         words = self.words.findall((SPACE if self.first else "") + text.replace(" ", SPACE))
+        if len(self.cache) > _CACHE:
+            self.older, self.cache = self.cache, {}
         cache = self.cache
-        if len(cache) > _CACHE:
-            cache = self.cache = {}
         for w in set(words).difference(cache):
-            cache[w] = np.array([i for run in self.runs.findall(w) for i in self._run(run)], "<u4").tobytes()
+            cache[w] = self._run(w) if self.plain(w) else self.older.get(w) or b"".join(map(self._run, self.runs.findall(w)))
         ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
         if not self.byte:  # unknown symbols side by side are one, across runs too
             same = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)

@@ -195,6 +195,8 @@ def test_pieces_equal_the_library(library, text):
     ids = library.encode(text)
     assert c.encode(text).tolist() == ids
     assert c.decode(np.array(ids, "<u4")) == library.decode(ids)
+    run = text.replace(" ", C.SPACE)
+    assert c.merged(run) == list(c.merged_by_heap(run))
 
 
 @given(st.lists(st.one_of(st.integers(0, 31999), st.integers(0, 260), st.sampled_from([0, 1, 2, 259, 13 + 3])), max_size=9))
@@ -217,7 +219,9 @@ def test_piece_edges(spark, edge, no_docs, library):
 
 
 def test_whole_documents_equal_the_library(spark, library):
-    assert C.library_differences(spark.read.parquet(f"{DATA}/documents.parquet"), vocabulary("piece_bpe_32k.model")).count() == 0
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    unbroken = spark.createDataFrame([(-1, "thequickbrownfox" * 4000), (-2, " " * 3001), (-3, "é" * 999 + "=" * 5000)], DOCS)
+    assert C.library_differences(docs.unionByName(unbroken), vocabulary("piece_bpe_32k.model")).count() == 0
 
 
 def test_other_models_are_refused(tmp_path):
