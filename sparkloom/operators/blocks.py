@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,60 +68,80 @@ def whole_sections(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _fold(doc_id: int, rows: list[tuple], max_tokens: int, overlap: int, compat: bool) -> Iterator[dict]:
-    """Chunks of one document's blocks (page, chapter, section, subsection, text, type), in order.
+class Fold:
+    """Chunks of a document's blocks, fed one by one in order; all that is held are the blocks of the chunk at hand.
 
-    A block in the buffer is (page, chapter, section, subsection, text, type, carried).
+    A block is (page, chapter, section, subsection, text, type), in the buffer with a mark if it is carried from the chunk before.
     """
-    buf: list[tuple] = []
-    size = n = 0
 
-    def emit() -> dict:
-        nonlocal n
-        head = buf[0] if compat else next((b for b in buf if not b[6]), buf[0])
+    def __init__(self, doc_id: int | None, max_tokens: int, overlap: int, compat: bool):
+        self.doc_id, self.max_tokens, self.overlap, self.compat = doc_id, max_tokens, overlap, compat
+        self.buf: list[tuple] = []
+        self.size = self.n = 0
+
+    def _emit(self) -> tuple:
+        buf = self.buf
+        head = buf[0] if self.compat else next((b for b in buf if not b[6]), buf[0])
         text = " ".join(b[4] for b in buf)
-        n += 1
-        return {"chunk_id": f"{doc_id}/chunk_{n - 1:05d}", "doc_id": doc_id, "chunk_ord": doc_id * 1_000_000 + n - 1, "text": text, "page_number": buf[0][0], "page_end": buf[-1][0], "chapter": head[1], "section": head[2], "subsection": head[3], "block_types": sorted({b[5] for b in buf}), "token_count": len(text.split())}
-
-    def carry() -> None:
-        nonlocal buf, size
-        words = " ".join(b[4] for b in buf).split()
-        last = buf[-1]
-        if len(words) > overlap:
-            buf = [(*last[:4], " ".join(words[len(words) - overlap :]), "paragraph", True)] if overlap else []
+        self.n += 1
+        ord_ = None if self.doc_id is None else self.doc_id * 1_000_000 + self.n - 1
+        return (f"{self.doc_id}/chunk_{self.n - 1:05d}", self.doc_id, ord_, text, buf[0][0], buf[-1][0], *head[1:4], sorted({b[5] for b in buf}), len(text.split()))
+
+    def _carry(self) -> None:
+        words = " ".join(b[4] for b in self.buf).split()
+        last = self.buf[-1]
+        if len(words) > self.overlap:
+            self.buf = [(*last[:4], " ".join(words[len(words) - self.overlap :]), "paragraph", True)] if self.overlap else []
         else:
-            buf = [(*b[:6], True) for b in buf]
-        size = sum(len(b[4].split()) for b in buf)
-
-    for row in rows:
-        own = buf if compat else [b for b in buf if not b[6]]
-        if row[5] == "heading" and own and (row[1], row[2]) != own[0][1:3]:
-            yield emit()
-            carry()
-        buf.append((*row, False))
-        size += len(row[4].split())
-        if size >= max_tokens and row[5] != "formula":
-            yield emit()
-            carry()
-    if buf and (compat or any(not b[6] for b in buf)):
-        yield emit()
+            self.buf = [(*b[:6], True) for b in self.buf]
+        self.size = sum(len(b[4].split()) for b in self.buf)
+
+    def feed(self, row: tuple) -> Iterator[tuple]:
+        own = self.buf[0] if self.compat and self.buf else next((b for b in self.buf if not b[6]), None)
+        if row[5] == "heading" and own and (row[1], row[2]) != own[1:3]:
+            yield self._emit()
+            self._carry()
+        self.buf.append((*row, False))
+        self.size += len(row[4].split())
+        if self.size >= self.max_tokens and row[5] != "formula":
+            yield self._emit()
+            self._carry()
+
+    def close(self) -> Iterator[tuple]:
+        if self.buf and (self.compat or any(not b[6] for b in self.buf)):
+            yield self._emit()
 
 
 def section_chunks(blocks: DataFrame, max_tokens: int = 400, overlap: int = 50, compat: bool = False) -> DataFrame:
     """Heading-aware chunks of at least ``max_tokens`` words or up to the next section, the last ``overlap`` words carried over.
 
-    A long block isn't split and a formula defers the cut. Order matters within a document, so each document is one group. ``compat``
+    A long block isn't split and a formula defers the cut. Blocks come sorted by document and place and are folded as they stream by in
+    Arrow batches: a task holds a batch, the chunk at hand and the chunks of the batch, however long a document is. ``compat``
     labels a chunk by its first block even if that is carried from the section before, compares headings with it, and keeps a last
-    chunk of carried words alone; otherwise carried words never count.
+    chunk of carried words alone; otherwise carried words never count. Null texts count as empty.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        rows = list(zip(*[pdf[c].tolist() for c in ("page_number", "chapter", "section", "subsection", "text", "block_type")], strict=True))
-        cols = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-        return pd.DataFrame(list(_fold(int(pdf["doc_id"].iloc[0]), rows, max_tokens, overlap, compat)), columns=cols)
-
-    return blocks.select(*BLOCK_COLS).groupBy("doc_id").applyInPandas(fold, CHUNK_SCHEMA)
+    names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32()]
+
+    def packed(chunks: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunks, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold: Fold | None = None
+        for batch in batches:
+            made: list[tuple] = []
+            for doc_id, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if fold is None or fold.doc_id != doc_id:
+                    made += fold.close() if fold else ()
+                    fold = Fold(doc_id, max_tokens, overlap, compat)
+                made += fold.feed(tuple(row))
+            if made:
+                yield packed(made)
+        if fold and (made := list(fold.close())):
+            yield packed(made)
+
+    rows = blocks.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), "chapter", "section", "subsection", F.coalesce("text", F.lit("")).alias("text"), "block_type", "block_idx")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "block_idx").drop("block_idx").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def all_chunks(blocks: DataFrame, max_tokens: int = 400, overlap: int = 50) -> DataFrame:

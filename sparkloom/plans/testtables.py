@@ -7,6 +7,7 @@ import contextlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lexical import KeywordIndex  # stored as it is made
 from ..operators.panel import SalesTables, build_master
 from ..session import stored
 
@@ -81,14 +82,18 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 _held: dict = {}
 
 
+def _kept(x):
+    return stored(x) if isinstance(x, DataFrame) else x if x is None or isinstance(x, KeywordIndex) else type(x)(**{k: _kept(t) for k, t in vars(x).items()})
+
+
 def held(make):
     """A table, or a class of several, that a query starts from in several places: made once in the query, and kept as Parquet."""
 
     def get(s, d):
-        if make not in _held:
-            made = make(s, d)
-            _held[make] = stored(made) if isinstance(made, DataFrame) else type(made)(**{k: stored(t) for k, t in vars(made).items()})
-        return _held[make]
+        key = (s.sparkContext.applicationId, d, make)
+        if key not in _held:
+            _held[key] = _kept(make(s, d))
+        return _held[key]
 
     return get
 

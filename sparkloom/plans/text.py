@@ -18,7 +18,7 @@ from .testtables import alone, held, read, round_all
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_FORMULA = " OR ".join("regexp_matches(text, '" + p.replace("\\b", "\\b") + "')" for p in X.FORMULA_PATTERNS)
+_FORMULA = " OR ".join(f"regexp_matches(text, '{p}')" for p in X.FORMULA_PATTERNS)
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 
@@ -213,6 +213,10 @@ TABLES: dict[str, str] = {
 }
 
 
+#: Tables that are read in several places and costly to work out.
+_ONCE = dict.fromkeys(["blocks", "sectioned", "chunks", "postings", "raw_idf", "terms", "sims", "keyword"], "MATERIALIZED ")
+
+
 def with_needed(sql: str) -> str:
     """``sql`` behind the tables it needs."""
     need: set[str] = set()
@@ -222,7 +226,7 @@ def with_needed(sql: str) -> str:
         for name in set(re.findall(r"\w+", seen)) & set(TABLES) - need:
             need.add(name)
             wait.append(TABLES[name])
-    return f"WITH RECURSIVE {', '.join(f'{n} AS ({v})' for n, v in TABLES.items() if n in need)} {sql}" if need else sql
+    return f"WITH RECURSIVE {', '.join(f'{n} AS {_ONCE.get(n, str())}({v})' for n, v in TABLES.items() if n in need)} {sql}" if need else sql
 
 
 def query(name: str, sql: str, ctes: bool = True, oracle: bool = True):
