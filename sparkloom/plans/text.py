@@ -12,6 +12,7 @@ from ..operators import blocks as K
 from ..operators import fusion as U
 from ..operators import graph as G
 from ..operators import lexical as L
+from ..operators import quantised as Q
 from ..operators import vectors as V
 from .testtables import alone, held, read, round_all
 
@@ -553,6 +554,21 @@ def _(s, d):
     return V.knn_ivf(cells, centroids, q, nprobe=-(-len(centroids) // 2))
 
 
+@query("knn_codes", "", oracle=False)
+def _(s, d):
+    """Search by codes, with the share of the vectors' bytes that a question reads and whether the exact search finds the row too."""
+    e, q = _vectors(s, d)
+    near = Q.knn_codes(Q.code_index(e), q)
+    return near.join(V.knn_exact(e, q).select("query_id", "id", F.lit(True).alias("found")), ["query_id", "id"], "left").na.fill(False, ["found"])
+
+
+@query("knn_codes_all_rescored", _TOP5, ctes=False)
+def _(s, d):
+    e, q = _vectors(s, d)
+    index = Q.code_index(e)
+    return Q.knn_codes(index, q, rescored=index.n).drop("read_share").withColumn("score", F.round("score", 4))
+
+
 @query("l2_normalize", (
     "SELECT vec_id, ROUND(embedding[1] / SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, "
     "ROUND(SQRT(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings"

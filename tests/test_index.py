@@ -1,14 +1,16 @@
-"""The block-max index against scores of all chunks, growing indexes, and the streaming chunk fold."""
+"""The block-max index against scores of all chunks, growing indexes, the streaming chunk fold, and vector codes."""
 
 import math
 import random
 from collections import Counter
 
+from oracle import DATA
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import blocks as K
 from sparkloom.operators import lexical as L
+from sparkloom.operators import quantised as V
 from sparkloom.plans import text as plans
 
 LARGER = "/root/testdata/sf0.01"
@@ -128,3 +130,28 @@ def test_long_document_is_folded_as_it_streams(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+
+
+def test_codes_find_the_neighbours(spark, monkeypatch):
+    """Nine in ten of the true neighbours are found by reading an eighth of the vectors' bytes; every row has a code; blocks of questions change nothing."""
+    found = plans.QUERIES["knn_codes"](spark, "/root/testdata/sf0.1").collect()
+    questions = {r.query_id for r in found}
+    assert len(questions) == 100 and len(found) == 500
+    assert sum(r.found for r in found) >= 0.9 * len(found) and all(r.read_share <= 0.125 for r in found)
+    e, q = plans._vectors(spark, DATA)
+    index = V.code_index(e)
+    assert index.codes.count() == e.count() == index.n and index.codes.select(F.length("code")).distinct().first()[0] == 16
+    want = sorted(map(tuple, V.knn_codes(index, q, keep_self=False).collect()))
+    assert all(r[0] != r[2] for r in want)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "LISTED", 3)
+    assert sorted(map(tuple, V.knn_codes(index, q, keep_self=False).collect())) == want
+
+
+def test_codes_of_odd_tables(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0, 1.0]), (2, [0.0] * 5), (3, None), (4, [2.0, 0.0, 0.0, 0.0, 2.0]), (5, [0.0, 1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = V.code_index(df)
+    got = V.knn_codes(index, df.withColumnRenamed("id", "query_id"), k=2).filter("query_id = 4").orderBy("rank").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 1.0), (4, 1.0)]
+    assert V.knn_codes(V.code_index(df.limit(0)), df.withColumnRenamed("id", "query_id")).count() == 0 == V.knn_codes(index, df.limit(0).withColumnRenamed("id", "query_id")).count()
