@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from . import scans
+
 #: Class names by id. Fixed values.
 CLASSES = ["A", "B", "C", "D", "E", "L", "V", "Y", "thumbsup", "thumbsdown"]
 
@@ -171,42 +176,57 @@ def iou(a: str, b: str) -> Column:
 def match_boxes(preds: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """(image_id, class_id, det_no, confidence, iou_thr, tp): greedy one-to-one matches by falling confidence within image and class.
 
-    Pairs come from an equi-join on image and class; an image's detections of a class are few, and each such group is matched by itself.
+    Pairs come from an equi-join on image and class, and stream by sorted by image, class and falling confidence: a task holds a batch
+    and the boxes that the image and class at hand has given away.
     """
     t = truth.select("image_id", "class_id", F.col("gt_no"), *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
     p = preds.select("image_id", "class_id", "det_no", "confidence", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = p.join(t, ["image_id", "class_id"], "left").select("image_id", "class_id", "det_no", "confidence", "gt_no", F.coalesce(iou("p_", "g_"), F.lit(0.0)).alias("iou"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "det_no", "iou", "gt_no"], ascending=[False, True, False, True])
-        image, cls = pdf["image_id"].iloc[0], pdf["class_id"].iloc[0]
-        rows = []
-        for thr in thresholds:
-            used: set = set()
-            for (conf, det), group in pdf.groupby(["confidence", "det_no"], sort=False):
-                hit = next((g for g, v in zip(group["gt_no"], group["iou"], strict=True) if not pd.isna(g) and v >= thr and g not in used), None)
-                if hit is not None:
-                    used.add(hit)
-                rows.append((image, cls, det, conf, thr, hit is not None))
-        return pd.DataFrame(rows, columns=["image_id", "class_id", "det_no", "confidence", "iou_thr", "tp"])
-
-    return pairs.groupBy("image_id", "class_id").applyInPandas(match, "image_id long, class_id int, det_no int, confidence double, iou_thr double, tp boolean")
+    pairs = p.join(t, ["image_id", "class_id"], "left").select(F.col("image_id").cast("long"), F.col("class_id").cast("int"), F.col("det_no").cast("int"), F.col("confidence").cast("double"), "gt_no", F.coalesce(iou("p_", "g_"), F.lit(0.0)).alias("iou"))
+    schema = pa.schema([("image_id", pa.int64()), ("class_id", pa.int32()), ("det_no", pa.int32()), ("confidence", pa.float64()), ("iou_thr", pa.float64()), ("tp", pa.bool_())])
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        det: tuple | None = None
+        used: list[set] = []
+        hit: list[bool] = []
+        for batch in batches:
+            rows: list[tuple] = []
+            for image, cls, no, conf, gt, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if det != (image, cls, no, conf):
+                    rows += [(*det, thr, h) for thr, h in zip(thresholds, hit, strict=True)] if det else []
+                    if not det or det[:2] != (image, cls):
+                        used = [set() for _ in thresholds]
+                    det, hit = (image, cls, no, conf), [False] * len(thresholds)
+                if gt is not None:
+                    for i, thr in enumerate(thresholds):
+                        if v < thr:
+                            continue
+                        if not hit[i] and gt not in used[i]:
+                            hit[i] = True
+                            used[i].add(gt)
+            if rows:
+                yield packed(rows)
+        if det:
+            yield packed([(*det, thr, h) for thr, h in zip(thresholds, hit, strict=True)])
+
+    ordered = pairs.repartition("image_id", "class_id").sortWithinPartitions("image_id", "class_id", F.desc("confidence"), "det_no", F.desc("iou"), "gt_no")
+    return ordered.mapInArrow(match, "image_id long, class_id int, det_no int, confidence double, iou_thr double, tp boolean")
 
 
 def detection_map(preds: DataFrame, truth: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
     """One row: map50, map50_95 (101-point interpolation), and mean precision and recall at IoU 0.5 over the classes with truth.
 
-    Running counts by falling confidence are a window per class and threshold; precision is made non-increasing from the right, and
-    read at 101 recalls.
+    Running counts by falling confidence are scans over ranges of class, threshold and confidence, so no task holds a class; precision is
+    made non-increasing from the right by a scan backwards, and read at 101 recalls.
     """
     thresholds = thresholds or [round(float(x), 2) for x in np.arange(0.5, 1.0, 0.05)]
     n = truth.groupBy("class_id").agg(F.count("*").alias("n_gt"))
-    w = Window.partitionBy("class_id", "iou_thr").orderBy(F.desc("confidence"), "image_id", "det_no").rowsBetween(Window.unboundedPreceding, 0)
-    run = match_boxes(preds, truth, thresholds).withColumns({"tp_run": F.sum(F.col("tp").cast("int")).over(w), "seen": F.count("*").over(w)}).join(F.broadcast(n), "class_id")
-    curve = run.withColumns({"precision": F.col("tp_run") / F.col("seen"), "recall": F.col("tp_run") / F.col("n_gt")})
-    ahead = Window.partitionBy("class_id", "iou_thr").orderBy("seen").rowsBetween(0, Window.unboundedFollowing)
-    last = Window.partitionBy("class_id", "iou_thr").orderBy("seen")
-    env = curve.withColumn("best", F.max("precision").over(ahead)).withColumn("before", F.coalesce(F.lag("recall").over(last), F.lit(-1.0)))
+    keys = ["class_id", "iou_thr"]
+    dealt = scans.dealt(match_boxes(preds, truth, thresholds), keys, [F.desc("confidence"), "image_id", "det_no"])
+    run = scans.scan(dealt, keys, {"tp_run": ("sum", F.col("tp").cast("int")), "seen": ("sum", F.lit(1))}).join(F.broadcast(n), "class_id")
+    curve = stored(run.withColumns({"precision": F.col("tp_run") / F.col("seen"), "recall": F.col("tp_run") / F.col("n_gt")}))
+    before = F.when(F.col("seen") > 1, (F.col("tp_run") - F.col("tp").cast("int")) / F.col("n_gt")).otherwise(F.lit(-1.0))
+    env = scans.scan(curve, keys, {"best": ("max", "precision")}, ahead=True).withColumn("before", before)
     # recalls r of 0, 0.01 ... 1 that this point is the first to reach
     reached = F.floor(F.round(F.col("recall") * 100, 9)) - F.floor(F.round(F.col("before") * 100, 9))
     reached = F.when(F.col("before") < 0, F.floor(F.round(F.col("recall") * 100, 9)) + 1).otherwise(reached)

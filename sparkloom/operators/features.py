@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+from .panel import small
+
 SERIES = ["store_nbr", "family"]
 LAGS = [7, 14, 28, 35, 364, 365]
 #: Codes of event types. Fixed values.
@@ -27,9 +30,34 @@ FEATURES = [
 ]
 
 
-def series_window():
-    """The one window of all series features: one exchange and one sort serve them all."""
-    return Window.partitionBy(*SERIES).orderBy("date")
+#: A series' rows in pieces, and the mark of those rows of a piece that stand before it.
+_PIECE, _HALO = "_piece", "_halo"
+
+
+def series_window(df: DataFrame) -> Window:
+    """The one window of all series features of ``df``: one exchange and one sort serve them all. Pieces of series are windows of their own."""
+    return Window.partitionBy(*SERIES, *[c for c in (_PIECE,) if c in df.columns]).orderBy("date")
+
+
+def split_series(df: DataFrame, rows: int = 65_536, reach: int = max(LAGS)) -> DataFrame:
+    """Series in pieces of so many rows, each with the ``reach`` rows before it, so that row frames that reach no further back stay exact.
+
+    For series that are too long, or hold too much of the table, for one task. Rows are numbered by a scan over ranges of series and
+    date. ``join_series`` drops the rows before the pieces again.
+    """
+    if reach >= rows:
+        raise ValueError("a piece must hold more rows than a frame reaches back")
+    numbered = scans.scan(scans.dealt(df, SERIES, ["date"]), SERIES, {"_n": ("sum", F.lit(1))}).drop(scans.AT)
+    at = F.col("_n") - 1
+    piece = F.floor(at / rows)
+    own, next_one = F.struct(piece.alias("p"), F.lit(False).alias("h")), F.struct((piece + 1).alias("p"), F.lit(True).alias("h"))
+    into = F.explode(F.when(at % rows >= rows - reach, F.array(own, next_one)).otherwise(F.array(own)))
+    return numbered.withColumn("_into", into).withColumns({_PIECE: F.col("_into.p"), _HALO: F.col("_into.h")}).drop("_n", "_into")
+
+
+def join_series(df: DataFrame) -> DataFrame:
+    """The rows of ``split_series``, each once."""
+    return df.filter(~F.col(_HALO)).drop(_PIECE, _HALO)
 
 
 def add_calendar(df: DataFrame) -> DataFrame:
@@ -48,25 +76,29 @@ def add_event_codes(df: DataFrame) -> DataFrame:
     return df.withColumns({"holiday_type_enc": F.coalesce(code[F.col("holiday_type")], F.lit(0)), "is_national_holiday": F.col("is_national"), "is_transferred": F.col("transferred")})
 
 
-def asof_next(left: DataFrame, events: DataFrame, on: str = "date", keys: list[str] = (), name: str = "next_event", exact: bool = True) -> DataFrame:
+def asof_next(left: DataFrame, events: DataFrame, on: str = "date", keys: list[str] = (), name: str = "next_event", exact: bool = True, ranges: bool = False) -> DataFrame:
     """The first event at or after (``exact=False``: after) each row's ``on``, per key.
 
-    Distinct times of both sides are unioned and filled in one ordered pass, then joined back by equality: no range join.
+    Distinct times of both sides are unioned and filled in one ordered pass, then joined back by equality: no range join. With
+    ``ranges`` the pass is a scan over ranges of key and time, for few or no keys with many times; else a window per key.
     """
-    return _asof(left, events, on, keys, name, exact, ahead=True)
+    return _asof(left, events, on, keys, name, exact, True, ranges)
 
 
-def asof_prev(left: DataFrame, events: DataFrame, on: str = "date", keys: list[str] = (), name: str = "prev_event", exact: bool = False) -> DataFrame:
+def asof_prev(left: DataFrame, events: DataFrame, on: str = "date", keys: list[str] = (), name: str = "prev_event", exact: bool = False, ranges: bool = False) -> DataFrame:
     """The last event before (``exact=True``: at or before) each row's ``on``, per key."""
-    return _asof(left, events, on, keys, name, exact, ahead=False)
+    return _asof(left, events, on, keys, name, exact, False, ranges)
 
 
-def _asof(left: DataFrame, events: DataFrame, on: str, keys: list[str], name: str, exact: bool, ahead: bool) -> DataFrame:
+def _asof(left: DataFrame, events: DataFrame, on: str, keys: list[str], name: str, exact: bool, ahead: bool, ranges: bool) -> DataFrame:
     keys = list(keys)
     times = left.select(*keys, on).distinct().withColumn("_e", F.lit(None).cast(events.schema[on].dataType))
     marks = events.select(*keys, F.col(on)).distinct().withColumn("_e", F.col(on))
     w = Window.partitionBy(*keys).orderBy(on)
     both = times.unionByName(marks).groupBy(*keys, on).agg(F.max("_e").alias("_e"))
+    if ranges:
+        filled = scans.scan(scans.dealt(both, keys, [on]), keys, {name: ("last", "_e")}, ahead=ahead, exclusive=not exact)
+        return left.join(filled.select(*keys, on, name), [*keys, on], "left")
     if ahead:
         found = F.first("_e", True).over(w.rowsBetween(0 if exact else 1, Window.unboundedFollowing))
     else:
@@ -105,14 +137,14 @@ def traffic_features(tx: DataFrame) -> DataFrame:
 
 
 def add_promo_counts(df: DataFrame, windows: list[int] = (7, 14)) -> DataFrame:
-    w = series_window()
+    w = series_window(df)
     return df.withColumns({f"promo_count_{n}d": F.sum("onpromotion").over(w.rowsBetween(-n, -1)) for n in windows})
 
 
 def add_lags(df: DataFrame, target: str = "sales", lags: list[int] = LAGS, by: str = "row") -> DataFrame:
     """``row``: the value so many rows back in the series; ``date``: so many days back, null where that day is missing."""
     if by == "row":
-        w = series_window()
+        w = series_window(df)
         return df.withColumns({f"{target}_lag_{k}": F.lag(target, k).over(w) for k in lags})
     for k in lags:
         then = df.select(*SERIES, F.date_add("date", k).alias("date"), F.col(target).alias(f"{target}_lag_{k}"))
@@ -125,7 +157,7 @@ def add_rolling(df: DataFrame, target: str = "sales", windows: list[int] = (14,
 
     Shift and roll are one frame. A deviation of fewer than two values is 0.
     """
-    w = series_window()
+    w = series_window(df)
     new = {}
     for n in windows:
         for lag in lags:
@@ -155,14 +187,19 @@ def add_codes(df: DataFrame, cols: list[str] = CATEGORIES) -> DataFrame:
     return df.crossJoin(kinds).withColumns({f"{c}_code": code(c) for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
-def build_features(df: DataFrame, events: DataFrame, price: DataFrame, tx: DataFrame, with_target: bool = True) -> DataFrame:
-    """All features of a master panel. Row-local and day-grain steps don't shuffle the panel; series steps share one exchange."""
+def build_features(df: DataFrame, events: DataFrame, price: DataFrame, tx: DataFrame, with_target: bool = True, piece_rows: int | None = None) -> DataFrame:
+    """All features of a master panel. Row-local and day-grain steps don't shuffle the panel; series steps share one exchange.
+
+    With ``piece_rows`` series are split into pieces of so many rows (see ``split_series``).
+    """
     df = add_event_distance(add_event_codes(add_calendar(add_codes(df))), events)
-    df = df.join(F.broadcast(price_features(price)), "date", "left").join(traffic_features(tx), ["date", "store_nbr"], "left")
+    df = df.join(small(price_features(price)), "date", "left").join(traffic_features(tx), ["date", "store_nbr"], "left")
+    if piece_rows:
+        df = split_series(df, piece_rows)
     df = add_promo_counts(df)
     if with_target:
         df = add_rolling(add_lags(df))
-    return drop_model_extras(df)
+    return drop_model_extras(join_series(df) if piece_rows else df)
 
 
 def drop_model_extras(df: DataFrame) -> DataFrame:

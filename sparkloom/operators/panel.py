@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 #: Rows of a dimension up to which it is sent to every executor. Stores, days and events stay far below.
 DIMENSION_ROWS = 1_000_000
 
@@ -26,8 +28,15 @@ class SalesTables:
     transactions: DataFrame
 
 
-def ffill_bfill(df: DataFrame, col: str, order: str, keys: list[str] = ()) -> DataFrame:
-    """Nulls of ``col`` take the last value before them, at the beginning the first after. Without keys for dimensions only: one task."""
+def ffill_bfill(df: DataFrame, col: str, order: str, keys: list[str] = (), rows: int = DIMENSION_ROWS) -> DataFrame:
+    """Nulls of ``col`` take the last value before them, at the beginning the first after.
+
+    Without keys, more than ``rows`` rows are filled over ranges of ``order``, each range's last value handed to the next.
+    """
+    if not keys and df.limit(rows + 1).count() > rows:
+        dealt = scans.dealt(df, [], [order])
+        filled = scans.scan(scans.scan(dealt, [], {"_before": ("last", col)}), [], {"_after": ("last", col)}, ahead=True)
+        return filled.withColumn(col, F.coalesce("_before", "_after")).drop(scans.AT, "_before", "_after")
     w = Window.partitionBy(*keys).orderBy(order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn(col, F.coalesce(F.last(col, True).over(back), F.first(col, True).over(ahead)))
