@@ -6,8 +6,9 @@ and the share of words in content lines decides whether it is kept, after base r
 
 No line labels exist, so they come from two sources: a line that stands between many different neighbours in the corpus is set into
 texts, hence boilerplate, in good documents too; all lines of a document of low quality are boilerplate; the rest is content. So labels
-differ within a text. How often a line recurs is also a feature, beside its form; it is counted over all documents by the lines'
-hashes. The fit takes a bounded sample of labelled documents; every step of L-BFGS sums the gradient over partitions.
+differ within a text. Recurrence, counted over all documents by the lines' hashes, labels the lines of the fit and is no input of the
+field: a line's form, its place and its neighbours decide, so lines that stand in one document only are told as well. The fit takes a
+bounded sample of labelled documents; every step of L-BFGS sums the gradient over partitions.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import column, pieces, stored
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _END = b".!?\"')"
-#: Features of a line's form, and of how it recurs.
-FORM, FEATURES = 13, 15
+#: Features of a line's form, and with those of its place and neighbours.
+FORM, FEATURES = 13, 22
 _STRETCH, _PADDED = 64, 20_000
 
 
@@ -47,8 +48,20 @@ def line_features(line: bytes, repeated: bool) -> list[float]:
     ]
 
 
+def placed_features(rows: list[list[float]], sizes: list[int]) -> list[list[float]]:
+    """The lines' form, and each line's place and length beside its neighbours and the document's longest line."""
+    length = [min(1.0, float(np.log1p(n)) / 5) for n in sizes]
+    longest, last = max(sizes, default=1), len(rows) - 1
+    out = []
+    for i, row in enumerate(rows):
+        above, below = (length[i - 1], rows[i - 1][9]) if i else (0.0, 0.0), (length[i + 1], rows[i + 1][9]) if i < last else (0.0, 0.0)
+        beside = [sizes[k] for k in (i - 1, i + 1) if 0 <= k <= last]
+        out.append([*row, float(i == 0), float(i == last), sizes[i] / longest, above[0], below[0], above[1], below[1], float(bool(beside) and 2 * sizes[i] < min(beside)), float(row[9] == 0.0 and sizes[i] < 12)])
+    return out
+
+
 def document_lines(data: bytes) -> tuple[list[list[float]], list[int], int, list[int], list[int]]:
-    """Of the lines with a word: features of form, word counts, how many equal an earlier line, hashes, and hashes of their neighbours."""
+    """Of the lines with a word: features, word counts, how many equal an earlier line, hashes, and hashes of their neighbours."""
     seen: set[bytes] = set()
     rows, sizes, dup, hashes = [], [], 0, []
     for line in data.split(b"\n"):
@@ -61,7 +74,7 @@ def document_lines(data: bytes) -> tuple[list[list[float]], list[int], int, list
             sizes.append(n)
             hashes.append(xxhash.xxh64_intdigest(line))
     places = [xxhash.xxh64_intdigest(b"%d %d" % x) for x in zip([0, *hashes], [*hashes[1:], 0])]
-    return rows, sizes, dup, hashes, places
+    return placed_features(rows, sizes), sizes, dup, hashes, places
 
 
 def _pad(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +219,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                     rows, sizes, dup, hashes, places = document_lines(d)
                     words = d.split()
                     n, repeat = len(words), repeated_words(words)
-                    x = np.rint(np.array(rows, float).reshape(-1, FORM) * 255).astype(np.uint8).tobytes()
+                    x = np.rint(np.array(rows, float).reshape(-1, FEATURES) * 255).astype(np.uint8).tobytes()
                     signed = [np.array(v, np.uint64).view(np.int64) for v in (hashes, places)]
                     row = (n, len(b"".join(words).decode("utf-8", "replace")), len(d) - len(d.translate(None, _SYMBOLS)), dup, repeat, n < 50 or 100 * repeat > 50 * n, xxhash.xxh64_intdigest(d) - (1 << 63), x, sizes, *signed)
                     for c, v in zip(cols, row, strict=True):
@@ -217,32 +230,22 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _PARSED)
 
 
-def with_recurrence(parsed: DataFrame, min_docs: int) -> DataFrame:
-    """``parsed`` with ``seen``: array of (at, set) of the lines that stand in at least ``min_docs`` different texts; set: between as many different neighbours, too."""
+def set_lines(parsed: DataFrame, rids: DataFrame, min_docs: int) -> DataFrame:
+    """(rid, at): of some rows the lines (array of places) that stand in at least ``min_docs`` different texts, between as many different neighbours. All rows are counted."""
     each = parsed.select("rid", "th", F.posexplode(F.arrays_zip("h", "place")).alias("at", "l")).select("rid", "th", "at", "l.h", "l.place")
     often = stored(each.groupBy("h").count().filter(F.col("count") >= min_docs).select("h"))
     near = stored(each.join(often, "h"))
     number = lambda c: near.select("h", c).distinct().groupBy("h").agg(F.count("*").alias(f"n_{c}")).filter(F.col(f"n_{c}") >= min_docs)
-    found = stored(number("th").join(number("place"), "h", "left").select("h", F.col("n_place").isNotNull().alias("set")))
-    seen = near.join(found, "h").groupBy("rid").agg(F.collect_list(F.struct("at", "set")).alias("seen"))
-    return parsed.drop("th", "h", "place").join(seen, "rid", "left")
-
-
-def _features(part: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(lines, features) of each row, and which of its lines are set into texts."""
-    xs, sets = [], []
-    for raw, seen in zip(column(part, "x").to_pylist(), column(part, "seen").to_pylist(), strict=True):
-        form = np.frombuffer(raw, np.uint8).reshape(-1, FORM)
-        x = np.zeros((len(form), FEATURES))
-        x[:, :FORM] = form / 255
-        for s in seen or []:
-            x[s["at"], FORM], x[s["at"], FORM + 1] = 1, s["set"]
-        xs.append(x)
-        sets.append(x[:, FORM + 1] > 0)
-    return xs, sets
-
-
-def fit_field(lines: DataFrame, labels: DataFrame, id_col: str, label: str, train_docs: int, rounds: int = 40, penalty: float = 1e-3) -> np.ndarray:
+    found = number("th").join(number("place"), "h").select("h")
+    return near.join(F.broadcast(rids), "rid").join(found, "h").groupBy("rid").agg(F.collect_list("at").alias("at"))
+
+
+def _features(part: pa.RecordBatch) -> list[np.ndarray]:
+    """(lines, features) of each row."""
+    return [np.frombuffer(raw, np.uint8).reshape(-1, FEATURES) / 255 for raw in column(part, "x").to_pylist()]
+
+
+def fit_field(lines: DataFrame, labels: DataFrame, id_col: str, label: str, train_docs: int, min_docs: int, rounds: int = 40, penalty: float = 1e-3) -> np.ndarray:
     """The field's parameters, fitted on at most ``train_docs`` labelled documents (those with the smallest hash of the id; of equal ids the row with the fewest words).
 
     Documents are weighted so that both labels, and within them all documents, count alike.
@@ -250,7 +253,9 @@ def fit_field(lines: DataFrame, labels: DataFrame, id_col: str, label: str, trai
     pick = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     pick = pick.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
     # the picked ids are a bounded table
-    sample = lines.join(F.broadcast(pick), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min_by(F.struct("x", "seen"), F.struct("n_words", "x", "rid")).alias("l")).select("y", "l.*").filter(F.length("x") > 0)
+    sample = lines.join(F.broadcast(pick), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min_by(F.struct("x", "rid"), F.struct("n_words", "x", "rid")).alias("l")).select("y", "l.*").filter(F.length("x") > 0)
+    sample = stored(sample)
+    sample = sample.join(set_lines(lines, sample.select("rid"), min_docs), "rid", "left")
     sample = stored(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism))
     number = dict(sample.groupBy("y").count().collect())
     if len(number) < 2:
@@ -263,12 +268,15 @@ def fit_field(lines: DataFrame, labels: DataFrame, id_col: str, label: str, trai
             for batch in batches:
                 for i in range(0, batch.num_rows, 500):
                     part = batch.slice(i, 500)
-                    xs, sets = _features(part)
+                    xs = _features(part)
                     y = column(part, "y").to_pylist()
-                    total += field.gradient(xs, [(k * ~s).astype(int) for k, s in zip(y, sets, strict=True)], [0.5 / number[k] / len(d) for k, d in zip(y, xs, strict=True)])
+                    gold = [np.full(len(d), k) for d, k in zip(xs, y, strict=True)]
+                    for g, at in zip(gold, column(part, "at").to_pylist(), strict=True):
+                        g[at or []] = 0
+                    total += field.gradient(xs, gold, [0.5 / number[k] / len(d) for k, d in zip(y, xs, strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
 
-        rows = sample.mapInArrow(run, "g array<double>").collect()  # a row of 35 numbers for each partition of the sample
+        rows = sample.mapInArrow(run, "g array<double>").collect()  # a row of 49 numbers for each partition of the sample
         total = np.sum([r[0] for r in rows], 0)
         return total[0] - penalty / 2 * (x @ x), total[1:] - penalty * x
 
@@ -278,15 +286,15 @@ def fit_field(lines: DataFrame, labels: DataFrame, id_col: str, label: str, trai
 def labelled_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = 1500, min_docs: int = 5) -> DataFrame:
     """The base columns of every row, its lines' word counts (sizes) and Viterbi labels (content: array<int>, 1 is content), of lines with a word. No text is shuffled."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    lines = stored(with_recurrence(stored(parsed_lines(own)), min_docs))
-    shared = docs.sparkSession.sparkContext.broadcast(fit_field(lines, labels, id_col, label, train_docs))
+    lines = stored(parsed_lines(own))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_field(lines, labels, id_col, label, train_docs, min_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = LineField(shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                marks = field.decode(_features(part)[0])
+                marks = field.decode(_features(part))
                 yield pa.RecordBatch.from_arrays([*[column(part, c) for c in [*BASE, "sizes"]], pa.array(marks, pa.list_(pa.int32()))], [*BASE, "sizes", "content"])
 
     kinds = dict(lines.dtypes)

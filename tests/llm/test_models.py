@@ -280,6 +280,31 @@ def test_boilerplate_lines_are_found_in_good_texts(spark):
     assert sum(0 < sum(r.content) < len(r.content) for r in got) >= 60
 
 
+def test_lines_that_do_not_recur_are_found(spark):
+    """Notices that recur label the fit; the field finds others, each of its own words and in one document only."""
+    rng = random.Random(12)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    often = [" ".join(rng.choices(vocab, k=rng.randint(4, 8))).capitalize() for _ in range(4)]
+    rows, labels, truth = [], [], {}
+    for i in range(400):
+        lines = [prose(rng, rng.choice([6, 14, 20, 30]), vocab).capitalize() + "." for _ in range(rng.randint(4, 8))]
+        marks = [1] * len(lines)
+        if i % 8 == 0:
+            lines, marks = [" ".join(w + rng.choice(["***", "&&&"]) for w in x.split()) for x in lines], [0] * len(lines)
+        elif i % 2:
+            at = rng.randint(0, len(lines))
+            lines.insert(at, rng.choice(often) if i < 200 else " ".join(rng.choices(vocab, k=rng.randint(4, 8))).capitalize())
+            marks.insert(at, 0)
+        rows.append((i, "\n".join(lines)))
+        truth[i] = marks
+        if i < 200:
+            labels.append((i, int(i % 8 != 0)))
+    got = C.labelled_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).filter("doc_id >= 200").collect()
+    pairs = Counter((a, b) for r in got if r.doc_id % 2 for a, b in zip(truth[r.doc_id], r.content, strict=True))
+    hit, over, under = pairs[0, 0], pairs[1, 0], pairs[0, 1]
+    assert hit + under == 100 and 2 * hit / (2 * hit + over + under) >= 0.8
+
+
 # --- operator 5
 
 
