@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -17,28 +21,56 @@ class ConceptGraph:
     chunk_concepts: DataFrame
 
 
-#: Names up to which a lexicon is sent to every executor; a longer one meets the texts in a join.
-LEXICON_ROWS = 1000
+#: Names of an automaton; a longer lexicon is dealt into several, each a pass over the texts.
+LEXICON_ROWS = 500_000
 
 
 def match_concepts(texts: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``texts`` once for each concept (lex, concept) of the lexicon that the lower-cased text contains.
 
-    Up to LEXICON_ROWS names are broadcast, and the text is read once against all of them. More are joined by the first letters of a
-    name, as many as the shortest name has (8 at most): only names whose letters the text has somewhere are looked for in it.
+    One automaton of all names is built in each task and reads a text once, whatever the number of names: its time is that of the text
+    and of what is found. Equal names of several concepts are found together; null and empty texts have no concepts, an empty name is
+    in every other text.
     """
-    low = F.lower(F.col(text))
-    if lexicon.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
-        n = min(8, lexicon.agg(F.min(F.length("concept"))).first()[0])
-        rows = texts.withColumn("_low", low)
-        places = F.sequence(F.lit(1), F.length("_low") - n + 1)
-        grams = F.array_distinct(F.transform(places, lambda i: F.substr("_low", i, F.lit(n))))
-        met = rows.filter(F.length("_low") >= n).withColumn("_g", F.explode(grams)).join(lexicon.select("lex", "concept", F.substring("concept", 1, n).alias("_g")), "_g")
-        return met.filter(F.contains("_low", "concept")).select(*texts.columns, "lex", "concept")
-    names = F.broadcast(lexicon.agg(F.array_sort(F.collect_list(F.struct("lex", "concept"))).alias("_names")))
-    rows = texts.withColumn("_low", low).crossJoin(names)
-    # _low is used twice, so that it stays a column of its own and isn't worked out anew for each name
-    return rows.withColumn("_c", F.explode(F.when(F.length("_low") > 0, F.filter("_names", lambda c: F.contains(F.col("_low"), c["concept"]))))).select(*texts.columns, "_c.lex", "_c.concept")
+    names = lexicon.select("lex", "concept").filter("concept IS NOT NULL")
+    blocks = max(1, -(-names.count() // LEXICON_ROWS))
+    found = None
+    for block in range(blocks):
+        part = _read_once(texts, names.filter(F.pmod(F.xxhash64("concept"), F.lit(blocks)) == block).orderBy("lex", "concept").collect(), lexicon, text)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _read_once(texts: DataFrame, names: list, lexicon: DataFrame, text: str) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in names])  # at most LEXICON_ROWS names
+    added = pa.schema([("lex", pa.int64()), ("concept", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list[int]] = {}
+        for i, (_, name) in enumerate(sent.value):
+            own.setdefault(name, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for name, at in own.items():
+            if name:
+                automaton.add_word(name, at)
+        automaton.make_automaton()
+        lex, concept = (pa.array(c, t) for c, t in zip(zip(*sent.value, strict=True), added.types, strict=True)) if sent.value else (pa.array([], t) for t in added.types)
+        for batch in batches:
+            rows: list[int] = []
+            met: list[int] = []
+            for row, low in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if low:
+                    hits = {id(v): v for _, v in automaton.iter(low)} if len(automaton) else {}
+                    at = sorted(i for v in [*hits.values(), own.get("", [])] for i in v)
+                    met += at
+                    rows += [row] * len(at)
+            at, which = pa.array(rows, pa.int32()), pa.array(met, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:-1]], lex.take(which), concept.take(which)], [*batch.schema.names[:-1], "lex", "concept"])
+
+    kind = lexicon.schema["lex"].dataType
+    rows = texts.withColumn("_low", F.lower(F.col(text)))
+    schema = T.StructType([*texts.schema.fields, T.StructField("lex", T.LongType()), T.StructField("concept", T.StringType())])
+    return rows.mapInArrow(run, schema).withColumn("lex", F.col("lex").cast(kind))
 
 
 def _section_key() -> object:

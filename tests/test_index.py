@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import blocks as K
+from sparkloom.operators import graph as G
 from sparkloom.operators import lexical as L
 from sparkloom.operators import quantised as V
 from sparkloom.plans import text as plans
@@ -155,3 +156,18 @@ def test_codes_of_odd_tables(spark):
     got = V.knn_codes(index, df.withColumnRenamed("id", "query_id"), k=2).filter("query_id = 4").orderBy("rank").collect()
     assert [(r.id, round(r.score, 6)) for r in got] == [(1, 1.0), (4, 1.0)]
     assert V.knn_codes(V.code_index(df.limit(0)), df.withColumnRenamed("id", "query_id")).count() == 0 == V.knn_codes(index, df.limit(0).withColumnRenamed("id", "query_id")).count()
+
+
+def test_names_are_found_whatever_their_number(spark, monkeypatch):
+    """One automaton: names within names, equal names, empty and null texts, lexicons of any size; more names than rows cost no more passes."""
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices(["Supply", "demand", "of", "oversupply", "É", "x.y"], k=12))) for i in range(60)] + [(60, ""), (61, None), (62, "no")]
+    names = [(1, "supply"), (2, "demand of"), (3, "oversupply"), (4, "supply"), (5, "é"), (6, "."), (7, "y o"), (8, ""), (9, None)] + [(100 + i, f"absent{i}") for i in range(3000)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    lexicon = spark.createDataFrame(names, "lex int, concept string")
+    want = sorted((i, n, c) for i, t in texts if t for n, c in names if c is not None and c in t.lower())
+    found = lambda: sorted((r.id, r.lex, r.concept) for r in G.match_concepts(df, lexicon).collect())
+    assert found() == want and len(want) > 150
+    monkeypatch.setattr(G, "LEXICON_ROWS", 700)
+    assert found() == want
+    assert G.match_concepts(df, lexicon.limit(0)).count() == 0 == G.match_concepts(df.limit(0), lexicon).count()
