@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def clip0(x: Column) -> Column:
     """max(x, 0); null stays null (``greatest`` alone would skip it)."""
@@ -73,9 +75,10 @@ def inverse_rmsle_weights(df: DataFrame, y: str, models: list[str]) -> DataFrame
 
 
 def feature_medians(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """One row with the median of each column over non-null values; ``exact=False`` bounds the memory by a sketch."""
-    f = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, accuracy).cast("double"))
-    return df.agg(*[f(c).alias(c) for c in cols])
+    """One row with the median of each column over non-null values, exact by selection over the cluster, or from a sketch."""
+    if exact:
+        return exact_quantiles(df, cols, [0.5]).groupBy().agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in cols])
+    return df.agg(*[F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in cols])
 
 
 def impute(df: DataFrame, medians: DataFrame, cols: list[str]) -> DataFrame:
@@ -95,9 +98,10 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
 
 def summarize(df: DataFrame, col: str) -> DataFrame:
     """Count, zeros, mean, deviation, extremes and quartiles of a column, one row."""
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(col).alias("n"), F.count_if(F.col(col) == 0).alias("zeros"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"), q.alias("q"))
-    return out.select("n", "zeros", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    q = exact_quantiles(df, [col], list(probs.values())).groupBy().agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in probs.items()])
+    out = df.agg(F.count(col).alias("n"), F.count_if(F.col(col) == 0).alias("zeros"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return out.crossJoin(F.broadcast(q)).select("n", "zeros", "mean", "std", "min", *probs, "max")  # one row each
 
 
 def daily_totals(df: DataFrame, value: str = "sales", date: str = "date") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import quantiles as Q
 from sparkloom.operators import detection as D
 from sparkloom.operators import features as X
 from sparkloom.operators import panel as P
@@ -120,3 +121,24 @@ def test_matches_stream_by(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert few == D.detection_map(p, t).first() and 0 < few.map50_95 < few.map50 < 1
+
+
+def test_quantiles_are_exact(spark):
+    """Against sorted lists: ties, nulls, empty and constant columns, groups, and brackets that miss at first."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, float(rng.randint(0, 9)), rng.gauss(0, 1e6)]), 3, None) for _ in range(4000)] + [("one", 5.0, 3, None)]
+    df = spark.createDataFrame(rows, "g string, x double, c int, e double").repartition(5)
+
+    def want(values, p):
+        v = sorted(x for x in values if x is not None)
+        at = p * (len(v) - 1)
+        low = int(at)
+        return v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * (at - low) if v else None
+
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    for near in (0.002, 1e-5):
+        got = {(r.name, r.p): r.value for r in Q.exact_quantiles(df, ["x", "c", "e"], probs, near=near).collect()}
+        assert got == {(n, p): pytest.approx(want([r[i] for r in rows], p)) for i, n in ((1, "x"), (2, "c"), (3, "e")) for p in probs}
+    got = {(r.g, r.p): r.value for r in Q.exact_quantiles(df, ["x"], [0.5, 0.95], ["g"]).collect()}
+    assert got == {(g, p): pytest.approx(want([r[1] for r in rows if r[0] == g], p)) for g in (None, "a", "b", "one") for p in (0.5, 0.95)}
+    assert [r.value for r in Q.exact_quantiles(df.limit(0), ["x"], [0.5]).collect()] == [None]
