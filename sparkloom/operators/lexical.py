@@ -17,9 +17,9 @@ from ..session import stored
 #: Folders of saved postings.
 BUCKETS = 32
 #: Chunks and tokens of a segment, chunks of a block, blocks of a step of the search, questions that are searched at once.
-SEGMENT_CHUNKS, SEGMENT_TOKENS, BLOCK, STEP, QUERY_BLOCK = 8192, 4_000_000, 8, 64, 4096
+SEGMENT_CHUNKS, SEGMENT_TOKENS, BLOCK, STEP, QUERY_BLOCK = 8192, 4_000_000, 8, 256, 4096
 _LIST = "struct<term:string,places:array<int>,tfs:array<int>,block:array<int>,most_tf:array<int>,least_dl:array<int>>"
-_SEGMENT = f"segment string, chunk_ids array<string>, chunk_ords array<bigint>, dls array<int>, lists array<{_LIST}>"
+_SEGMENT = f"segment string, chunk_ids array<string>, chunk_ords array<bigint>, dls array<int>, terms array<string>, dfs array<int>, lists array<{_LIST}>"
 
 
 def term_bucket(term: Column) -> Column:
@@ -52,7 +52,10 @@ class KeywordIndex:
         return own.agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
 
     def counts(self) -> DataFrame:
-        """term, df."""
+        """term, df. Without removed chunks no list is read."""
+        if self.removed is None:
+            own = self.segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("l"))
+            return own.groupBy(F.col("l.terms").alias("term")).agg(F.sum("l.dfs").alias("df"))
         left = lambda p: F.when(F.size("gone") == 0, F.size(p)).otherwise(F.size(F.array_except(p, "gone")))
         each = self.present().select(F.explode(F.transform("lists", lambda x: F.struct(x["term"].alias("term"), left(x["places"]).alias("df")))).alias("l"))
         return each.filter("l.df > 0").groupBy(F.col("l.term").alias("term")).agg(F.sum("l.df").alias("df"))
@@ -117,9 +120,10 @@ def _segment(chunks: list[pa.RecordBatch]) -> pa.RecordBatch:
     most, least = (np.maximum.reduceat(tf, block), np.minimum.reduceat(dl[place], block)) if len(block) else (tf, tf)
     ends = np.append(begin, len(key))
     fields = [words.dictionary.take(pa.array(term[begin])), cut(ends, place), cut(ends, tf), cut(in_list, place[block] // BLOCK), cut(in_list, most), cut(in_list, least)]
+    dfs = pa.array(np.diff(ends).astype(np.int32))
     lists = pa.StructArray.from_arrays(fields, ["term", "places", "tfs", "block", "most_tf", "least_dl"])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(ids), one(ords), one(pa.array(dl.astype(np.int32))), one(lists)], ["segment", "chunk_ids", "chunk_ords", "dls", "lists"])
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(ids), one(ords), one(pa.array(dl.astype(np.int32))), one(fields[0]), one(dfs), one(lists)], ["segment", "chunk_ids", "chunk_ords", "dls", "terms", "dfs", "lists"])
 
 
 def bm25_index(chunks: DataFrame, stopwords: list[str] = STOPWORDS) -> KeywordIndex:
@@ -192,12 +196,13 @@ class Lists:
             score = np.zeros(len(docs))
             # a chunk's own length bounds what it gets from the counts of its block
             most = np.array([max(weights[t], 0) * self.impact(self.most_tf[t][docs // BLOCK], self.dl[docs]) for t in here])
-            still = np.vstack([np.cumsum(most[::-1], axis=0)[::-1], np.zeros(len(docs))])
+            left, still = np.arange(len(docs)), most.sum(0)
             for i, t in enumerate(here):
-                hopeful = score + still[i] >= least
-                docs, score, still = docs[hopeful], score[hopeful], still[:, hopeful]
+                hopeful = score + still >= least - 1e-9
+                docs, score, left, still = docs[hopeful], score[hopeful], left[hopeful], still[hopeful]
                 if not len(docs):
                     break
+                still = still - most[i, left]
                 places, tfs = self.lists[t]
                 may = np.flatnonzero(self.most_tf[t][docs // BLOCK])  # blocks without the term aren't looked at
                 at = np.searchsorted(places, docs[may])
