@@ -293,6 +293,13 @@ def streamed(s, sdf: DataFrame, mode: str = "append") -> DataFrame:
     return s.read.parquet(f"{path}/out")
 
 
+def streamed_to_end(s, sdf: DataFrame, work: S.Ordered) -> DataFrame:
+    """What the operator has put out over the stream and, as the stream has ended, over the rows that were still waiting."""
+    path = new_path(s, "stream")
+    S.run_to_table(work.stream(sdf), f"{path}/out", f"{path}/checkpoint", ordered=work)
+    return S.written(s, f"{path}/out")
+
+
 def _sql(name: str) -> str:
     """A query's SQL without the tables, to be used again."""
     return ORACLE_SQL[name].removeprefix(f"WITH RECURSIVE {CTES.strip()}").removeprefix(",").strip()
@@ -301,7 +308,7 @@ def _sql(name: str) -> str:
 @query("streamed_labels", _sql("smoothed_labels"))
 def _(s, d):
     """The stateful operator over a stream of the events table, run to its end."""
-    return streamed(s, S.smooth_stream(live_frames(s, d).drop("confidence"))).select("stream_id", "event_id", "smoothed")
+    return streamed_to_end(s, live_frames(s, d).drop("confidence"), S.smoothing()).select("stream_id", "event_id", "smoothed")
 
 
 @query("streamed_rate", (
@@ -315,7 +322,8 @@ def _(s, d):
 
 @query("streamed_debounce", "WITH " + _sql("debounced"))
 def _(s, d):
-    return streamed(s, S.debounce_stream(live_frames(s, d), min_gap=3600.0)).select("stream_id", "event_id", "ts")
+    sdf = live_frames(s, d)
+    return streamed_to_end(s, sdf, S.debouncing(sdf.schema, min_gap=3600.0)).select("stream_id", "event_id", "ts")
 
 
 @query("streamed_progress", _sql("capture_progress"))

@@ -22,11 +22,11 @@ def test_streams_equal_batches(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, stream_id long, ts timestamp, class_name string")
     df.repartition(4).write.parquet(str(tmp_path / "in"))
     live = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    ST.run_to_table(ST.smooth_stream(live()), str(tmp_path / "a"), str(tmp_path / "ca"))
-    got = {r.event_id: r.smoothed for r in spark.read.parquet(str(tmp_path / "a")).collect()}
+    ST.run_to_table(ST.smooth_stream(live()), str(tmp_path / "a"), str(tmp_path / "ca"), ordered=ST.smoothing())
+    got = {r.event_id: r.smoothed for r in ST.written(spark, str(tmp_path / "a")).collect()}
     assert got == {r.event_id: r.smoothed for r in R.smooth_labels(df).collect()}
-    ST.run_to_table(ST.debounce_stream(live(), min_gap=0.25), str(tmp_path / "b"), str(tmp_path / "cb"))
-    kept = {r.event_id for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+    ST.run_to_table(ST.debounce_stream(live(), min_gap=0.25), str(tmp_path / "b"), str(tmp_path / "cb"), ordered=ST.debouncing(df.schema, min_gap=0.25))
+    kept = {r.event_id for r in ST.written(spark, str(tmp_path / "b")).collect()}
     assert kept == {r.event_id for r in R.debounce(df, min_gap=0.25).collect()}
     ST.run_to_table(ST.fps_stream(live(), delay="0 seconds"), str(tmp_path / "c"), str(tmp_path / "cc"))
     final = {(r.stream_id, r.start): r.n for r in spark.read.parquet(str(tmp_path / "c")).collect()}
@@ -34,6 +34,54 @@ def test_streams_equal_batches(spark, tmp_path):
     assert final and all(batch[k] == n for k, n in final.items())
 
 
+def test_shuffled_files_are_put_in_order(spark, tmp_path):
+    """Files that each hold rows of the whole hour, one a micro-batch; all lie within the delay of each other's watermark."""
+    rows = [(i, i % 3, T0 + dt.timedelta(milliseconds=9137 * i, microseconds=i), None if i % 7 == 0 else "AB"[(i // 5) % 2], i / 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, stream_id long, ts timestamp, class_name string, confidence double")
+    for i in range(7):
+        df.filter(F.col("event_id") % 7 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    work = ST.smoothing(delay="2 hours")
+    ST.run_to_table(work.stream(live()), str(tmp_path / "a"), str(tmp_path / "ca"), ordered=work)
+    got = sorted((r.event_id, r.ts, r.smoothed) for r in ST.written(spark, str(tmp_path / "a")).collect())
+    assert got == sorted((r.event_id, r.ts, r.smoothed) for r in R.smooth_labels(df, order=["ts", "event_id"]).collect())
+    work = ST.debouncing(df.schema, min_gap=60.0, delay="2 hours")
+    ST.run_to_table(work.stream(live()), str(tmp_path / "b"), str(tmp_path / "cb"), ordered=work)
+    whole = lambda x: sorted(tuple(r[c] for c in df.columns[:3]) + (r.class_name or "", r.confidence) for r in x.collect())
+    assert whole(ST.written(spark, str(tmp_path / "b"))) == whole(R.debounce(df, min_gap=60.0))
+
+
+def test_waiting_rows_come_out_behind_the_watermark(spark, tmp_path):
+    """Files in time order but for rows that come up to two files late: timers put out what the watermark has passed, the rest at the end."""
+    rows = [(i, i % 2, T0 + dt.timedelta(seconds=i), "AB"[(i // 3) % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, stream_id long, ts timestamp, class_name string")
+    for i in range(6):
+        late = [r for r in rows if (r[0] // 50 + (r[0] % 11 == 0) + (r[0] % 13 == 0)) == i]
+        spark.createDataFrame(late, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sent = df.filter("event_id div 50 + int(event_id % 11 = 0) + int(event_id % 13 = 0) < 6")
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    work = ST.smoothing(delay="2 minutes 30 seconds")
+    ST.run_to_table(work.stream(live), str(tmp_path / "a"), str(tmp_path / "ca"), ordered=work)
+    early, rest = (spark.read.parquet(str(tmp_path / x)) for x in ("a", "a-rest"))
+    assert early.count() > 100 and 0 < rest.count() <= 152
+    assert early.agg(F.max("ts")).first()[0] < rest.agg(F.min("ts")).first()[0]
+    got = {r.event_id: r.smoothed for r in early.unionByName(rest).collect()}
+    assert got == {r.event_id: r.smoothed for r in R.smooth_labels(sent).collect()}
+
+
+def test_streams_forget(spark, tmp_path):
+    """A stream whose next row comes later than the limit starts afresh, whether its state is gone already or not; null times are left out."""
+    at = [0, 1, 2, 400, 401, 9000]
+    rows = [(i, 1, T0 + dt.timedelta(seconds=t), v) for i, (t, v) in enumerate(zip(at, "AABBAA", strict=True))] + [(7, 2, T0 + dt.timedelta(hours=5), "C"), (8, 2, None, "D")]
+    df = spark.createDataFrame(rows, "event_id long, stream_id long, ts timestamp, class_name string")
+    for part in (df.filter("event_id < 5"), df.filter("event_id >= 5")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    work = ST.smoothing(forget="5 minutes", delay="10 seconds")
+    ST.run_to_table(work.stream(live), str(tmp_path / "a"), str(tmp_path / "ca"), ordered=work)
+    assert {r.event_id: r.smoothed for r in ST.written(spark, str(tmp_path / "a")).collect()} == {0: "A", 1: "A", 2: "A", 3: "B", 4: "B", 5: "A", 7: "C"}
+
+
 def test_progress_stream(spark, tmp_path):
     df = spark.createDataFrame([("A",)] * 5 + [("B",)] * 20, "class_name string")
     df.write.parquet(str(tmp_path / "in"))
