@@ -2,12 +2,15 @@
 
 Candidates come from SimHash (op3's index) and from MinHash in 25 bands of 5: a pair of similarity 0.8 shares a band with
 probability 1 - (1 - 0.8^5)^25 = 0.99995, one above it more surely. Every link is verified by the shingle sets themselves. Texts of a
-band first meet the band's smallest member; where that leaves a band's members in several components, all pairs across them are verified
-too, so no candidate pair is left out but those that are connected already.
+band first meet the band's smallest member; where that leaves a band's members in several components, pairs across them are verified
+too. In a small band those are all pairs. Texts of a crowded band also have to share one of their rarest shingles: similar texts always
+do (of n shingles the n - ceil(0.8 n) + 1 rarest, in an order that is the same for all texts), texts that merely share a notice or a
+form rarely. So no candidate pair is left out but those that are connected already or can't be similar.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ from .simhash import fingerprints, links
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 _CHUNK = 4096
+#: A band of more texts than this in several components is crowded.
+CROWD = 16
+#: Shingles are counted by so many hash buckets, which bounds what every task is sent.
+BUCKETS = 1 << 16
 _MUL = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
@@ -73,6 +80,71 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets (s) fall into each bucket: at most BUCKETS rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            n += np.bincount(column(batch, "s").flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+    rows = sets.select("s").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(th, key) for the rarest shingles of each set (th, s), by its bucket's count and its hash: any two similar sets have a key in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for th, values in zip(column(batch, "th").to_pylist(), column(batch, "s"), strict=True):
+                x = values.values.to_numpy()
+                few = len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1
+                keys.append(x[np.lexsort((x, counts[x & (BUCKETS - 1)]))[:few]])
+                ids.append(np.full(len(keys[-1]), th, np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["th", "key"])
+
+    return sets.select("th", "s").mapInArrow(run, "th long, key long")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts with a key in common, of different components and of sizes that can be similar. rows: key, th, n, root.
+
+    A text meets the other components of its key before it meets their texts, so texts that are connected already never meet.
+    """
+    fits = lambda low, high: (F.col("na") >= SIMILARITY * F.col(low)) & (F.col(high) >= SIMILARITY * F.col("na"))
+    cells = rows.groupBy("key", F.col("root").alias("rb")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    a = rows.select("key", F.col("th").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = rows.select("key", F.col("th").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = a.join(cells, "key").filter((F.col("ra") < F.col("rb")) & fits("low", "high")).select("key", "rb", "a", "na")
+    pairs = met.join(b, ["key", "rb"]).filter(fits("nb", "nb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _in_components(rows: DataFrame) -> DataFrame:
+    """Keys (and their number of texts, k) whose texts lie in several components."""
+    return rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.count("*").alias("k")).filter("r <> q").select("key", "k")
+
+
+def across_components(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that share a band, lie in different components and may be similar. placed: key, th, n, root; sets: th, s."""
+    apart = stored(placed.join(_in_components(placed), "key"))
+    small = _across(apart.filter(F.col("k") <= CROWD))
+    crowd = stored(apart.filter(F.col("k") > CROWD).select("th", "n", "root").distinct())
+    if crowd.isEmpty():
+        return small
+    own = stored(sets.select("th", "s").join(crowd, "th", "left_semi"))
+    keyed = stored(prefixes(own, bucket_counts(own)).join(crowd, "th"))
+    wide = _across(keyed.join(_in_components(keyed).select("key"), "key", "left_semi"))
+    return small.unionByName(wide).distinct()
+
+
 def near_copies(texts: DataFrame) -> DataFrame:
     """(th, root) of the texts (th: the text's hash; text) that have a near-duplicate; root is the component's smallest th."""
     texts = texts.select("th", "text")
@@ -92,11 +164,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     good = stored(_similar(pairs, sets))
     roots = connected_components(good)
     placed = members.select("key", "th", "n").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("key")
-    rest = stored(placed.join(apart, "key", "left_semi"))
-    a, b = (rest.select("key", F.col("th").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    across = a.join(b, "key").filter((F.col("ra") < F.col("rb")) & (F.col("na") >= SIMILARITY * F.col("nb")) & (F.col("nb") >= SIMILARITY * F.col("na")))
-    across = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    across = stored(across_components(placed, sets).join(pairs, ["a", "b"], "left_anti"))
     more = _similar(across, sets)
     return connected_components(good.unionByName(more)).select(F.col("node").alias("th"), "root")
 

@@ -9,6 +9,7 @@ from llm_helpers import prose
 from pyspark.sql import functions as F
 
 from sparkloom.llm import log_template as L
+from sparkloom.llm import near_copies as N
 from sparkloom.llm import template_leaks as T
 
 WS = r"[\x20\x09-\x0D]+"
@@ -282,6 +283,49 @@ def test_near_dedup_stage_links_similar_texts(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows if i is None or i < 100 or 200 <= i < 300)
 
 
+def _form_letters(rng, n, words, own):
+    """``n`` texts of ``words`` words that share a form but for a run of ``own`` words, and a near copy of every 50th of them."""
+    form = [f"w{rng.randrange(10**6)}" for _ in range(words - own)]
+    texts = [[*form[: len(form) // 2], *(f"w{rng.randrange(10**6)}" for _ in range(own)), *form[len(form) // 2 :]] for _ in range(n)]
+    for t in texts[::50]:
+        near = list(t)
+        near[-3] = f"w{rng.randrange(10**6)}"
+        texts.append(near)
+    return [" ".join(t) for t in texts]
+
+
+def test_crowded_bands_give_few_pairs(spark, monkeypatch):
+    """5000 form letters that share two thirds of their words: pairs grow with the texts, near copies among them are all found."""
+    rng = random.Random(31)
+    seen = []
+    across = N.across_components
+    monkeypatch.setattr(N, "across_components", lambda *a: seen.append(across(*a)) or seen[-1])
+    texts = _form_letters(rng, 5000, 150, 50)
+    docs = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    got = {r.th: r.root for r in N.near_copies(docs).collect()}
+    assert got == {i: 50 * j for j in range(100) for i in (50 * j, 5000 + j)}
+    assert seen[0].count() < 5100
+
+
+def test_crowded_bands_against_all_pairs(spark, monkeypatch):
+    """Crowds of one and more components, with any size of crowd the same links as all pairs."""
+    rng = random.Random(32)
+    texts = [*_form_letters(rng, 120, 100, 30), *_form_letters(rng, 60, 60, 14), *_form_letters(rng, 30, 90, 6)]
+    sets = [set(N.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    docs = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    for crowd in (2, 16, 10**9):
+        monkeypatch.setattr(N, "CROWD", crowd)
+        assert {r.th: r.root for r in N.near_copies(docs).collect()} == want
+
+
 def test_short_items_with_marks_and_names(spark):
     """Lone marks are no words, and an item's first word may stand within a sentence."""
     bench = spark.createDataFrame([(1, "What is 3 + 4 ?"), (2, "Only four words here"), (3, "Seldom do grey herons sleep")], "item_id long, text string")
