@@ -1,11 +1,13 @@
 """Near-duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
 Candidates come from SimHash (op3's index) and from MinHash in 25 bands of 5: a pair of similarity 0.8 shares a band with
-probability 1 - (1 - 0.8^5)^25 = 0.99995, one above it more surely. Every link is verified by the shingle sets themselves. Texts of a
-band first meet the band's smallest member; where that leaves a band's members in several components, pairs across them are verified
-too. In a small band those are all pairs. Texts of a crowded band also have to share one of their rarest shingles: similar texts always
-do (of n shingles the n - ceil(0.8 n) + 1 rarest, in an order that is the same for all texts), texts that merely share a notice or a
-form rarely. So no candidate pair is left out but those that are connected already or can't be similar.
+probability 1 - (1 - 0.8^5)^25 = 0.99995, one above it more surely. Every link is verified by the shingle sets themselves. Of the
+smallest members of its bands a text first meets the ``STARS`` with which it shares most bands; where that leaves a band's members in
+several components, pairs across them are verified too. In a small band those are all pairs. Texts of a crowded band also have to share
+one of their rarest shingles (of n shingles the n - ceil(0.8 n) + 1 rarest, in an order that is the same for all texts), and what comes
+from it on must suffice: a pair whose first common shingle stands at place p of n shingles (from 0) has at most n - p in common, and
+similar sets have at least 4/9 of the sum of their sizes. Similar texts always pass; texts that share a notice or a form, or are copies
+of one text with words of their own, rarely do. So no candidate pair is left out but those that are connected already or can't be similar.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, fresh, pieces, stored
@@ -26,6 +28,8 @@ from .simhash import fingerprints, links
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 _CHUNK = 4096
+#: How many of its bands' smallest members a text meets before the components are made.
+STARS = 2
 #: A band of more texts than this in several components is crowded.
 CROWD = 16
 #: Shingles are counted by so many hash buckets, which bounds what every task is sent.
@@ -97,33 +101,40 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(th, key) for the rarest shingles of each set (th, s), by its bucket's count and its hash: any two similar sets have a key in common."""
+    """(th, key, pos) for the rarest shingles of each set (th, s), by its bucket's count and its hash, from place 0 on: any two similar sets have a key in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, places = [], [], []
             for th, values in zip(column(batch, "th").to_pylist(), column(batch, "s"), strict=True):
                 x = values.values.to_numpy()
                 few = len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1
                 keys.append(x[np.lexsort((x, counts[x & (BUCKETS - 1)]))[:few]])
                 ids.append(np.full(len(keys[-1]), th, np.int64))
+                places.append(np.arange(len(keys[-1])))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["th", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, places)], ["th", "key", "pos"])
 
-    return sets.select("th", "s").mapInArrow(run, "th long, key long")
+    return sets.select("th", "s").mapInArrow(run, "th long, key long, pos long")
+
+
+def _reach(pos: Column) -> Column:
+    """The largest set that one of n shingles can be similar to if the first they share stands at ``pos`` of it: n - pos >= 0.8 / 1.8 * (n + other)."""
+    return (F.col("n") - (1 + SIMILARITY) * pos) / SIMILARITY + 1e-6
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts with a key in common, of different components and of sizes that can be similar. rows: key, th, n, root.
+    """Pairs (a, b) of texts with a key in common, of different components, either's size within the other's reach. rows: key, th, n, root, reach.
 
-    A text meets the other components of its key before it meets their texts, so texts that are connected already never meet.
+    The smaller text of a pair (of equal ones that of the smaller root) meets the other components of its key before it meets their
+    texts, so texts that are connected already never meet.
     """
-    fits = lambda low, high: (F.col("na") >= SIMILARITY * F.col(low)) & (F.col(high) >= SIMILARITY * F.col("na"))
-    cells = rows.groupBy("key", F.col("root").alias("rb")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a = rows.select("key", F.col("th").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rows.select("key", F.col("th").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = a.join(cells, "key").filter((F.col("ra") < F.col("rb")) & fits("low", "high")).select("key", "rb", "a", "na")
-    pairs = met.join(b, ["key", "rb"]).filter(fits("nb", "nb"))
+    up = lambda size: (F.col(size) > F.col("na")) | ((F.col(size) == F.col("na")) & (F.col("ra") < F.col("rb")))
+    cells = rows.groupBy("key", F.col("root").alias("rb")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("far"))
+    a = rows.filter("reach >= n").select("key", F.col("th").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("reach").alias("most"))
+    b = rows.select("key", F.col("th").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("reach").alias("far"))
+    met = a.join(cells, "key").filter((F.col("ra") != F.col("rb")) & up("high") & (F.col("low") <= F.col("most")) & (F.col("far") >= F.col("na"))).drop("low", "high", "far")
+    pairs = met.join(b, ["key", "rb"]).filter(up("nb") & (F.col("nb") <= F.col("most")) & (F.col("far") >= F.col("na")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -135,12 +146,12 @@ def _in_components(rows: DataFrame) -> DataFrame:
 def across_components(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts that share a band, lie in different components and may be similar. placed: key, th, n, root; sets: th, s."""
     apart = stored(placed.join(_in_components(placed), "key"))
-    small = _across(apart.filter(F.col("k") <= CROWD))
+    small = _across(apart.filter(F.col("k") <= CROWD).withColumn("reach", _reach(F.lit(0))))
     crowd = stored(apart.filter(F.col("k") > CROWD).select("th", "n", "root").distinct())
     if crowd.isEmpty():
         return small
     own = stored(sets.select("th", "s").join(crowd, "th", "left_semi"))
-    keyed = stored(prefixes(own, bucket_counts(own)).join(crowd, "th"))
+    keyed = stored(prefixes(own, bucket_counts(own)).join(crowd, "th").withColumn("reach", _reach(F.col("pos"))).drop("pos"))
     wide = _across(keyed.join(_in_components(keyed).select("key"), "key", "left_semi"))
     return small.unionByName(wide).distinct()
 
@@ -157,7 +168,9 @@ def near_copies(texts: DataFrame) -> DataFrame:
     keys = of.select("th", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("th").alias("a")).filter("k > 1")
     members = stored(keys.join(shared.select("key", "a"), "key"))
-    stars = members.filter("th <> a").select("a", F.col("th").alias("b"))
+    met = members.filter("th <> a").groupBy("th", "a").agg(F.count("*").alias("k"))
+    most = met.groupBy(F.col("th").alias("b")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "a"))), 1, STARS).alias("x"))
+    stars = most.select(F.explode("x.a").alias("a"), "b")
     pairs = stored(stars.unionByName(by_bits).unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
     sets = stored(_per_text(texts.join(wanted, "th", "left_semi"), lambda s: s, "s").dropDuplicates(["th"]))

@@ -326,6 +326,33 @@ def test_crowded_bands_against_all_pairs(spark, monkeypatch):
         assert {r.th: r.root for r in N.near_copies(docs).collect()} == want
 
 
+def test_copies_with_words_of_their_own_give_few_pairs(spark, monkeypatch):
+    """600 copies of one text, each with four changed words (similarity about 0.5), and near copies of some: pairs verified grow with the texts."""
+    rng = random.Random(33)
+    seen = []
+    similar = N._similar
+    monkeypatch.setattr(N, "_similar", lambda pairs, sets: seen.append(pairs.count()) or similar(pairs, sets))
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(600):
+        t = list(base)
+        for i in rng.sample(range(5, 95), 4):
+            t[i] = word()
+        texts.append(t)
+    texts += [[*t[:-1], word()] for t in texts[::50]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(N.shingles(t.encode()).tolist()) for t in texts]
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for i, j in links:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    got = {r.th: r.root for r in N.near_copies(spark.createDataFrame(list(enumerate(texts)), "th long, text string")).collect()}
+    assert got == {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert len(got) >= 24 and sum(seen) < 12 * len(texts)
+
+
 def test_short_items_with_marks_and_names(spark):
     """Lone marks are no words, and an item's first word may stand within a sentence."""
     bench = spark.createDataFrame([(1, "What is 3 + 4 ?"), (2, "Only four words here"), (3, "Seldom do grey herons sleep")], "item_id long, text string")
