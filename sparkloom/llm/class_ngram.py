@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ HEAD = 262_144
 SHORTLIST = 8
 _FLUSH = 300_000
 _KEYS = 4_000_000
+#: Bytes of text that a worker splits into words at once: words of their own and arrays over them take about thirty times as much.
+_PIECE = 1 << 20
 
 
 def form_of(word: bytes, forms: int) -> int:
@@ -52,7 +55,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for _, docs in pieces(batch, text):
+            for _, docs in pieces(batch, text, _PIECE):
                 for doc in docs:
                     seen.update(doc.lower().split())
                 if len(seen) > _FLUSH:
@@ -129,20 +132,23 @@ def unit_bigrams(texts: DataFrame, text: str, units) -> DataFrame:
         held, number = [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            keys = np.concatenate([*held, np.zeros(0, np.int64)])
+            held.clear()  # what the keys are sorted from isn't held beside them
+            keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(keys)))
             for i in range(0, len(first), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first[i : i + 100_000]]), pa.array(n[i : i + 100_000])], ["ab", "n"])
+                part = first[i : i + 100_001]
+                n = np.diff(part if len(part) > 100_000 else np.append(part, len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part[: len(n)]]), pa.array(n)], ["ab", "n"])
 
         for batch in batches:
-            for _, docs in pieces(batch, text):
+            for _, docs in pieces(batch, text, _PIECE):
                 ids = u.line(docs)[0].astype(np.int64)
                 held.append(ids[:-1] * u.size + ids[1:])
                 number += len(ids)
                 if number > _KEYS:
                     yield from rows()
-                    held, number = [], 0
+                    number = 0
         yield from rows()
 
     size = units.value.size
@@ -366,7 +372,7 @@ def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: Units = units.value
         for batch in batches:
-            for _, docs in pieces(batch, text):
+            for _, docs in pieces(batch, text, _PIECE):
                 ids, hashes = u.line(docs)
                 rare = np.flatnonzero(ids > u.words)
                 side = (shared.value[ids] + classes * (ids > u.words)).astype(np.int16)  # others by their ending, marked
@@ -457,13 +463,15 @@ def _score(model) -> object:
         m: Model = model.value
         row, of, forms = m.row.get, m.forms.tolist(), len(m.forms)
         for batch in batches:
-            for part, docs in pieces(batch, "text"):
+            for part, docs in pieces(batch, "text", _PIECE):
                 n = len(docs)
                 rids = column(part, "rid").to_numpy()
-                tokens = [doc.lower().split() for doc in docs]
-                lengths = np.array([len(t) for t in tokens], np.int64)
-                flat = [w for t in tokens for w in t]
-                rows = np.array([row(w, -1) for w in flat], np.int64)
+                flat, ends_at = [], []
+                for doc in docs:
+                    flat += doc.lower().split()
+                    ends_at.append(len(flat))
+                lengths = np.diff(np.array([0, *ends_at], np.int64))
+                rows = np.fromiter(map(row, flat, repeat(-1)), np.int64, len(flat))
                 owner = np.repeat(np.arange(n), lengths)
                 known = rows >= 0
                 classes = np.where(known, m.head_class[rows] if len(m.head_class) else 0, -1)

@@ -34,14 +34,14 @@ def fold(id_col: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % k
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batch in slices of about PIECE_BYTES of text, each with its texts as UTF-8 (null: empty)."""
+def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in slices of about ``most`` bytes of text, each with its texts as UTF-8 (null: empty)."""
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
     size, begin = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
     for i, n in enumerate(lengths):
         size += n
-        if size >= PIECE_BYTES or i + 1 == len(lengths):
+        if size >= most or i + 1 == len(lengths):
             yield batch.slice(begin, i + 1 - begin), [x or b"" for x in col.slice(begin, i + 1 - begin).to_pylist()]
             size, begin = 0, i + 1
 
