@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,36 +37,70 @@ from .common import column, fold, pieces, stored
 HEAD = 262_144
 #: Classes whose gain is worked out in a round for each unit: the likeliest to first order.
 SHORTLIST = 8
-_FLUSH = 300_000
+#: Bytes of words that a task holds before it counts them.
+_FLUSH = 32 << 20
 _KEYS = 4_000_000
-#: Bytes of text that a worker splits into words at once: words of their own and arrays over them take about thirty times as much.
+#: Most words that are looked up a piece at a time, which numbers them anew; the others are looked up one by one.
+_NAMES = 32_768
+#: Bytes of text that a worker splits into words at once, which bounds the arrays over them.
 _PIECE = 1 << 20
 
 
-def form_of(word: bytes, forms: int) -> int:
-    """The ending of a word outside the most frequent: its last three bytes, hashed."""
-    return zlib.crc32(word[-3:]) % forms
+def words_of(docs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, A-Z in lower case, and where each text's end among them. No word is an object of its own."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(docs, pa.binary()).cast(pa.string(), safe=False)))
+    words = lists.flatten()
+    there = pc.greater(pc.binary_length(words), 0)  # blanks at a text's border leave empty ones
+    ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()[1:]]
+    return words.filter(there).cast(pa.binary()), ends
+
+
+def apart(words: pa.Array) -> list[bytes]:
+    """The words as objects, faster than one by one: no word holds a blank."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py().split()
+
+
+def places(words: pa.Array, names: pa.Array) -> np.ndarray:
+    """Each word's place in ``names``, -1 for words that are not there."""
+    return pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy()
+
+
+def inside(ends: np.ndarray) -> np.ndarray:
+    """Of a line of all texts with a border before, between and behind: where words stand."""
+    line = np.ones((ends[-1] if len(ends) else 0) + len(ends) + 1, bool)
+    line[0] = False
+    line[ends + np.arange(1, len(ends) + 1)] = False
+    return line
+
+
+def forms_of(words: pa.Array, forms: int) -> np.ndarray:
+    """The endings of words outside the most frequent: their last three bytes, hashed."""
+    tails = pc.binary_slice(words, -3).dictionary_encode()
+    return np.array([zlib.crc32(x) % forms for x in tails.dictionary.to_pylist()], np.int32)[tails.indices.to_numpy()]
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """(word, n) over all rows; each task sums what it has read before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Array] = []
         for batch in batches:
             for _, docs in pieces(batch, text, _PIECE):
-                for doc in docs:
-                    seen.update(doc.lower().split())
-                if len(seen) > _FLUSH:
-                    yield _pairs(seen)
-                    seen = Counter()
-        yield _pairs(seen)
+                held.append(words_of(docs)[0])
+                if sum(x.nbytes for x in held) > _FLUSH:
+                    yield from _counted(held)
+        yield from _counted(held)
 
     return texts.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pairs(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _counted(held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words held, which are let go."""
+    found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+    held.clear()
+    for i in range(0, len(found), 100_000):
+        part = found.slice(i, 100_000)
+        yield pa.RecordBatch.from_arrays([part.field("values"), part.field("counts")], ["word", "n"])
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -85,34 +118,23 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class Units:
-    """Word to unit: 0 is the text's border, then the frequent words, then the endings of all others. A worker numbers the words it meets."""
+    """Word to unit: 0 is the text's border, then the frequent words, then the endings of all others."""
 
     def __init__(self, names: list[bytes], words: int, forms: int):
         self.known = {w: i + 1 for i, w in enumerate(names[:words])}
+        self.names = pa.array(names[:words], pa.binary())
         self.words, self.forms = len(self.known), forms
         self.size = 1 + self.words + forms
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen: dict[bytes, int] = {b"\n": 0}  # no word
-        self.unit, self.hash = array("i", [0]), array("q", [0])
-
-    def line(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Units, and hashes of words that are none, of all texts in one line, with a border before, between and behind."""
-        if len(self.seen) > _FLUSH:
-            self.clear()
-        flat: list[bytes] = [b"\n"]
-        for doc in docs:
-            flat += doc.lower().split()
-            flat.append(b"\n")
-        seen, known, first = self.seen, self.known, self.words + 1
-        for w in set(flat).difference(seen):
-            unit = known.get(w)
-            seen[w] = len(self.unit)
-            self.unit.append(unit or first + form_of(w, self.forms))
-            self.hash.append(0 if unit else signed(word_hash(w)))
-        at = np.fromiter(map(seen.__getitem__, flat), np.int64, len(flat))
-        return np.array(self.unit)[at], np.array(self.hash)[at]
+
+    def line(self, docs: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+        """Units of all texts in one line, with a border before, between and behind; and the words in it that are no units."""
+        words, ends = words_of(docs)
+        unit = 1 + places(words, self.names)
+        others = words.filter(pa.array(unit == 0))
+        unit[unit == 0] = self.words + 1 + forms_of(others, self.forms)
+        line = np.zeros(len(words) + len(docs) + 1, np.int32)
+        line[inside(ends)] = unit
+        return line, others
 
 
 def word_hash(word: bytes) -> int:
@@ -373,10 +395,10 @@ def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray
         u: Units = units.value
         for batch in batches:
             for _, docs in pieces(batch, text, _PIECE):
-                ids, hashes = u.line(docs)
+                ids, others = u.line(docs)
                 rare = np.flatnonzero(ids > u.words)
-                side = (shared.value[ids] + classes * (ids > u.words)).astype(np.int16)  # others by their ending, marked
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[rare]), pa.array(side[rare - 1]), pa.array(side[rare + 1])], ["word", "p", "q"])
+                side = (shared.value[ids] + classes * (ids > u.words)).astype(np.int32)  # others by their ending, marked
+                yield pa.RecordBatch.from_arrays([others, pa.array(side[rare - 1] * (2 * classes) + side[rare + 1])], ["word", "pq"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after, before = fit.value
@@ -399,7 +421,8 @@ def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray
         for batch in batches:
             for begin in range(0, batch.num_rows, 50_000):
                 part = batch.slice(begin, 50_000)
-                word, p, q = (column(part, c).to_numpy() for c in ("word", "p", "q"))
+                word = column(part, "word").to_numpy()
+                p, q = np.divmod(column(part, "pq").to_numpy(), 2 * classes)
                 first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
                 if last and last[0] == word[0]:
                     end = first[1] if len(first) > 1 else len(word)
@@ -425,7 +448,8 @@ def rest_of(texts: DataFrame, text: str, units, of: np.ndarray, grid: np.ndarray
         cells = np.flatnonzero(total.ravel())
         yield made([None] * len(cells), total.ravel()[cells], cells)
 
-    dealt = texts.select(text).mapInArrow(around, "word long, p short, q short").repartition("word").sortWithinPartitions("word")
+    met = texts.select(text).mapInArrow(around, "word binary, pq int").select(F.xxhash64("word").alias("word"), "pq")
+    dealt = met.repartition("word").sortWithinPartitions("word")
     return stored(dealt.mapInArrow(assign, "word long, n double, cls int"))
 
 
@@ -449,11 +473,19 @@ class Model:
         self.border_base = math.log10((border + 0.1) / self.scale)
         #: By word: row in the arrays below.
         self.row = {w: i for i, (w, _, _) in enumerate(head)}
+        self.names = pa.array([w for w, _, _ in head[:_NAMES]], pa.binary())
         counts = np.array([n for _, n, _ in head], float)
         self.head_class = np.array([c for _, _, c in head], np.int64)
         self.head_base = np.log10((counts + 0.1) / self.scale)
         self.head_log = self.share[self.head_class] + np.log10(np.maximum(counts, 1))
 
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Each word's row, -1 for words that are not held."""
+        rows = places(words, self.names).copy()
+        left = np.flatnonzero(rows < 0)
+        rows[left] = np.fromiter(map(self.row.get, apart(words.take(pa.array(left))), repeat(-1)), np.int32, len(left))
+        return rows
+
 
 _SCORED = ["rid", "pos", "word", "p", "q", "form", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
@@ -461,31 +493,22 @@ _SCORED = ["rid", "pos", "word", "p", "q", "form", "doc_id", "held_out", "n_toke
 def _score(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        row, of, forms = m.row.get, m.forms.tolist(), len(m.forms)
         for batch in batches:
             for part, docs in pieces(batch, "text", _PIECE):
                 n = len(docs)
                 rids = column(part, "rid").to_numpy()
-                flat, ends_at = [], []
-                for doc in docs:
-                    flat += doc.lower().split()
-                    ends_at.append(len(flat))
-                lengths = np.diff(np.array([0, *ends_at], np.int64))
-                rows = np.fromiter(map(row, flat, repeat(-1)), np.int64, len(flat))
+                words, ends = words_of(docs)
+                lengths = np.diff(ends, prepend=0)
+                rows = m.rows(words)
                 owner = np.repeat(np.arange(n), lengths)
                 known = rows >= 0
-                classes = np.where(known, m.head_class[rows] if len(m.head_class) else 0, -1)
                 # the text's classes between two borders, all texts in one line; -1 for words that are joined
-                line = np.zeros(len(flat) + n + 1, np.int64)
-                ends = np.cumsum(lengths + 1)
-                inside = np.ones(len(line), bool)
-                inside[0] = False
-                inside[ends] = False
-                line[inside] = classes
+                at = np.flatnonzero(inside(ends))
+                line = np.zeros(len(words) + n + 1, np.int64)
+                line[at] = np.where(known, m.head_class[rows] if len(m.head_class) else 0, -1)
                 both = (line[:-1] >= 0) & (line[1:] >= 0)
                 step = np.where(both, m.move[line[:-1], line[1:]], 0.0)
-                begins = np.concatenate([[0], ends[:-1]])
-                score = np.add.reduceat(step, begins) if n else np.zeros(0)
+                score = np.add.reduceat(step, np.cumsum(lengths + 1) - lengths - 1) if n else np.zeros(0)
                 score += np.bincount(owner[known], m.head_log[rows[known]], n)
                 base = np.bincount(owner[known], m.head_base[rows[known]], n) + m.border_base
                 yield pa.RecordBatch.from_arrays(
@@ -495,11 +518,10 @@ def _score(model) -> object:
                 )
                 rare = np.flatnonzero(~known)
                 for i in range(0, len(rare), 50_000):
-                    at = rare[i : i + 50_000]
-                    place = np.flatnonzero(inside)[at]
-                    words, k = [flat[j] for j in at.tolist()], len(at)
+                    some = rare[i : i + 50_000]
+                    place, others, k = at[some], words.take(pa.array(some)), len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rids[owner[at]]), pa.array(place), pa.array(words, pa.binary()), pa.array(line[place - 1].astype(np.int32)), pa.array(line[place + 1].astype(np.int32)), pa.array([of[form_of(w, forms)] for w in words], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 2],
+                        [pa.array(rids[owner[some]]), pa.array(place), others, pa.array(line[place - 1].astype(np.int32)), pa.array(line[place + 1].astype(np.int32)), pa.array(m.forms[forms_of(others, len(m.forms))].astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 2],
                         _SCORED,
                     )
 

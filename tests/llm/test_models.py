@@ -97,6 +97,52 @@ def test_scoring_holds_little_beside_a_batch():
     assert n == 4200 * 401 and most < 5 * size
 
 
+def test_words_are_those_of_bytes_split():
+    """Odd bytes, blanks of all kinds and other controls; and what is made of the words: their places, endings and units."""
+    docs = [b"", b" \n\t ", b" a  B\x0bcd\x0ce\xff\xfeF \x1cg\x00h \xc2\x85x\xa0 ", "ſ É Ünïcode z".encode(), b"one", b"x\r\ny a"]
+    each = [d.lower().split() for d in docs]
+    flat = [w for x in each for w in x]
+    got, ends = N.words_of(docs)
+    assert got.to_pylist() == N.apart(got) == flat and ends.tolist() == np.cumsum([len(x) for x in each]).tolist()
+    assert N.apart(got[:0]) == [] and len(N.forms_of(got[:0], 7)) == 0
+    units = N.Units([b"a", b"one"], 2, 7)
+    line, others = units.line(docs)
+    unit = lambda w: units.known.get(w) or 3 + zlib.crc32(w[-3:]) % 7
+    assert line.tolist() == [0, *(u for x in each for u in [*map(unit, x), 0])]
+    assert others.to_pylist() == [w for w in flat if w not in units.known]
+
+
+@pytest.mark.parametrize("flush", [N._FLUSH, 2_000])
+def test_word_counts_are_whole(spark, corpus, monkeypatch, flush):
+    """Counted at a task's end, and many times before it."""
+    monkeypatch.setattr(N, "_FLUSH", flush)
+    monkeypatch.setattr(N, "_PIECE", 1_000)
+    df, rows = corpus
+    got = {bytes(r.word): r.n for r in N.word_counts(df, "text").collect()}
+    assert got == Counter(w for _, t in rows for w in tokens(t))
+
+
+def test_a_line_of_units_costs_less_than_a_split_and_a_look_up():
+    """Two of the four passes over the texts make such lines, so their cost weighs: less than splitting into words and one look-up each."""
+    import time
+
+    rng = random.Random(6)
+    frequent, others = [b"w%d" % i for i in range(2000)], [b"odd%d" % i for i in range(100_000)]
+    sets = [[b" ".join(rng.choices(frequent, k=150) + rng.choices(others, k=50)) for _ in range(1000)] for _ in range(3)]
+    known = {w: i for i, w in enumerate(frequent)}
+
+    def cost(f):
+        took = []
+        for docs in sets:
+            begin = time.process_time()
+            f(docs)
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    plain = cost(lambda docs: [known.get(w, -1) for d in docs for w in d.lower().split()])
+    assert cost(lambda docs: N.Units(frequent, 2000, 16).line(docs)) < plain
+
+
 def test_classes_beat_single_words(spark, corpus):
     rows = N.class_bigram_scores(corpus[0], words=64, forms=16, classes=8).filter("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
