@@ -151,7 +151,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         spread = words.select("word", "n").mapInArrow(run, "key string, word string, n long, rank long, last string")
         return spread.select(F.xxhash64("key").alias("key"), "word", "n", F.struct("rank", "last").alias("third"))
 
-    a, b = keys(True).alias("a"), keys(False).alias("b")
+    # Spark takes the size of these tables from the words' compressed file; they are many times as large, so they are never broadcast
+    a, b = keys(True).alias("a"), keys(False).hint("merge").alias("b")
     verified: Column = F.levenshtein("a.word", "b.word", 1) == 1
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.third") <= F.col("b.third")) & verified)
     both = F.explode(F.array(F.struct(F.col("a.word").alias("word"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")), F.struct(F.col("b.word").alias("word"), F.col("a.word").alias("near"), F.col("a.n").alias("near_n"))))
@@ -163,7 +164,7 @@ def roots(forms: DataFrame) -> DataFrame:
     reached = forms.select("word", F.col("form").alias("root"))
     while True:
         on = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = reached.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = reached.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         step = stored(step)
         reached = step.select("word", "root")
         if not step.filter("moved").limit(1).count():
@@ -179,6 +180,6 @@ def spelling_variants(docs: DataFrame, factor: int = 5, noise: int = 199, id_col
     """
     words = stored(word_counts(docs, noise, id_col=id_col, text=text))
     best = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    found = stored(words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.less") >= factor * F.col("n"), F.col("best")).alias("best")).select("word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n")))
+    found = stored(words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.less") >= factor * F.col("n"), F.col("best")).alias("best")).select("word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n")))
     last = roots(found.filter("form IS NOT NULL"))
-    return found.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

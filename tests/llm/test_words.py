@@ -170,6 +170,13 @@ def test_roots_follow_long_chains(spark):
     assert {r.root for r in P.roots(forms).collect()} == {"w11"} and P.roots(forms.limit(0)).count() == 0
 
 
+def test_word_tables_are_not_broadcast(spark, tmp_path):
+    """A small compressed file of words says little of the many entries made of it."""
+    spark.range(3000).select(F.concat(F.lit("someword"), F.col("id").cast("string")).alias("word"), F.lit(5).alias("n")).write.parquet(str(tmp_path / "words"))
+    plan = P.near_pairs(spark.read.parquet(str(tmp_path / "words")))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_variants_equal_all_pairs(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     want = variants(docs)
