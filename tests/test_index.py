@@ -171,3 +171,22 @@ def test_names_are_found_whatever_their_number(spark, monkeypatch):
     monkeypatch.setattr(G, "LEXICON_ROWS", 700)
     assert found() == want
     assert G.match_concepts(df, lexicon.limit(0)).count() == 0 == G.match_concepts(df.limit(0), lexicon).count()
+
+
+def test_segments_are_read_one_by_one(spark):
+    """Segments are small and a row group each; a search sums whole lists, equal to looking at blocks; counts of words need no index."""
+    rng = random.Random(8)
+    chunks = made(rng, 500)
+    df = frame(spark, chunks).coalesce(1)
+    assert L.SEGMENT_TOKENS <= 1_000_000
+    index = L.bm25_index(df)
+    assert sorted(map(tuple, L.document_counts(df).collect())) == sorted((r.term, r.df) for r in index.counts().collect())
+    batch = index.present().select("chunk_ids", "chunk_ords", "dls", "lists", "gone").toArrow().combine_chunks().to_batches()[0]
+    row = {n: batch.column(j)[0].values for j, n in enumerate(batch.schema.names)}
+    impact = lambda tf, dl: tf / (tf + dl)
+    asked = [{w: rng.random() for w in rng.sample(WORDS, 8)} for _ in range(20)] + [{"absent": 1.0}, {}]
+    lists = L.Lists(row, {w for ts in asked for w in ts}, impact)
+    for weights, (at, score) in zip(asked, L.summed(row, asked, [0.0] * len(asked), 5, impact), strict=True):
+        places, best = lists.best(weights, 5, 0.0)
+        assert sorted(zip(places.tolist(), best.round(9).tolist())) == sorted(zip(at.tolist(), score.round(9).tolist()))
+    assert L.bm25_search(index, spark.createDataFrame([(1, " ".join(WORDS[:5]))], "query_id long, question string")).count() == 5

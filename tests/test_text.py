@@ -151,3 +151,48 @@ def test_long_lexicons_are_joined(spark, monkeypatch):
     assert want == [(1, "and"), (1, "demand of"), (1, "supply"), (4, "supply")]
     monkeypatch.setattr(G, "LEXICON_ROWS", 2)
     assert found() == want
+
+
+def test_symbols_as_a_class(spark):
+    """Greek letters and signs by one class are those of the fixed pattern, for every code point."""
+    points = spark.range(1, 0x110000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert points.filter(F.regexp_like("c", F.lit(T.FORMULA_PATTERNS[2])) != F.regexp_like("c", F.lit(T._SYMBOLS))).count() == 0
+    assert points.filter(F.regexp_like("c", F.lit(T._SYMBOLS))).count() == 18
+
+
+def test_lines_meet_tables_without_a_join(spark):
+    """One shuffle for blocks and for the chunks made of them; tables of other pages and null keys drop nothing."""
+    rows = [(1, 1, 0, "cell one"), (1, 2, 1, "cell one"), (None, 1, 2, "cell one"), (1, None, 3, "cell one"), (1, 1, 4, "Chapter 1"), (1, 1, 5, "cell two")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string")
+    tables = spark.createDataFrame([(1, 1, 1, " Chapter 1 | cell one "), (1, 1, 2, "cell two and more"), (None, 1, 1, "cell one"), (1, None, 1, "cell one")], "doc_id long, page int, table_no int, text string")
+    got = K.parse_blocks(df, tables)
+    assert sorted((str(r.doc_id), str(r.page_number), r.text) for r in got.filter("block_type <> 'table'").collect()) == [("1", "1", "Chapter 1"), ("1", "2", "cell one"), ("1", "None", "cell one"), ("None", "1", "cell one")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = K.section_chunks(got)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_tokens_of_odd_texts(spark):
+    """Words are the runs that are left when all but letters, digits, marks and joiners are blanks."""
+    texts = ["", " ", "a", "The a", "x_y-z.9", "É́t naïve‍x   ‿q", "٣٤ Ⅷ ①", None, "İstanbul ß"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.filter(F.split(F.regexp_replace(F.lower("t"), r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda x: x != "")
+    some = F.filter(every, lambda x: (F.length(x) > 1) & ~x.isin(T.STOPWORDS))
+    assert all(a == b for a, b in df.select(T.keyword_tokens(F.col("t")), F.when(F.size(some) > 0, some).otherwise(every)).collect())
+
+
+def test_few_wanted_texts_move(spark, tmp_path):
+    """Few wanted chunks are sent to the texts, so no text is shuffled."""
+    c = spark.createDataFrame([(f"c{i}", i, "t" * 50) for i in range(100)], "chunk_id string, chunk_ord long, text string")
+    c.write.parquet(str(tmp_path / "chunks"))
+    ranked = spark.createDataFrame([(1, "c7", 1), (1, "c9", 2), (2, "none", 1)], "query_id long, chunk_id string, rank int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = U.hydrate(ranked, spark.read.parquet(str(tmp_path / "chunks")))
+        assert sorted((r.query_id, r.chunk_id, len(r.text)) for r in got.collect()) == [(1, "c7", 50), (1, "c9", 50)]
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
