@@ -196,3 +196,33 @@ def test_few_wanted_texts_move(spark, tmp_path):
         assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_step_along_edges_sends_the_frontier(spark, monkeypatch):
+    """Nodes are shuffled once with their neighbours' numbers, whatever the number of questions; the result is that of joins."""
+    import random
+
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)], "src string, dst string")
+    start = spark.createDataFrame([(q, f"n{rng.randrange(45)}") for q in range(6) for _ in range(2)] * 2, "query_id long, node_id string")
+    got = {h: sorted(map(tuple, G.expand(start, edges, h).collect())) for h in (0, 1, 2)}
+    monkeypatch.setattr(G, "FRONTIER", 1)
+    assert {h: sorted(map(tuple, G.expand(start, edges, h).collect())) for h in (0, 1, 2)} == got and len(got[2]) > len(got[1]) > len(got[0])
+    monkeypatch.setattr(G, "FRONTIER", 100)
+    plan = G.expand(start, edges, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "collect_set" in plan
+
+
+def test_graph_is_made_of_digests(spark):
+    """What chunks contain is stored without texts or sections' names; equal orders give no pair; sections of blocks without chunks derive nothing."""
+    c = spark.createDataFrame([("c1", 1, "C", "s1", 1, "beta alpha"), ("c2", 2, "C", "s1", 1, "gamma"), ("c3", 3, "C", "", 1, "alpha beta"), ("c4", 4, "D", "s1", 1, "gamma beta")], "chunk_id string, chunk_ord long, chapter string, section string, page_number int, text string")
+    lex = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "gamma")], "lex int, concept string")
+    b = spark.createDataFrame([(1, 1, 1, "C", "s1", "", "E = mc", "formula"), (1, 2, 1, "C", "gone", "", "F = ma", "formula")], "doc_id long, block_idx int, page_number int, chapter string, section string, subsection string, text string, block_type string")
+    g = G.build_graph(c, b, lex)
+    made = lambda r: sorted((x.src.split("::", 1)[1], x.dst.split("::", 1)[1]) for x in g.edges.filter(F.col("relation") == r).collect())
+    assert made("CO_OCCURS") == [("alpha", "gamma"), ("beta", "gamma")]
+    assert made("DISCUSSES") == [("C::s1", "alpha"), ("C::s1", "beta"), ("C::s1", "gamma"), ("D::s1", "beta"), ("D::s1", "gamma")]
+    assert made("DERIVES") == [("C::s1", "E = mc")] and made("CONTAINS") == [("C", "C::s1"), ("D", "D::s1")]
+    plan = g.edges.filter("relation = 'CO_OCCURS'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "section" not in plan and "text" not in plan
+    assert G.match_concepts(c, lex, keep=["chunk_id"]).columns == ["chunk_id", "lex", "concept"]
