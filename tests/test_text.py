@@ -226,3 +226,24 @@ def test_graph_is_made_of_digests(spark):
     plan = g.edges.filter("relation = 'CO_OCCURS'")._jdf.queryExecution().optimizedPlan().toString()
     assert "section" not in plan and "text" not in plan
     assert G.match_concepts(c, lex, keep=["chunk_id"]).columns == ["chunk_id", "lex", "concept"]
+
+
+def test_questions_of_a_cell_are_dealt_too(spark, monkeypatch):
+    """A meeting of a cell holds a bounded number of vectors and of questions; all cells need no meeting, all codes no list of candidates."""
+    from sparkloom.operators import quantised as Q
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).limit(400)
+    e = e.unionByName(e.filter("id % 4 = 0").withColumn("id", F.col("id") + 100_000)).cache()  # equal scores
+    q = e.filter("id % 9 = 0").withColumnRenamed("id", "query_id")
+    cells, centroids = V.ivf_build(e, nlist=6)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", F.round("score", 6)).collect()))
+    some, exact, index = rows(V.knn_ivf(cells, centroids, q, nprobe=3)), rows(V.knn_exact(e, q)), Q.code_index(e)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(V, "SCORES", 64)
+    monkeypatch.setattr(V, "VECTORS", 16)
+    assert rows(V.knn_ivf(cells, centroids, q, nprobe=3, block=30)) == some
+    assert rows(V.knn_exact(e, q)) == rows(V.knn_ivf(cells, centroids, q, nprobe=6)) == exact
+    all_of_them = Q.knn_codes(index, q, rescored=index.n)
+    assert [r[:3] for r in rows(all_of_them)] == [r[:3] for r in exact]
+    plan = all_of_them._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroups" not in V.knn_ivf(cells, centroids, q, nprobe=6)._jdf.queryExecution().optimizedPlan().toString()
