@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .vectors import _unit, top_k
+from .vectors import _unit, knn_exact, top_k
 
 #: Dimensions that share a byte of code, vectors that the books are fitted on, questions that are asked at once, candidates that are pushed down as a list.
 TOGETHER, SAMPLE, QUERY_BLOCK, LISTED = 4, 65_536, 1024, 5_000
@@ -100,9 +100,13 @@ def knn_codes(index: CodeIndex, queries: DataFrame, k: int = 5, rescored: int |
     A code's score is the sum over its parts of a table's entry, the products of a question's part with the part's centroids. The best
     ``rescored`` of each question (by default a sixteenth of the vectors, 512 at most, k at least) are scored by their vectors, so scores
     are exact and only the choice of these is not. Questions are sent to all tasks, QUERY_BLOCK at a time; each task keeps ``rescored``
-    rows a question.
+    rows a question. Where all vectors are rescored codes choose nothing and none is read: each question is scored by every vector as it
+    streams by, and k rows a question are kept.
     """
     rescored = max(k + 1, rescored or min(512, -(-index.n // 16)))
+    if rescored >= index.n > 0:
+        asked = queries.select("query_id", "vector").filter("vector IS NOT NULL")
+        return knn_exact(index.vectors, asked, k, keep_self).withColumn("read_share", F.lit(index.read_share(rescored)))
     asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).filter("vector IS NOT NULL")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
