@@ -183,20 +183,27 @@ def match_boxes(preds: DataFrame, truth: DataFrame, thresholds: list[float]) ->
     p = preds.select("image_id", "class_id", "det_no", "confidence", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
     pairs = p.join(t, ["image_id", "class_id"], "left").select(F.col("image_id").cast("long"), F.col("class_id").cast("int"), F.col("det_no").cast("int"), F.col("confidence").cast("double"), "gt_no", F.coalesce(iou("p_", "g_"), F.lit(0.0)).alias("iou"))
     schema = pa.schema([("image_id", pa.int64()), ("class_id", pa.int32()), ("det_no", pa.int32()), ("confidence", pa.float64()), ("iou_thr", pa.float64()), ("tp", pa.bool_())])
-    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    n = len(thresholds)
+
+    def packed(dets: list[tuple], hits: list[bool]) -> pa.RecordBatch:
+        each = [pa.array(c, t).take(pa.array(np.repeat(np.arange(len(dets)), n))) for c, t in zip(zip(*dets, strict=True), schema.types[:4], strict=True)]
+        return pa.RecordBatch.from_arrays([*each, pa.array(np.tile(np.array(thresholds, np.float64), len(dets))), pa.array(hits, pa.bool_())], schema=schema)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         det: tuple | None = None
         used: list[set] = []
         hit: list[bool] = []
         for batch in batches:
-            rows: list[tuple] = []
+            dets: list[tuple] = []
+            hits: list[bool] = []
             for image, cls, no, conf, gt, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if det != (image, cls, no, conf):
-                    rows += [(*det, thr, h) for thr, h in zip(thresholds, hit, strict=True)] if det else []
+                    if det:
+                        dets.append(det)
+                        hits += hit
                     if not det or det[:2] != (image, cls):
                         used = [set() for _ in thresholds]
-                    det, hit = (image, cls, no, conf), [False] * len(thresholds)
+                    det, hit = (image, cls, no, conf), [False] * n
                 if gt is not None:
                     for i, thr in enumerate(thresholds):
                         if v < thr:
@@ -204,10 +211,10 @@ def match_boxes(preds: DataFrame, truth: DataFrame, thresholds: list[float]) ->
                         if not hit[i] and gt not in used[i]:
                             hit[i] = True
                             used[i].add(gt)
-            if rows:
-                yield packed(rows)
+            if dets:
+                yield packed(dets, hits)
         if det:
-            yield packed([(*det, thr, h) for thr, h in zip(thresholds, hit, strict=True)])
+            yield packed([det], hit)
 
     ordered = pairs.repartition("image_id", "class_id").sortWithinPartitions("image_id", "class_id", F.desc("confidence"), "det_no", F.desc("iou"), "gt_no")
     return ordered.mapInArrow(match, "image_id long, class_id int, det_no int, confidence double, iou_thr double, tp boolean")

@@ -32,11 +32,11 @@ def scan(rows: DataFrame, keys: list[str], made: dict[str, tuple[str, str | Colu
     ``exclusive``: without this row. Where nothing is summed up, the value is null. Keys may be null.
     """
     rows = rows.withColumn(_RANGE, F.shiftright(AT, _BITS))
-    back, fore = Window.unboundedPreceding, Window.unboundedFollowing
-    within = Window.partitionBy(_RANGE, *keys).orderBy(AT)
-    within = within.rowsBetween(1 if exclusive else 0, fore) if ahead else within.rowsBetween(back, -1 if exclusive else 0)
+    # a frame that reaches to the end is worked out anew for each row, so what lies ahead is run through backwards
+    back, along = Window.unboundedPreceding, lambda c: F.desc(c) if ahead else F.col(c)
+    within = Window.partitionBy(_RANGE, *keys).orderBy(along(AT)).rowsBetween(back, -1 if exclusive else 0)
     column = lambda c: F.col(c) if isinstance(c, str) else c
-    carried = lambda c: (F.first if ahead else F.last)(c, ignorenulls=True)
+    carried = lambda c: F.last(c, ignorenulls=True)
     whole = {"sum": F.sum, "max": F.max, "last": lambda c: (F.min_by if ahead else F.max_by)(c, F.when(c.isNotNull(), F.col(AT)))}
     running = {"sum": F.sum, "max": F.max, "last": carried}
     both = {
@@ -45,9 +45,9 @@ def scan(rows: DataFrame, keys: list[str], made: dict[str, tuple[str, str | Colu
         "last": lambda own, handed: F.coalesce(own, handed),
     }
     totals = rows.groupBy(_RANGE, *keys).agg(*[whole[kind](column(c)).alias(n) for n, (kind, c) in made.items()])
-    others = Window.partitionBy(*keys).orderBy(_RANGE)
-    first = F.lead(_RANGE).over(others) if ahead else F.lag(_RANGE).over(others)
-    others = others.rowsBetween(1, fore) if ahead else others.rowsBetween(back, -1)
+    others = Window.partitionBy(*keys).orderBy(along(_RANGE))
+    first = F.lag(_RANGE).over(others)
+    others = others.rowsBetween(back, -1)
     handed = totals.select(F.col(_RANGE).alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], first.isNotNull().alias("_cut"), *[running[kind](F.col(n)).over(others).alias(f"_h_{n}") for n, (kind, _) in made.items()])
     own = rows.withColumns({n: running[kind](column(c)).over(within) for n, (kind, c) in made.items()})
     same = F.col(_RANGE) == F.col("_r")

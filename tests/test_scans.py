@@ -142,3 +142,16 @@ def test_quantiles_are_exact(spark):
     got = {(r.g, r.p): r.value for r in Q.exact_quantiles(df, ["x"], [0.5, 0.95], ["g"]).collect()}
     assert got == {(g, p): pytest.approx(want([r[1] for r in rows if r[0] == g], p)) for g in (None, "a", "b", "one") for p in (0.5, 0.95)}
     assert [r.value for r in Q.exact_quantiles(df.limit(0), ["x"], [0.5]).collect()] == [None]
+
+
+def test_no_frame_reaches_to_the_end(spark):
+    """Such a frame is worked out anew for each row, which takes the square of a range."""
+    from sparkloom.operators import scans
+
+    rows = scans.dealt(spark.range(20).selectExpr("id % 2 AS k", "id AS o", "IF(id % 3 = 0, id, NULL) AS v"), ["k"], ["o"], 5)
+    got = scans.scan(rows, ["k"], {"s": ("sum", "o"), "m": ("max", "v"), "l": ("last", "v")}, ahead=True)
+    assert "UNBOUNDED FOLLOWING" not in (plan := got._jdf.queryExecution().optimizedPlan().toString().upper()) and "UNBOUNDEDFOLLOWING" not in plan
+    for r in got.collect():
+        left = [x for x in range(20) if x % 2 == r.k and x >= r.o]
+        held = [x for x in left if x % 3 == 0]
+        assert (r.s, r.m, r.l) == (sum(left), max(held, default=None), min(held, default=None))
